@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnquery.llm.minhash import near_duplicates
 from tarnquery.llm.session import written
+from tarnquery.llm.substring import remove_repeats
 
 #: No SQL expresses a trained classifier, sketches and alignments; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -19,7 +20,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that occur more than once go; texts without any stay as they are."""
+    found = remove_repeats(docs, window=35)
+    cut = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return found.select(*[cut if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+STAGES = [("minhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; a longer document is handled whole, on its own.
-SLICE = 4 << 20
+SLICE = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

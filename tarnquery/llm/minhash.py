@@ -90,7 +90,7 @@ def _similar(batches, size: int, percent: int):
 
     for batch in batches:
         ends = np.cumsum(_lengths(batch.column(2)) + _lengths(batch.column(3)))
-        for at, to in slices(np.concatenate([[0], ends]), 16 << 20):
+        for at, to in slices(np.concatenate([[0], ends]), 4 << 20):
             part = batch.slice(at, to - at)
             sa, ia = sets(part.column(0), part.column(2))
             sb, ib = sets(part.column(1), part.column(3))

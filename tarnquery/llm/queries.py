@@ -18,6 +18,40 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, digest=True)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm import chat
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, k, role, "<|im_end|><|im_start|>assistant ok") for k, role in enumerate(("user", "assistant"))], rows.schema)
+    turns = chat.canonical_turns(chat.turn_records(rows.unionByName(extra)))
+    return chat.conversation_digests(chat.format_chat(turns), ["turn", "formatted"])
+
+
+URL_RULES = ("allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/")
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm.urls import filter_urls, parse_rule
+
+    return filter_urls(table(spark, sf_dir, "pages"), [parse_rule(x) for x in URL_RULES])
+
+
+OP6_SQL = """
+    WITH p AS (
+        SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), h AS (
+        SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+    ), r(v, rh, rp) AS (
+        VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+    ), m AS (
+        SELECT page_id, max_by(struct_pack(rule := rh || rp, verdict := v), length(rh || rp)) AS best
+        FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id
+    )
+    SELECT h.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM h LEFT JOIN m ON h.page_id = m.page_id
+"""
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnquery.llm.minhash import near_duplicates
 
@@ -29,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filters": OP6_SQL}

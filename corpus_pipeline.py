@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnquery.llm.minhash import near_duplicates
-from tarnquery.llm.session import written
+from tarnquery.llm.session import join_small, written
 from tarnquery.llm.substring import remove_repeats
+from tarnquery.llm.toxicity import ToxicityModel
 
 #: No SQL expresses a trained classifier, sketches and alignments; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic go. It learns from the labels of rows that aren't held out."""
+    model = ToxicityModel.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return model.score(docs).where(F.col("score") < 0.5).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
     found = near_duplicates(docs, shingle=5, percent=80)
     drop = found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    return join_small(docs, drop, "doc_id", "left_anti").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +34,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.select(*[cut if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
-STAGES = [("minhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
+STAGES = [("toxicity", toxicity), ("minhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

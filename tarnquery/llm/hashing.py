@@ -16,6 +16,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: Every ASCII byte that is no letter or digit; bytes of other characters count as letters.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 BYTE = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=U)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F | 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -51,6 +53,7 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    total: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -80,14 +83,14 @@ def slices(offs: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
-def tokenise(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
+def tokenise(data: np.ndarray, offs: np.ndarray, lower: bool = False, separators: np.ndarray = SPACE) -> Words:
     raw = data[offs[0] : offs[-1]]
     raw, n = LOWER[raw] if lower else raw, len(raw)
     edge = (offs - offs[0]).astype(np.int64)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(raw, np.zeros(0, U), none, none, np.zeros(len(offs), np.int64))
-    space = SPACE[raw]
+        return Words(raw, np.zeros(0, U), none, none, np.zeros(len(offs), np.int64), np.zeros(1, U))
+    space = separators[raw]
     before, after = np.ones(n, bool), np.ones(n, bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     before[edge[:-1][edge[:-1] < n]] = True
@@ -97,7 +100,17 @@ def tokenise(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
     total = np.zeros(n + 1, U)
     np.cumsum(BYTE[raw] * power, out=total[1:])
     hashed = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * U(BASES[1]))
-    return Words(raw, hashed, start, end, np.searchsorted(start, edge))
+    return Words(raw, hashed, start, end, np.searchsorted(start, edge), total)
+
+
+def prefixes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of at least `size` bytes, and the hash of their first `size` bytes."""
+    at = np.flatnonzero(w.end - w.start >= size)
+    if not len(at):
+        return at, np.zeros(0, U)
+    _, inverse = powers(BASES[0], len(w.total))
+    s = w.start[at]
+    return at, mix((w.total[s + size] - w.total[s]) * inverse[s] + U(size))
 
 
 def grams(w: Words, size: int, base: int = BASES[1]) -> tuple[np.ndarray, np.ndarray]:

@@ -58,6 +58,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).withColumnRenamed("id", "doc_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm.toxicity import ToxicityModel, held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ToxicityModel.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

@@ -20,8 +20,6 @@ from tarnquery.llm.hashing import U, mix, shingles, slices, string_parts, tokeni
 from tarnquery.llm.session import join_small, written
 
 SKETCH_SCHEMA = "id long, n_shingles long, set_a long, set_b long, bands array<long>"
-#: Rounds in which a few members of a bucket are compared with all others, before the pairs still open.
-PIVOT_ROUNDS = 3
 
 
 def bands_for(similarity: float, rows: int = 6, miss: float = 1e-6) -> int:
@@ -107,15 +105,47 @@ def _lengths(col: pa.Array) -> np.ndarray:
     return np.diff(string_parts(col)[1])
 
 
+def _tokens(batches, size: int):
+    """The shingle hashes of each text, as (id, token) rows."""
+    for batch in batches:
+        data, offs = string_parts(batch.column(1))
+        for a, b in slices(offs):
+            doc, h = shingles(tokenise(data, offs[a : b + 1], lower=True), size)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(h.view(np.int64))], ["id", "token"])
+
+
+def _prefix_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs of `open_` (id, c, n) in different components that can reach the similarity.
+
+    With the tokens of each set ordered from the rarest, two similar sets share one among their first n - percent * n + 1,
+    and after the first that they share enough tokens are left in both. So what keeps copies of a text apart, their own
+    words, comes first, and pairs that differ too much never meet.
+    """
+    rows = texts.join(open_.select("id"), "id", "left_semi").select("id", "text").mapInArrow(partial(_tokens, size=size), "id long, token long")
+    rows = written(rows, "tokens")
+    shared = rows.groupBy("token").count().where("count > 1")
+    n_shared = rows.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("tokens"))
+    # tokens of one text alone come first in any order, so only their number matters
+    ranked = n_shared.join(open_, "id").select("id", "c", "n", F.posexplode("tokens").alias("k", "t"), (F.col("n") - F.size("tokens")).alias("alone"))
+    ranked = ranked.select("id", "c", "n", F.col("t.token").alias("token"), (F.col("alone") + F.col("k") + 1).alias("at"))
+    ranked = written(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
+    x = ranked.select("token", *[F.col(k).alias(f"{k}_a") for k in ("id", "c", "n", "at")])
+    left = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
+    enough = left * (100 + percent) >= percent * (F.col("n_a") + F.col("n"))
+    apart = (F.col("c_a") < F.col("c")) & (F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent)
+    return x.join(ranked, "token").where(apart & enough).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-6) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their sets of `shingle`-word shingles
     (A-Z lower-cased). Null and empty texts, and texts without words, have an empty set and link with nothing.
     Repeated rows of an id count as one document; a null id links with nothing and is kept. Other columns of
-    docs are ignored. Equal sets are joined by their hash first; buckets of the sketch bands are then compared in
-    rounds: a pivot with all members outside its component, and last all pairs of members still in different
-    components, so that groups of copies never expand into all pairs while no link between components is lost.
+    docs are ignored. Equal sets are joined by their hash first. In each bucket of the sketch bands the smallest id is
+    then compared with all members, next another one with the members outside its component, and last the members of
+    buckets that still span components with each other by the rare words they share. So groups of copies never expand
+    into all pairs, while no link between components is lost.
     """
     bands = bands_for(percent / 100, rows, miss)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -138,30 +168,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return written(both.select("a", "b", "text_a", "text_b").mapInArrow(partial(_similar, size=shingle, percent=percent), "a long, b long"), "links")
 
     first = members.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    done = links = None
-    for k in range(PIVOT_ROUNDS + 1):
+    links = verified(written(first, "pairs"))
+    done, comp = first, connected_components(links, "a", "b")
+    for k in range(2):
+        named = members.join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        mixed = named.groupBy("bucket").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi").select("bucket")
+        named = written(named.join(mixed, "bucket", "left_semi"), "open")
+        if named.isEmpty():
+            break
         if k == 0:
-            pairs = first
+            pivot = named.groupBy("bucket").agg(F.min_by(F.struct("rep", "c", "n"), F.xxhash64("rep")).alias("p"))
+            pairs = named.join(pivot, "bucket").where((F.col("c") != F.col("p.c")) & fits("n", "p.n")).select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
         else:
-            named = members.join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-            mixed = named.groupBy("bucket").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi").select("bucket")
-            named = written(named.join(mixed, "bucket", "left_semi"), "open")
-            if named.isEmpty():
-                break
-            if k < PIVOT_ROUNDS:
-                pivot = named.groupBy("bucket").agg(F.min_by(F.struct("rep", "c", "n"), F.xxhash64("rep", F.lit(k))).alias("p"))
-                pairs = named.join(pivot, "bucket").where((F.col("c") != F.col("p.c")) & fits("n", "p.n")).select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
-            else:
-                # all pairs between components; the largest component of a bucket meets the others, never itself
-                sizes = named.groupBy("bucket", "c").count()
-                big = sizes.groupBy("bucket").agg(F.max_by("c", "count").alias("big"))
-                x = named.join(big, "bucket").where("c <> big").select("bucket", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-                pairs = x.join(named, "bucket").where((F.col("c_a") != F.col("c")) & fits("n_a", "n")).select("a", F.col("rep").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        done = pairs if done is None else done.union(pairs)
-        found = verified(pairs)
-        links = found if links is None else links.union(found)
+            pairs = _prefix_pairs(named.select(F.col("rep").alias("id"), "c", "n").distinct(), texts, shingle, percent)
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        done, links = done.union(pairs), links.union(verified(pairs))
         comp = connected_components(links, "a", "b")
     label = reps.join(comp, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("component"))
     out = table.join(label, sets, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

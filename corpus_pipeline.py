@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnquery.llm.decontaminate import find_leaks
 from tarnquery.llm.minhash import near_duplicates
+from tarnquery.llm.mixing import mix_to_targets
 from tarnquery.llm.session import join_small, written
 from tarnquery.llm.substring import remove_repeats
 from tarnquery.llm.toxicity import ToxicityModel
@@ -34,7 +36,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.select(*[cut if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
-STAGES = [("toxicity", toxicity), ("minhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or an edited copy of one, go."""
+    leaks = written(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
+    return join_small(docs, leaks, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how many of their words and so how often."""
+    return mix_to_targets(docs).where(F.col("taken") > 0)
+
+
+STAGES = [("toxicity", toxicity), ("minhash_near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontaminate), ("source_mixing", mix_sources)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,12 +52,25 @@ OP6_SQL = """
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnquery.llm.minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).withColumnRenamed("id", "doc_id")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm.mixing import mix_to_targets
+
+    mixed = mix_to_targets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnquery.llm.toxicity import ToxicityModel, held_out
 

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9).withColumnRenamed("id", "vec_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnquery.llm.substring import remove_repeats
 

@@ -20,7 +20,9 @@ from tarnquery.llm.exchange import CHUNK, bucket_edges, chunked, pack, pack_bits
 from tarnquery.llm.hashing import BASES, U, Words, grams, slices, string_parts, tokenise
 
 #: Anchors are hashed to so many bits; a false hit only costs an exact comparison.
-ANCHOR_BITS = U(56)
+ANCHOR_BITS = U(48)
+#: Bytes of a window's second hash, beside 64 bits of the first.
+CHECK_BYTES = 5
 
 
 def _words(table: pa.Table, text: str):
@@ -73,6 +75,17 @@ def _match_anchors(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"].take(pa.array(some, pa.int64())), "bucket": table["bucket"].take(pa.array(some, pa.int64())), "hits": pa.array([pack_bits(parts[k]) for k in some], pa.binary())})
 
 
+def _cut_bytes(h: np.ndarray) -> bytes:
+    """The low CHECK_BYTES of each hash."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :CHECK_BYTES]).tobytes()
+
+
+def _whole_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // CHECK_BYTES, 8), np.uint8)
+    out[:, :CHECK_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, CHECK_BYTES)
+    return out.view(U).reshape(-1)
+
+
 def _windows(w: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return grams(w, window, BASES[1])
 
@@ -99,7 +112,7 @@ def _send_windows(left: pa.Table, right: pa.Table, text: str, block: int, window
         near = seen[window - block + 1 :][: len(a)] > seen[: len(a)]
         near &= whole
         out_a.append(a[near])
-        out_b.append(grams(w, window, BASES[2])[0][near])
+        out_b.append(grams(w, window, BASES[2])[0][near] & U((1 << 8 * CHECK_BYTES) - 1))
     if not sum(map(len, out_a)):
         return none
     a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -109,7 +122,7 @@ def _send_windows(left: pa.Table, right: pa.Table, text: str, block: int, window
     many = np.diff(new, append=len(a)) > 1
     a, b = a[new], b[new]
     edges = bucket_edges(a, buckets)
-    rows = [(k, pack(a[x:y]), b[x:y].tobytes(), pack_bits(many[x:y])) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
+    rows = [(k, pack(a[x:y]), _cut_bytes(b[x:y]), pack_bits(many[x:y])) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if y > x]
     chunk = left[CHUNK][0].as_py()
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "a": pa.array([r[1] for r in rows], pa.binary()), "b": pa.array([r[2] for r in rows], pa.binary()), "many": pa.array([r[3] for r in rows], pa.binary())})
 
@@ -118,7 +131,7 @@ def _match_windows(table: pa.Table) -> pa.Table:
     """Of one bucket: the windows that start at more than one place, for each chunk that holds one."""
     each = [unpack(k) for k in table["a"].to_pylist()]
     sizes = [len(k) for k in each]
-    a, b = np.concatenate(each), np.concatenate([np.frombuffer(x, U) for x in table["b"].to_pylist()])
+    a, b = np.concatenate(each), np.concatenate([_whole_bytes(x) for x in table["b"].to_pylist()])
     many = np.concatenate([unpack_bits(x, n) for x, n in zip(table["many"].to_pylist(), sizes, strict=True)])
     order = np.lexsort((b, a))
     sa, sb = a[order], b[order]

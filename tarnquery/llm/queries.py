@@ -32,6 +32,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, digest=True)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnquery.llm import chat
 

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tarnquery.plans import repository, texts  # noqa: F401
+    from tarnquery.plans import joins, repository, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

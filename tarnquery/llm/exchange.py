@@ -65,3 +65,16 @@ def pack_bits(mask: np.ndarray) -> bytes:
 
 def unpack_bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Mostly small numbers in a byte each; those of 255 or more follow in full."""
+    large = values >= 255
+    return int(large.sum()).to_bytes(8, "little") + values[large].astype(np.int64).tobytes() + np.where(large, 255, values).astype(np.uint8).tobytes()
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    out = np.frombuffer(data, np.uint8, offset=8 + 8 * n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, n, offset=8)
+    return out

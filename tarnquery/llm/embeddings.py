@@ -20,7 +20,7 @@ from tarnquery.llm.components import connected_components
 from tarnquery.llm.session import join_small, written
 
 #: Axes of a block, vectors whose home is one tile of a block, and vectors compared at once.
-AXES, TILE, LEAF = 8, 16384, 256
+AXES, TILE, LEAF, CHUNK = 11, 16384, 256, 4096
 
 
 def _unit(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +52,7 @@ def _covariance(batches, dim: int):
 
 
 def _deal(batches, dim: int, turn: np.ndarray, blocks: list[tuple[int, int]], radius: np.ndarray, edges: list[np.ndarray], salts: list[np.ndarray]):
-    """Vectors packed by tile: as homes in their own strip of a block, and as probes in every strip within reach."""
+    """Vectors packed by tile: as homes in their own strip of a block, and as probes in each strip before it within reach."""
     for batch in batches:
         ids = np.asarray(batch.column(0))
         copies = np.asarray(batch.column(2))
@@ -62,28 +62,29 @@ def _deal(batches, dim: int, turn: np.ndarray, blocks: list[tuple[int, int]], ra
         for b, (a, _) in enumerate(blocks):
             first = y[:, a]
             home = np.searchsorted(edges[b], first, "right")
-            lo, hi = (np.searchsorted(edges[b], first + d, "right") for d in (-radius[b], radius[b]))
+            lo = np.searchsorted(edges[b], first - radius[b], "right")  # a pair meets where the one before has its home
             own = ids % np.maximum(salts[b][home], 1)
             for strip in range(len(edges[b]) + 1):
-                near = np.flatnonzero((lo <= strip) & (strip <= hi))
+                near = np.flatnonzero((lo <= strip) & (strip <= home))
                 if not len(near):
                     continue
                 for salt in range(int(salts[b][strip])):
                     is_home = (home[near] == strip) & (own[near] == salt)
-                    rows.append((b, strip, salt, ids[near].tobytes(), copies[near].tobytes(), x[near].tobytes(), is_home.tobytes()))
+                    rows.append((b, strip, salt, ids[near].tobytes(), copies[near].tobytes(), x[near].tobytes(), first[near].tobytes(), is_home.tobytes()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] * 3 + [pa.binary()] * 4)], ["block", "strip", "salt", "ids", "copies", "x", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] * 3 + [pa.binary()] * 5)], ["block", "strip", "salt", "ids", "copies", "x", "first", "home"])
 
 
 def _leaves(home: np.ndarray, probe: np.ndarray, y: np.ndarray, r: float):
-    """Splits homes at medians until LEAF are left; probes farther than r from a part's range are left out of it."""
+    """Splits homes at medians until LEAF are left; probes farther than r from a part's range, or before it on
+    the first axis, are left out of it."""
     todo = [(home, probe)]
     while todo:
         h, p = todo.pop()
         if len(h) <= LEAF:
             for c in range(y.shape[1]):
                 v = y[h, c]
-                p = p[(y[p, c] >= v.min() - r) & (y[p, c] <= v.max() + r)]
+                p = p[(y[p, c] >= v.min() - (r if c else 1e-6)) & (y[p, c] <= v.max() + r)]
             yield h, p
             continue
         c = int(np.argmax(y[h].std(0)))
@@ -94,7 +95,7 @@ def _leaves(home: np.ndarray, probe: np.ndarray, y: np.ndarray, r: float):
             todo += [(h[:half], p), (h[half:], p)]
             continue
         top, bottom = v[low].max(), v[~low].min()
-        todo += [(h[low], p[y[p, c] <= top + r]), (h[~low], p[y[p, c] >= bottom - r])]
+        todo += [(h[low], p[y[p, c] <= top + r]), (h[~low], p[y[p, c] >= bottom - (r if c else 1e-6)])]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,22 +119,26 @@ def _join(key, table: pa.Table, turn: np.ndarray, blocks: list[tuple[int, int]],
     join = lambda name, kind: np.concatenate([np.frombuffer(v, kind) for v in table[name].to_pylist()])
     ids, copies, home = join("ids", np.int64), join("copies", np.int64), join("home", bool)
     x = join("x", np.float64).reshape(-1, dim)
-    y = x @ turn
+    y, first = x @ turn, join("first", np.float64)
     starts = [s for s, _ in blocks]
     a, z = blocks[b]
     part = y[:, a:z].astype(np.float32)
-    square = (part * part).sum(1)
+    half = (part * part).sum(1, keepdims=True) / 2
     reach = float(budget[b]) * 1.0001 + 1e-5  # single precision only preselects
+    one = np.ones_like(half)
+    # the product of a row of each is (reach - squared distance) / 2
+    left, right = np.hstack([part, one, reach / 2 - half]).astype(np.float32), np.hstack([part, -half, one]).astype(np.float32).T
     links, edges = np.zeros(len(ids), np.int64), []
     for h, p in _leaves(np.flatnonzero(home), np.arange(len(ids)), part, math.sqrt(budget[b]) + 1e-4):
         if not len(h) or not len(p):
             continue
-        for k in range(0, len(p), 1 << 15):
-            q = p[k : k + (1 << 15)]
-            near = square[h][:, None] + square[q][None, :] - 2 * (part[h] @ part[q].T) <= reach
-            i, j = np.nonzero(near)
+        rows = left[h]
+        for k in range(0, len(p), CHUNK):
+            q = p[k : k + CHUNK]
+            i, j = np.divmod(np.flatnonzero(rows @ right[:, q] >= 0), len(q))
             i, j = h[i], q[j]
-            keep = ids[i] != ids[j]
+            # each pair once: where both are at home in a strip, from the one that comes first
+            keep = (first[i] < first[j]) | ((first[i] == first[j]) & (ids[i] < ids[j]))
             i, j = i[keep], j[keep]
             for m in range(0, len(i), 1 << 16):
                 u, v = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
@@ -143,6 +148,7 @@ def _join(key, table: pa.Table, turn: np.ndarray, blocks: list[tuple[int, int]],
                 mine = within.argmax(1) == b
                 u, v = u[mine], v[mine]
                 np.add.at(links, u, copies[v])
+                np.add.at(links, v, copies[u])
                 if len(u):
                     edges.append(np.stack(_forest(ids[u], ids[v])))
     if edges:
@@ -208,7 +214,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         edges.append(np.array(kept))
         counts = {r.s: r["count"] for r in first.select(sum([(F.col(f"d{b}") >= c).cast("int") for c in kept], F.lit(0)).alias("s")).groupBy("s").count().collect()} if kept else {0: n}
         salts.append(np.array([max(1, math.ceil(counts.get(s, 0) / tile)) for s in range(len(kept) + 1)]))
-    dealt = reps.select("rep", "v", "copies").mapInArrow(partial(_deal, dim=dim, turn=turn, blocks=blocks, radius=radius, edges=edges, salts=salts), "block int, strip int, salt int, ids binary, copies binary, x binary, home binary")
+    dealt = reps.select("rep", "v", "copies").mapInArrow(partial(_deal, dim=dim, turn=turn, blocks=blocks, radius=radius, edges=edges, salts=salts), "block int, strip int, salt int, ids binary, copies binary, x binary, first binary, home binary")
 
     def joined(key, table):
         return _join(key, table, turn, blocks, budget, cosine)

@@ -107,11 +107,11 @@ def last_security_events(spark, sf_dir):
     return errors(spark, sf_dir).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("severity", "event_id", stamp().alias("at"), "rank")
 
 
-@query("SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
+@query("SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean FROM events")
 def last_n_avg(spark, sf_dir):
     """AGG19, WIN5: the mean of the last hundred responses."""
     w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return events(spark, sf_dir).select("event_type", "event_id", F.round(F.avg("value").over(w), 6).alias("mean"))
+    return events(spark, sf_dir).select("event_type", "event_id", F.round(F.avg("value").over(w), 9).alias("mean"))
 
 
 @query(f"SELECT event_type || ':' || ({K} % 3) AS endpoint, count(*) AS requests, count(*) FILTER (value >= 50) AS errors, round(coalesce(100.0 * count(*) FILTER (value >= 50) / nullif(count(*), 0), 0), 6) AS error_rate FROM events GROUP BY ALL")

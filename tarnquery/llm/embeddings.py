@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnquery.llm.components import connected_components
-from tarnquery.llm.session import join_small, written
+from tarnquery.llm.hashing import mix
+from tarnquery.llm.session import written
 
 #: Axes of a block, vectors whose home is one tile of a block, and vectors compared at once.
 AXES, TILE, LEAF, CHUNK = 11, 16384, 256, 4096
@@ -42,22 +43,59 @@ def _unit(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return ok[good], flat[good] / norm[good][:, None]
 
 
+def _units(batches, dim: int):
+    """(id, two hashes, unit vector as bytes) of each row; nulls for a vector that links with nothing."""
+    for batch in batches:
+        ok, x = _unit(batch.column(1), dim)
+        ok_ids = np.asarray(batch.column(0).is_valid())[ok]
+        ok, x = ok[ok_ids], x[ok_ids] + 0.0
+        bits = x.view(np.uint64)
+        h = [np.zeros(len(x), np.uint64), np.zeros(len(x), np.uint64)]
+        for k in range(dim):
+            for j, salt in enumerate((0x9E3779B97F4A7C15, 0xD1342543DE82EF95)):
+                h[j] = mix((h[j] ^ bits[:, k]) + np.uint64(salt))
+        at = np.full(batch.num_rows, -1)
+        at[ok] = np.arange(len(ok))
+        take = pa.array(np.maximum(at, 0), mask=at < 0)
+        rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v.view(np.int64)).take(take) for v in h], rows.take(take)], ["id", "h1", "h2", "x"])
+
+
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+
+
 def _covariance(batches, dim: int):
     total, count = np.zeros((dim, dim)), 0
     for batch in batches:
-        _, x = _unit(batch.column(1), dim)
+        x = _rows(batch.column(0), dim)
         total += x.T @ x
         count += len(x)
     yield pa.RecordBatch.from_arrays([pa.array([[float(count), *total.reshape(-1)]], pa.list_(pa.float64()))], ["sums"])
 
 
+def _firsts(batches, axes: np.ndarray):
+    """The first coordinate in each block."""
+    for batch in batches:
+        d = _rows(batch.column(0), len(axes)) @ axes
+        yield pa.RecordBatch.from_arrays([pa.array(d[:, b]) for b in range(d.shape[1])], [f"d{b}" for b in range(d.shape[1])])
+
+
+def _strip_sizes(batches, axes: np.ndarray, edges: list[np.ndarray]):
+    counts = [np.zeros(len(e) + 1, np.int64) for e in edges]
+    for batch in batches:
+        d = _rows(batch.column(0), len(axes)) @ axes
+        for b, e in enumerate(edges):
+            counts[b] += np.bincount(np.searchsorted(e, d[:, b], "right"), minlength=len(e) + 1)
+    rows = [(b, k, int(c)) for b, v in enumerate(counts) for k, c in enumerate(v) if c]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["block", "strip", "n"])
+
+
 def _deal(batches, dim: int, turn: np.ndarray, blocks: list[tuple[int, int]], radius: np.ndarray, edges: list[np.ndarray], salts: list[np.ndarray]):
     """Vectors packed by tile: as homes in their own strip of a block, and as probes in each strip before it within reach."""
     for batch in batches:
-        ids = np.asarray(batch.column(0))
-        copies = np.asarray(batch.column(2))
-        ok, x = _unit(batch.column(1), dim)
-        ids, copies, y = ids[ok], copies[ok], x @ turn
+        ids, copies, x = np.asarray(batch.column(0)), np.asarray(batch.column(2)), _rows(batch.column(1), dim)
+        y = x @ turn
         rows = []
         for b, (a, _) in enumerate(blocks):
             first = y[:, a]
@@ -171,50 +209,46 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Two vectors are linked if their cosine in double precision is at least `cosine` (above 0). Vectors that are null,
     zero, hold null or non-finite components, or have another length than most, link with nothing. Equal vectors are
     joined first and stand as one with their number; every other pair within reach is compared once. Ids are unique; a
-    null id links with nothing. Other columns are dropped.
+    null id links with nothing. Other columns are dropped. Vectors count as equal by 128 bits of hash of the unit vector.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be above 0, at most 1")
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    plain = given.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull() | F.isnan(e.cast("double"))))
-    dim = plain.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    single = given.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if dim is None or not dim.d:
-        return single
+    dim = given.where(F.col("v").isNotNull()).groupBy(F.size("v").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
+    if dim is None:
+        return given.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     dim = dim.d
+    units = written(given.mapInArrow(partial(_units, dim=dim), "id long, h1 long, h2 long, x binary"), "units")
     # equal vectors first: one row for each, with the number of its copies
-    plain = plain.where(F.size("v") == dim).withColumn("v", F.transform("v", lambda e: e.cast("double") + F.lit(0.0)))
-    plain = plain.where(F.exists("v", lambda e: e != 0) & ~F.exists("v", lambda e: F.abs(e) == F.lit(float("inf"))))
-    same = plain.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = written(same.select("rep", "v", "copies"), "vectors")
-    sums = np.sum([r.sums for r in reps.select("rep", "v").mapInArrow(partial(_covariance, dim=dim), "sums array<double>").collect()], axis=0)
+    same = units.where("x is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.any_value("x").alias("x"), F.count("*").alias("copies"))
+    reps = written(same, "vectors")
+    sums = np.sum([r.sums for r in reps.select("x").mapInArrow(partial(_covariance, dim=dim), "sums array<double>").collect()], axis=0)
     n = int(sums[0])
-    scatter = sums[1:].reshape(dim, dim) / max(n, 1)
-    value, turn = np.linalg.eigh(scatter)
-    turn = np.ascontiguousarray(turn[:, ::-1])
-    value = np.maximum(value[::-1], 0)
+    value, turn = np.linalg.eigh(sums[1:].reshape(dim, dim) / max(n, 1))
+    turn, value = np.ascontiguousarray(turn[:, ::-1]), np.maximum(value[::-1], 0)
     blocks = [(a, min(a + axes, dim)) for a in range(0, dim, axes)]
     shares = np.array([value[a:z].sum() for a, z in blocks]) + 1e-9
     budget = (2 - 2 * cosine) * shares / shares.sum() + 1e-12
     radius = np.sqrt(budget) + 1e-9
     # strips of a block along its first axis: no narrower than its radius; a crowded strip is dealt out by salts
-    edges, salts = [], []
-    first = reps.select("v", *[F.aggregate(F.zip_with("v", F.array(*[F.lit(float(t)) for t in turn[:, a]]), lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t).alias(f"d{b}") for b, (a, _) in enumerate(blocks)])
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, t: s + t * t))
-    first = first.select(*[(F.col(f"d{b}") / norm).alias(f"d{b}") for b in range(len(blocks))])
+    firsts = np.ascontiguousarray(turn[:, [a for a, _ in blocks]])
+    edges = [np.zeros(0) for _ in blocks]
     strips = max(1, math.ceil(n / tile))
     if strips > 1:
         share = [k / strips for k in range(1, strips)]
-        cut = first.agg(*[F.percentile_approx(f"d{b}", share, 1000 * strips).alias(f"d{b}") for b in range(len(blocks))]).first()
-    for b in range(len(blocks)):
-        kept: list[float] = []
-        for c in cut[b] if strips > 1 else []:
-            if not kept or c - kept[-1] >= radius[b]:
-                kept.append(c)
-        edges.append(np.array(kept))
-        counts = {r.s: r["count"] for r in first.select(sum([(F.col(f"d{b}") >= c).cast("int") for c in kept], F.lit(0)).alias("s")).groupBy("s").count().collect()} if kept else {0: n}
-        salts.append(np.array([max(1, math.ceil(counts.get(s, 0) / tile)) for s in range(len(kept) + 1)]))
-    dealt = reps.select("rep", "v", "copies").mapInArrow(partial(_deal, dim=dim, turn=turn, blocks=blocks, radius=radius, edges=edges, salts=salts), "block int, strip int, salt int, ids binary, copies binary, x binary, first binary, home binary")
+        along = reps.select("x").mapInArrow(partial(_firsts, axes=firsts), ", ".join(f"d{b} double" for b in range(len(blocks))))
+        cut = along.agg(*[F.percentile_approx(f"d{b}", share, 100 * strips) for b in range(len(blocks))]).first()
+        for b in range(len(blocks)):
+            kept: list[float] = []
+            for c in cut[b]:
+                if not kept or c - kept[-1] >= radius[b]:
+                    kept.append(c)
+            edges[b] = np.array(kept)
+    salts = [np.ones(len(e) + 1, np.int64) for e in edges]
+    sizes = reps.select("x").mapInArrow(partial(_strip_sizes, axes=firsts, edges=edges), "block int, strip int, n long")
+    for r in sizes.groupBy("block", "strip").agg(F.sum("n").alias("n")).collect():
+        salts[r.block][r.strip] = math.ceil(r.n / tile)
+    dealt = reps.select("rep", "x", "copies").mapInArrow(partial(_deal, dim=dim, turn=turn, blocks=blocks, radius=radius, edges=edges, salts=salts), "block int, strip int, salt int, ids binary, copies binary, x binary, first binary, home binary")
 
     def joined(key, table):
         return _join(key, table, turn, blocks, budget, cosine)
@@ -222,8 +256,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = written(dealt.groupBy("block", "strip", "salt").applyInArrow(joined, "vec long, links long, root long"), "found")
     links = found.where("links is not null").groupBy(F.col("vec").alias("rep")).agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("root is not null"), "vec", "root")
-    label = reps.select("rep", "v", "copies").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    label = label.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = plain.join(label, "v").select("id", "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    rest = join_small(given, plain.select("id"), "id", "left_anti")
-    return linked.unionByName(rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))
+    label = reps.select("rep", "h1", "h2", "copies").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    label = label.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = units.select("id", "h1", "h2").join(label, ["h1", "h2"], "left")
+    component = F.coalesce("component_id", "id")
+    return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -185,5 +185,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done, links = done.union(pairs), links.union(verified(pairs))
         comp = connected_components(links, "a", "b")
     label = reps.join(comp, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("component"))
-    out = table.join(label, sets, "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    out = table.join(label, sets, "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -47,7 +47,7 @@ def status_distribution(spark, sf_dir):
 @query("""
     SELECT count(*) AS total, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed,
         round(100.0 * count(*) FILTER (event_type = 'purchase') / greatest(count(*), 1), 6) AS success_rate, round(avg(value) FILTER (event_type = 'purchase'), 6) AS mean, round(sum(value) FILTER (event_type = 'purchase'), 4) AS spent,
-        CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS seconds FROM events
+        (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS seconds FROM events
 """)
 def batch_stats(spark, sf_dir):
     """AGG12, DAT3, MTH3: success rate, mean and total time, length of the run."""
@@ -353,3 +353,25 @@ def pricing_summary(spark, sf_dir):
     """SRC6: a full scan with a pushed filter and a grouped summary."""
     t = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
     return t.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+@query("""
+    SELECT user_id, count(*) FILTER (event_type = 'purchase') AS success, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS skipped,
+        (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS runtime FROM events GROUP BY user_id
+""")
+def worker_runs(spark, sf_dir):
+    """PIP6, PIP8: counters and runtime of each run of a worker."""
+    kind = F.col("event_type")
+    return events(spark, sf_dir).groupBy("user_id").agg(F.count_if(kind == "purchase").alias("success"), F.count_if(kind == "error").alias("failed"), F.count_if(~kind.isin("purchase", "error")).alias("skipped"), F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).alias("runtime"))
+
+
+@query("""
+    SELECT 'items' AS part, 'total' AS name, count(*) AS n FROM documents UNION ALL SELECT 'category', source, count(*) FROM documents GROUP BY source UNION ALL SELECT 'topic', lang, count(*) FROM documents GROUP BY lang
+    UNION ALL SELECT 'status', event_type, count(*) FROM events GROUP BY event_type
+""")
+def status_facade(spark, sf_dir):
+    """PIP10: the repository's summary and the queue's status as rows."""
+    d = table(spark, sf_dir, "documents").groupingSets([[], ["source"], ["lang"]], "source", "lang").agg(F.count("*").alias("n"), F.grouping("source").alias("gs"), F.grouping("lang").alias("gl"))
+    parts = F.when(F.col("gs") == 0, "category").when(F.col("gl") == 0, "topic").otherwise("items")
+    d = d.select(parts.alias("part"), F.when(F.col("gs") == 0, F.col("source")).when(F.col("gl") == 0, F.col("lang")).otherwise("total").alias("name"), "n")
+    return d.unionByName(events(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n")).withColumn("part", F.lit("status")))

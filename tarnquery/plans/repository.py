@@ -13,7 +13,7 @@ from tarnquery.plans.registry import query, table
     FROM documents GROUP BY source ORDER BY n DESC, category
 """)
 def category_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG1, AGG2: items and share by category, largest first."""
+    """AGG1, AGG2, SRT5: items and share by category, largest first."""
     docs = table(spark, sf_dir, "documents")
     by = docs.groupBy(F.col("source").alias("category")).agg(F.count("*").alias("n"))
     total = by.agg(F.sum("n").alias("total"))

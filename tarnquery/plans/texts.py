@@ -416,3 +416,56 @@ def demo_content(spark, sf_dir):
     """SRC16, PIP7: content chosen by words of the URL."""
     low = F.lower("url")
     return pages(spark, sf_dir).select("page_id", F.when(low.contains("casino") | low.contains("bets"), "Games").when(low.contains("th"), "Insights").otherwise("Professional growth").alias("title"), F.regexp_extract("url", r"/(\d+)", 1).alias("post_id"))
+
+
+ALTS = "list_filter(string_split(text, '. '), lambda s: s <> '')[1:3]"
+ALT_TEXT = SQUEEZE("regexp_replace(regexp_replace(a, 'No alternative text description for this image', '', 'gi'), 'Image may contain:', '', 'gi')")
+
+
+@query(f"""
+    SELECT doc_id, array_to_string(list_transform({ALTS}, lambda a, i: 'Image ' || i || ': ' || CASE WHEN length(a) > 10 THEN (CASE WHEN length({ALT_TEXT}) > 10 THEN {ALT_TEXT} ELSE '' END) ELSE 'Visual content (infographic/chart/diagram)' END), '; ') AS insights FROM documents
+""")
+def image_insights(spark, sf_dir):
+    """TXT15: what the alternative texts of a post's images say, numbered."""
+    alts = F.slice(F.filter(F.split("text", r"\. "), lambda s: s != ""), 1, 3)
+    return docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(alts, lambda a, i: T.image_insight(a, i + 1)), "; ").alias("insights"))
+
+
+@query(f"""
+    WITH k AS (SELECT doc_id, lang, text, {STRIP("array_to_string(string_split(text, '.')[1:3], '. ')")} AS k FROM documents)
+    SELECT doc_id, CASE WHEN k <> '' AND NOT ends_with(k, '.') THEN k || '.' ELSE k END AS knowledge,
+        CASE WHEN contains(lower(text), 'thing') THEN 'Basics, Practice' WHEN contains(lower(text), 'ation') THEN 'Theory' WHEN lang = 'en' THEN 'English' ELSE 'General' END AS courses FROM k
+""")
+def demo_knowledge(spark, sf_dir):
+    """TXT21, TXT22: knowledge of the first sentences, courses by keyword, else by category."""
+    k = T.strip(F.array_join(F.slice(F.split("text", r"\."), 1, 3), ". "))
+    low = F.lower("text")
+    courses = F.when(low.contains("thing"), "Basics, Practice").when(low.contains("ation"), "Theory").when(F.col("lang") == "en", "English").otherwise("General")
+    return docs(spark, sf_dir).select("doc_id", F.when((k != "") & ~k.endswith("."), F.concat(k, F.lit("."))).otherwise(k).alias("knowledge"), courses.alias("courses"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(left(text, 200)), '\p{L}+|\P{L}+'), lambda w: upper(left(w, 1)) || substr(w, 2)), '') AS titled FROM documents WHERE NOT contains(text, 'ß')")
+def title_case(spark, sf_dir):
+    """TXT23: capitals after every character that isn't a letter; without sharp s, whose capital differs by engine."""
+    return docs(spark, sf_dir).where(~F.col("text").contains("ß")).select("doc_id", T.title_case(F.left("text", F.lit(200))).alias("titled"))
+
+
+@query("""
+    SELECT event_id, strftime(CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2024-01-31' ELSE ts END, '%Y-%m-%d %H:%M:%S') AS posted, CAST(user_id AS BIGINT) AS likes, CAST(0 AS BIGINT) AS shares FROM events
+""")
+def post_dates(spark, sf_dir):
+    """TXT25: a post's date from its ISO attribute, else a given time, and its engagement record."""
+    iso = F.when(F.col("event_id") % 5 == 0, "unknown").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+    at = F.coalesce(F.try_to_timestamp(iso), F.lit("2024-01-31").cast("timestamp"))
+    record = F.struct(T.engagement(F.concat(F.col("user_id").cast("string"), F.lit(" likes"))).alias("likes"), T.engagement(F.lit("")).alias("shares"))
+    e = table(spark, sf_dir, "events").select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("posted"), record.alias("r"))
+    return e.select("event_id", "posted", "r.likes", "r.shares")
+
+
+@query("SELECT p.page_id, d.doc_id IS NULL AS orphan FROM (SELECT page_id, 'item_' || (page_id * 3) || '_image.jpg' AS f FROM pages) p LEFT JOIN documents d ON CAST(regexp_extract(f, 'item_(\\d+)_', 1) AS BIGINT) = d.doc_id")
+def orphan_files(spark, sf_dir):
+    """VAL8: files whose name stands for no item."""
+    name = F.concat(F.lit("item_"), (F.col("page_id") * 3).cast("string"), F.lit("_image.jpg"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(name, r"item_(\d+)_", 1).cast("long").alias("doc_id"))
+    known = docs(spark, sf_dir).select("doc_id", F.lit(True).alias("known")).distinct()
+    return p.join(known, "doc_id", "left").select("page_id", F.col("known").isNull().alias("orphan"))

@@ -15,7 +15,7 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_repository(spark: SparkSession, path: str) -> DataFrame:
-    """Items of a JSON repository; missing fields get defaults. A corrupt file holds no items."""
+    """SRC1, SRC2: items of a JSON repository; missing fields get defaults. A corrupt file holds no items."""
     items = _json(spark, path, f"items ARRAY<STRUCT<{_struct(ITEM)}>>").select(F.explode("items").alias("i")).select("i.*")
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("infographic_summary", "notes_applications")]
     courses = F.coalesce("course_references", F.array().cast("array<string>")).alias("course_references")
@@ -24,13 +24,14 @@ def read_repository(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_queue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Tasks of a queue file, and the entries that lack what a task needs."""
+    """SRC3: tasks of a queue file, and the entries that lack what a task needs."""
     tasks = _json(spark, path, f"tasks MAP<STRING, STRUCT<{_struct(TASK)}>>").select(F.explode("tasks").alias("key", "t")).select("key", "t.*")
     ok = F.col("id").isNotNull() & F.col("url").isNotNull()
     return tasks.where(ok).drop("key"), tasks.where(~ok)
 
 
 def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """SRC4: the records of an error log."""
     return _json(spark, path, f"error_records MAP<STRING, STRUCT<{_struct(ERROR)}>>").select(F.explode(F.map_values("error_records")).alias("e")).select("e.*")
 
 
@@ -39,7 +40,7 @@ def _struct(ddl: str) -> str:
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
-    """One URL for each line that isn't blank."""
+    """SRC5: one URL for each line that isn't blank."""
     return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("url")).where("url <> ''")
 
 

@@ -68,3 +68,9 @@ def run_to_table(stream: DataFrame, path: str, mode: str) -> DataFrame:
         writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/data"))
     writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(f"{path}/data")
+
+
+def deliver(stream: DataFrame, send, checkpoint: str):
+    """Hands each batch of alerts to send(rows), such as a mailer or webhook (SNK17); at least once."""
+    hand = lambda df, _: send(df.toLocalIterator())
+    return stream.writeStream.foreachBatch(hand).option("checkpointLocation", checkpoint).trigger(processingTime="30 seconds").start()

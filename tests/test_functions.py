@@ -79,3 +79,27 @@ def test_pii_spans_masks_and_risk(spark):
 def test_cleaning_is_idempotent_but_for_joined_marks(spark, text):
     once = one(spark, T.squeeze(F.col("t")), t=text)
     assert one(spark, T.squeeze(F.col("t")), t=once) == once
+
+
+def test_settings():
+    from tarnquery.functions.config import Settings
+
+    got = Settings.from_env(env={"TARNQUERY_BATCH_SIZE": "0", "TARNQUERY_DEBUG": "yes", "TARNQUERY_ALERT_WEBHOOK": "http://x"})
+    assert got.problems() == ["batch_size must be above 0"] and got.warnings() == ["debug is on", "the webhook isn't encrypted"]
+    assert not Settings().problems() and not Settings().warnings()
+
+
+def test_annotator_isolates_errors(spark):
+    from tarnquery.operators.annotate import annotate, with_fallback
+
+    def make():
+        def ask(texts):
+            if "bad" in texts:
+                raise ValueError("no")
+            return [t.upper() for t in texts]
+
+        return ask
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "bad", None, "c"])], "k int, t string").coalesce(1)
+    out = with_fallback(annotate(df, "t", make), {"said": F.lit("rule")}, {"said": F.col("reply")})
+    assert [(r.k, r.said, r.error) for r in out.orderBy("k").collect()] == [(0, "A", None), (1, "rule", "ValueError: no"), (2, "", None), (3, "C", None)]

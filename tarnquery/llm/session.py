@@ -1,34 +1,21 @@
-"""Session helpers: the folder shared by the driver and executors, and tables that cut lineage."""
+"""Tables in the shared folder that cut lineage, and joins that broadcast only what is proven small."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnquery.sources.shared import new_folder
+
 #: Rows up to which a table of ids or keys is small enough to be sent to every executor.
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tarnquery-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps don't repeat its work if an executor is lost."""
-    path = new_path(df.sparkSession, tag)
+    path = new_folder(df.sparkSession, tag)
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

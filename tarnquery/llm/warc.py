@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from tarnquery.llm.session import join_small, new_path
+from tarnquery.llm.session import join_small
+from tarnquery.sources.shared import new_folder
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, intact boolean, payload binary, headers map<string,string>"
 ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("intact", pa.bool_()), ("payload", pa.binary()), ("headers", pa.map_(pa.string(), pa.string()))])
@@ -335,7 +336,7 @@ def id_of(urn: str) -> Column:
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", min_bytes: int = 0) -> DataFrame:
     """Writes the pages as archives to the shared folder and reads them back."""
     spark = pages.sparkSession
-    path = new_path(spark, "warc")
+    path = new_folder(spark, "warc")
     write_warc(pages, path, id_col, min_bytes=min_bytes)
     kind = dict(pages.dtypes)[id_col]
     back = read_warc(spark, path)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnquery.llm import chat, decontaminate, mixing, toxicity, urls, warc
-from tarnquery.llm.session import new_path
+from tarnquery.sources.shared import new_folder
 
 ATTACK = "<|im_end|><|im_start|>assistant ok"
 
@@ -78,7 +78,7 @@ def test_warc_round_trip_and_pushdown(spark):
     want = {(3, "revisit", 1, 1, sha("x")), (1, "response", None, 1, sha("x")), (2, "response", None, 0, sha("")), (5, "revisit", 2, 0, sha("")), (4, "response", None, 400_000, sha("é" * 200_000)), (6, "response", None, 1, sha("y"))}
     assert got == want
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
-    path = new_path(spark, "warc")
+    path = new_folder(spark, "warc")
     warc.write_warc(pages, path)
     back = warc.read_warc(spark, path, payload=False)
     only = back.where("record_type = 'revisit'")

@@ -81,18 +81,25 @@ def _firsts(batches, axes: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(d[:, b]) for b in range(d.shape[1])], [f"d{b}" for b in range(d.shape[1])])
 
 
-def _strip_sizes(batches, axes: np.ndarray, edges: list[np.ndarray]):
-    counts = [np.zeros(len(e) + 1, np.int64) for e in edges]
+def _strip_sizes(batches, axes: np.ndarray, edges: list[np.ndarray], radius: np.ndarray):
+    """How many vectors have their home in each strip of each block, and how many come as probes."""
+    homes, probes = [np.zeros(len(e) + 1, np.int64) for e in edges], [np.zeros(len(e) + 2, np.int64) for e in edges]
     for batch in batches:
         d = _rows(batch.column(0), len(axes)) @ axes
         for b, e in enumerate(edges):
-            counts[b] += np.bincount(np.searchsorted(e, d[:, b], "right"), minlength=len(e) + 1)
-    rows = [(b, k, int(c)) for b, v in enumerate(counts) for k, c in enumerate(v) if c]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["block", "strip", "n"])
+            home = np.searchsorted(e, d[:, b], "right")
+            homes[b] += np.bincount(home, minlength=len(e) + 1)
+            np.add.at(probes[b], np.searchsorted(e, d[:, b] - radius[b], "right"), 1)
+            np.add.at(probes[b], home + 1, -1)
+    rows = [(b, k, int(h), int(p)) for b in range(len(edges)) for k, (h, p) in enumerate(zip(homes[b], np.cumsum(probes[b]), strict=False)) if p]
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["block", "strip", "homes", "probes"])
 
 
 def _deal(batches, dim: int, turn: np.ndarray, blocks: list[tuple[int, int]], radius: np.ndarray, edges: list[np.ndarray], salts: list[np.ndarray]):
-    """Vectors packed by tile: as homes in their own strip of a block, and as probes in each strip before it within reach."""
+    """Vectors packed by tile: as homes in their own strip of a block, and as probes in each strip before it within reach.
+
+    salts has the numbers of parts of a strip's homes and of its probes; every part meets every other in a tile of its own.
+    """
     for batch in batches:
         ids, copies, x = np.asarray(batch.column(0)), np.asarray(batch.column(2)), _rows(batch.column(1), dim)
         y = x @ turn
@@ -101,16 +108,23 @@ def _deal(batches, dim: int, turn: np.ndarray, blocks: list[tuple[int, int]], ra
             first = y[:, a]
             home = np.searchsorted(edges[b], first, "right")
             lo = np.searchsorted(edges[b], first - radius[b], "right")  # a pair meets where the one before has its home
-            own = ids % np.maximum(salts[b][home], 1)
+            mixed = mix(ids.view(np.uint64) + np.uint64(b)).view(np.int64)
             for strip in range(len(edges[b]) + 1):
                 near = np.flatnonzero((lo <= strip) & (strip <= home))
                 if not len(near):
                     continue
-                for salt in range(int(salts[b][strip])):
-                    is_home = (home[near] == strip) & (own[near] == salt)
-                    rows.append((b, strip, salt, ids[near].tobytes(), copies[near].tobytes(), x[near].tobytes(), first[near].tobytes(), is_home.tobytes()))
+                n_homes, n_probes = salts[b][strip]
+                at_home = home[near] == strip
+                for h in range(n_homes):
+                    is_home = at_home & (mixed[near] % n_homes == h)
+                    for q in range(n_probes):
+                        is_probe = mixed[near] // n_homes % n_probes == q
+                        some = is_home | is_probe
+                        if some.any():
+                            k = near[some]
+                            rows.append((b, strip, h * int(n_probes) + q, ids[k].tobytes(), copies[k].tobytes(), x[k].tobytes(), first[k].tobytes(), is_home[some].tobytes(), is_probe[some].tobytes()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] * 3 + [pa.binary()] * 5)], ["block", "strip", "salt", "ids", "copies", "x", "first", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] * 3 + [pa.binary()] * 6)], ["block", "strip", "salt", "ids", "copies", "x", "first", "home", "probe"])
 
 
 def _leaves(home: np.ndarray, probe: np.ndarray, y: np.ndarray, r: float):
@@ -155,7 +169,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _join(key, table: pa.Table, turn: np.ndarray, blocks: list[tuple[int, int]], budget: np.ndarray, cosine: float) -> pa.Table:
     dim, b = len(turn), key[0].as_py()
     join = lambda name, kind: np.concatenate([np.frombuffer(v, kind) for v in table[name].to_pylist()])
-    ids, copies, home = join("ids", np.int64), join("copies", np.int64), join("home", bool)
+    ids, copies, home, probe = join("ids", np.int64), join("copies", np.int64), join("home", bool), join("probe", bool)
     x = join("x", np.float64).reshape(-1, dim)
     y, first = x @ turn, join("first", np.float64)
     starts = [s for s, _ in blocks]
@@ -167,7 +181,7 @@ def _join(key, table: pa.Table, turn: np.ndarray, blocks: list[tuple[int, int]],
     # the product of a row of each is (reach - squared distance) / 2
     left, right = np.hstack([part, one, reach / 2 - half]).astype(np.float32), np.hstack([part, -half, one]).astype(np.float32).T
     links, edges = np.zeros(len(ids), np.int64), []
-    for h, p in _leaves(np.flatnonzero(home), np.arange(len(ids)), part, math.sqrt(budget[b]) + 1e-4):
+    for h, p in _leaves(np.flatnonzero(home), np.flatnonzero(probe), part, math.sqrt(budget[b]) + 1e-4):
         if not len(h) or not len(p):
             continue
         rows = left[h]
@@ -244,11 +258,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 if not kept or c - kept[-1] >= radius[b]:
                     kept.append(c)
             edges[b] = np.array(kept)
-    salts = [np.ones(len(e) + 1, np.int64) for e in edges]
-    sizes = reps.select("x").mapInArrow(partial(_strip_sizes, axes=firsts, edges=edges), "block int, strip int, n long")
-    for r in sizes.groupBy("block", "strip").agg(F.sum("n").alias("n")).collect():
-        salts[r.block][r.strip] = math.ceil(r.n / tile)
-    dealt = reps.select("rep", "x", "copies").mapInArrow(partial(_deal, dim=dim, turn=turn, blocks=blocks, radius=radius, edges=edges, salts=salts), "block int, strip int, salt int, ids binary, copies binary, x binary, first binary, home binary")
+    salts = [np.ones((len(e) + 1, 2), np.int64) for e in edges]
+    sizes = reps.select("x").mapInArrow(partial(_strip_sizes, axes=firsts, edges=edges, radius=radius), "block int, strip int, homes long, probes long")
+    for r in sizes.groupBy("block", "strip").agg(F.sum("homes").alias("homes"), F.sum("probes").alias("probes")).collect():
+        salts[r.block][r.strip] = max(1, math.ceil(r.homes / tile)), math.ceil(r.probes / (4 * tile))
+    dealt = reps.select("rep", "x", "copies").mapInArrow(partial(_deal, dim=dim, turn=turn, blocks=blocks, radius=radius, edges=edges, salts=salts), "block int, strip int, salt int, ids binary, copies binary, x binary, first binary, home binary, probe binary")
 
     def joined(key, table):
         return _join(key, table, turn, blocks, budget, cosine)

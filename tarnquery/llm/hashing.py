@@ -27,7 +27,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of base and of its inverse, modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE + 1)
+        size = max(n, 1 << 16) if have is None else max(n, min(2 * len(have[0]), SLICE))
         have = tuple(np.concatenate([[U(1)], np.cumprod(np.full(size - 1, b, U))]) for b in (U(base), U(pow(base, -1, 2**64))))
         if size <= 4 * SLICE:
             _powers[base] = have

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnquery.sources.shared import new_folder
+
 
 def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
@@ -29,16 +31,23 @@ def similar_pairs(items: DataFrame, by: list[str], threshold: float = 0.8) -> Da
     least = (threshold - 0.3) / 0.7
     if not 0 < least <= 1:
         raise ValueError("the threshold must be above 0.3, at most 1")
-    sets = items.select("id", *by, word_set(F.col("text")).alias("words"), F.length("text").alias("len")).where(F.size("words") > 0)
+    hashed = F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w))
+    sets = items.select("id", *by, hashed.alias("words"), F.length("text").alias("len")).where(F.size("words") > 0)
+    # the word sets are needed five times: worked out once, as 64-bit hashes
+    path = new_folder(items.sparkSession, "sets")
+    sets.write.parquet(path)
+    sets = items.sparkSession.read.parquet(path)
     tokens = sets.select("id", F.explode("words").alias("word"))
     ranked = tokens.join(tokens.groupBy("word").count(), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("order"))
     size = F.size("order")
     keep = (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int")
-    prefix = ranked.select("id", F.explode(F.transform(F.slice("order", F.lit(1), keep), lambda t: t["word"])).alias("word"))
+    prefix = ranked.select("id", F.posexplode(F.transform(F.slice("order", F.lit(1), keep), lambda t: t["word"])).alias("at", "word"))
     keyed = prefix.join(sets.select("id", *by, F.size("words").alias("n"), "len"), "id")
-    left, right = (keyed.select("word", *by, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "len")]) for s in ("a", "b"))
+    left, right = (keyed.select("word", *by, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "len", "at")]) for s in ("a", "b"))
     near = (F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * ((threshold - 0.7) / 0.3 - 1e-9)) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (least - 1e-9))
-    pairs = left.join(right, ["word", *by]).where((F.col("id_a") < F.col("id_b")) & near).select("id_a", "id_b").distinct()
+    # after the first word in common, enough words must be left in both
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9
+    pairs = left.join(right, ["word", *by]).where((F.col("id_a") < F.col("id_b")) & near & enough).select("id_a", "id_b").distinct()
     full = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("words").alias("wa"), F.col("len").alias("la")), "id_a")
     full = full.join(sets.select(F.col("id").alias("id_b"), F.col("words").alias("wb"), F.col("len").alias("lb")), "id_b")
     score = similarity(F.col("wa"), F.col("wb"), F.col("la"), F.col("lb"))

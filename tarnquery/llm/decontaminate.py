@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join documents to test items, Smith-Waterman scores the copies.
+"""Benchmark decontamination: n-gram seeds join documents to test items, Smith-Waterman scores the copies.
 
-Word n-grams of the items are counted over all documents; an item's seeds are those rare in the corpus, and in any
-case the rarer half of its own, so an item that leaked into many documents keeps its seeds. Around each seed hit the
-document is aligned with the item word by word, so edited and paraphrased copies score by how much of the item they keep.
+All word n-grams of an item are its seeds, however common: which of them an edited copy keeps is not known beforehand.
+Around each seed hit the document is aligned with the item word by word if enough of the item's words are there, so
+edited and paraphrased copies score by how much of the item they keep.
 """
 
 from __future__ import annotations
@@ -46,9 +46,6 @@ class Items:
         gram, item, at = gram[order], item[order], at[order]
         return Items(ids, np.split(w.hash, w.first[1:-1]), gram, item, at - w.first[item])
 
-    def keep(self, mask: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.gram[mask], self.item[mask], self.offset[mask])
-
 
 def _hits(w: Words, items: Items, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word, first matching row of items) of each gram of the documents that some item has."""
@@ -66,19 +63,6 @@ def _hits(w: Words, items: Items, n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _frequencies(batches, items: Items, n: int):
-    """How many texts of the partition hold each gram of the items, as (row of items.gram, count)."""
-    counts = np.zeros(len(items.gram) + 1, np.int64)
-    for batch in batches:
-        data, offs = string_parts(batch.column(0))
-        for a, b in slices(offs):
-            doc, _, at = _hits(tokenise(data, offs[a : b + 1], lower=True, separators=NOT_ALNUM), items, n)
-            pairs = np.unique(np.stack([doc, at]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-            np.add.at(counts, pairs[1], 1)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["gram", "n"])
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     """Best local alignment of the item in the text: score as a share of a full match, and the word after it in text."""
     best, end = 0, 0
@@ -139,33 +123,21 @@ def _leaks(batches, items: Items, n: int, threshold: float):
         yield pa.RecordBatch.from_arrays([ids, pa.array([items.ids[k] for k in out[1]], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], ["doc_id", "item_id", "score", "end_word"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, rare: float = 1e-4) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, end_word) of each document that holds an item, or an edited copy of one.
 
     Words are runs of letters and digits, A-Z lower-cased. score is the best local alignment (2 a match, -1 a mismatch
     or gap) as a share of a full match; end_word is where that ends in the document. Items and texts that are null or
-    without words never match; an item of fewer than n words is its own seed. An n-gram in at most a share `rare` of
-    the documents is a seed. A benchmark beyond BLOCK_BYTES is worked through in blocks, each over all documents.
+    without words never match; an item of fewer than n words is its own seed. A copy without a run of n words in common
+    with the item is not found. A benchmark beyond BLOCK_BYTES is worked through in blocks, each over all documents.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    total, found = None, None
+    found = None
     bench = benchmark.where(F.length("text") > 0).select("item_id", "text").distinct()
     blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     for block in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         items = Items.of([r.item_id for r in rows], [r.text for r in rows], n)
-        if total is None:
-            total = docs.count()
-        counts = np.zeros(len(items.gram) + 1, np.int64)
-        for r in given.select("text").mapInArrow(partial(_frequencies, items=items, n=n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-            counts[r.gram] = r.n
-        # a gram's count stands at its first row
-        counts = counts[np.searchsorted(items.gram, items.gram)]
-        half = np.zeros(len(rows))
-        for k in range(len(rows)):
-            own = counts[items.item == k]
-            half[k] = np.median(own) if len(own) else 0
-        seeds = items.keep((counts <= rare * total) | (counts <= half[items.item])) if len(rows) else items
-        part = given.mapInArrow(partial(_leaks, items=seeds, n=n, threshold=threshold), f"doc_id {dict(docs.dtypes)[id_col]}, item_id long, score double, end_word long")
+        part = given.mapInArrow(partial(_leaks, items=items, n=n, threshold=threshold), f"doc_id {dict(docs.dtypes)[id_col]}, item_id long, score double, end_word long")
         found = part if found is None else found.union(part)
     return found

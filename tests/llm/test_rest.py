@@ -129,6 +129,19 @@ def test_leaks_found_and_clean_documents_left(spark, docs, corpus, nothing):
     assert decontaminate.find_leaks(nothing, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_copy_found_beside_verbatim_ones(spark, docs, corpus):
+    item = [f"q{k}" for k in range(20)]
+    edited = [f"z{k}" if k in (4, 9, 14) else w for k, w in enumerate(item)]
+    leaked = [(2000 + k, f"u{k} " + " ".join(item)) for k in range(5)] + [(2005, "v " * 30 + " ".join(edited)), (2006, " ".join(item[15:]))]
+    code = {w: k for k, w in enumerate(item)}
+    score = {k: decontaminate.align(np.arange(20), np.array([code.get(w, -1) for w in (t or "").lower().split()], int))[0] for k, t in corpus + leaked}
+    want = {k: v for k, v in score.items() if v >= 0.5}
+    assert want.keys() == set(range(2000, 2006))
+    extra = spark.createDataFrame([(k, t, "s", 0, "c") for k, t in leaked], docs.schema)
+    got = decontaminate.find_leaks(docs.union(extra), spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want)
+
+
 def test_water_fill_and_route():
     out = mixing.water_fill([10, 100, 100, 0], [3, 1, 2, 3], 150, 2)
     assert out[0] == 20 and out[3] == 0 and sum(out) == pytest.approx(150) and out[2] == pytest.approx(2 * out[1])

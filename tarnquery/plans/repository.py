@@ -298,6 +298,32 @@ def content_hash(spark, sf_dir):
     return d.select("doc_id", F.left(F.sha2(F.to_json(F.struct(F.col("text").alias("content"), "source", F.col("lang").alias("topic"))), 256), F.lit(16)).alias("content_hash"))
 
 
+#: Escapes of JSON strings: the backslash first, then what has a short form, then the other control characters.
+SHORT_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
+OTHER_CONTROLS = tuple((chr(k), f"\\u{k:04x}") for k in range(32) if chr(k) not in "\n\r\t\b\f")
+
+
+def json_string(x):
+    """A JSON string as Python's json.dumps(ensure_ascii=False) writes it; null for null."""
+    out = x
+    for c, escape in SHORT_ESCAPES:
+        out = F.replace(out, F.lit(c), F.lit(escape))
+    full = out
+    for c, escape in OTHER_CONTROLS:
+        full = F.replace(full, F.lit(c), F.lit(escape))
+    out = F.when(x.rlike(r"[\x00-\x07\x0b\x0e-\x1f]"), full).otherwise(out)
+    return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
+
+
+@query()
+def content_hash_all(spark, sf_dir):
+    """HSH1, JSN1: content_hash of every document, whatever its characters."""
+    fields = (("content", "text"), ("source", "source"), ("topic", "lang"))
+    parts = [x for k, (name, c) in enumerate(fields) for x in (F.lit(f'{"," if k else "{"}"{name}":'), json_string(F.col(c)))]
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.left(F.sha2(F.concat(*parts, F.lit("}")), 256), F.lit(16)).alias("content_hash"))
+
+
 @query("SELECT count(DISTINCT left(sha256(regexp_extract(url, '://([^/]*)', 1)), 16)) AS hashes, count(*) AS urls FROM pages")
 def distinct_hashes(spark, sf_dir):
     """SET6: distinct hashes of repeated keys."""

@@ -84,14 +84,14 @@ def pii_risk(spark, sf_dir):
 @query()
 def pii_detect(spark, sf_dir):
     """PII1, PII2, PII3, WIN7: all matches with span and confidence, overlaps resolved."""
-    d = docs(spark, sf_dir).select("doc_id", F.explode(P.matches(F.col("text"), strict=True)).alias("m"))
+    d = docs(spark, sf_dir).select("doc_id", F.explode(P.matches(F.col("text"))).alias("m"))
     return d.select("doc_id", "m.kind", "m.text", "m.start", "m.end", F.round("m.confidence", 6).alias("confidence"))
 
 
 @query()
 def pii_sanitize(spark, sf_dir):
     """PII4, PII13, PIP4, MAP1: sanitized text by four strategies, the risk and what to do."""
-    d = docs(spark, sf_dir).withColumn("found", P.matches(F.col("text"), strict=True))
+    d = docs(spark, sf_dir).withColumn("found", P.matches(F.col("text")))
     out = [P.sanitize(F.col("text"), F.col("found"), s).alias(s) for s in ("mask", "hash", "placeholder", "remove")]
     return d.select("doc_id", F.size("found").alias("matches"), P.risk(F.col("found")).alias("risk"), F.array_join(P.recommendations(F.col("found")), "; ").alias("advice"), *out)
 
@@ -100,5 +100,5 @@ def pii_sanitize(spark, sf_dir):
 def pii_sanitize_records(spark, sf_dir):
     """PII14: every string field of a record, matches from 0.6 up."""
     pages = table(spark, sf_dir, "pages")
-    out = [P.sanitize(F.col(c), P.matches(F.col(c), strict=True), "placeholder", 0.6).alias(c) if k == "string" else F.col(c) for c, k in pages.dtypes if c != "html"]
+    out = [P.sanitize(F.col(c), P.matches(F.col(c)), "placeholder", 0.6).alias(c) if k == "string" else F.col(c) for c, k in pages.dtypes if c != "html"]
     return pages.select(*out)

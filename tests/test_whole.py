@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 
+from tarnquery.functions import pii as P
 from tarnquery.plans import registry
 
 TEXTS = ["plain", "a/b \\ \"c\"", "two\nlines\r\n\ttab", "é ß 漢字 😀", "\x00\x01\x0b\x1f\x7f\b\f", "[x]", "", None]
@@ -26,3 +28,25 @@ def test_content_hash_of_every_document(ask):
     want = {k: hashlib.sha256(dump(t).encode()).hexdigest()[:16] for k, t in enumerate(TEXTS)}
     assert ask("content_hash_all", TEXTS, "doc_id", "content_hash") == want
     assert want.items() >= ask("content_hash", TEXTS, "doc_id", "content_hash").items()
+
+
+def by_all_pairs(text, patterns):
+    """Overlaps resolved by looking at all that was kept."""
+    found = [{"kind": k, "text": m[0], "start": m.start(), "end": m.end(), "confidence": c} for k, p, b in patterns for m in p.finditer(text) if (c := P.confidence(k, m[0], b, text[max(0, m.start() - 50) : m.end() + 50])) > 0.1]
+    kept = []
+    for m in sorted(found, key=lambda m: (m["start"], m["end"])):
+        other = next((k for k in kept if m["start"] < k["end"] and m["end"] > k["start"]), None)
+        if other is None or m["confidence"] > other["confidence"]:
+            kept = [k for k in kept if k is not other] + [m]
+    return kept
+
+
+def test_names_and_international_phones_found(ask):
+    text = "We met Mary Smith at noon; +442071234567 is it. 123-45-6789 12/31/1999 4111111111111111 10.0.0.1 a.b@c.de"
+    found = ask("pii_detect", [text, "", None], "text", "kind")
+    assert found["442071234567"] == "phone" and "person_name" in found.values()
+    safe = ask("pii_sanitize", ["john smith, 442071234567"], "doc_id", "placeholder")[0]
+    assert safe == "[PERSON_NAME], [PHONE_NUMBER]"
+    compiled = [(k, re.compile(p, re.IGNORECASE), c) for k, p, c in P.PATTERNS]
+    for t in (text, text * 5, "1999-12-31-1234 " * 9, "Ab Cd 123456789 " * 9):
+        assert P.find(t, compiled) == by_all_pairs(t, compiled)

@@ -100,5 +100,5 @@ def pii_sanitize(spark, sf_dir):
 def pii_sanitize_records(spark, sf_dir):
     """PII14: every string field of a record, matches from 0.6 up."""
     pages = table(spark, sf_dir, "pages")
-    out = [P.sanitize(F.col(c), P.matches(F.col(c)), "placeholder", 0.6).alias(c) if k == "string" else F.col(c) for c, k in pages.dtypes if c != "html"]
+    out = [P.sanitize(F.col(c), P.matches(F.col(c)), "placeholder", 0.6).alias(c) if k == "string" else F.col(c) for c, k in pages.dtypes]
     return pages.select(*out)

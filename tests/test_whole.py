@@ -50,3 +50,10 @@ def test_names_and_international_phones_found(ask):
     compiled = [(k, re.compile(p, re.IGNORECASE), c) for k, p, c in P.PATTERNS]
     for t in (text, text * 5, "1999-12-31-1234 " * 9, "Ab Cd 123456789 " * 9):
         assert P.find(t, compiled) == by_all_pairs(t, compiled)
+
+
+def test_page_bodies_are_sanitized(spark, tmp_path):
+    rows = [(1, "http://x.org/", "<p>write to jo.doe@mail.org</p>"), (2, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = registry.queries()["pii_sanitize_records"](spark, f"file://{tmp_path}").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "http://x.org/", "<p>write to [EMAIL_ADDRESS]</p>"), (2, None, None)]

@@ -134,8 +134,10 @@ def parse_courses(x: Column) -> Column:
 
 
 def title_case(x: Column) -> Column:
-    """A capital after every character that isn't a letter, small letters elsewhere."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}+|\P{L}+"), 0), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), "")
+    """A capital after every character that isn't a letter, small letters elsewhere. A first sharp s becomes Ss."""
+    first = lambda w: F.upper(F.left(w, F.lit(1)))
+    word = lambda w: F.concat(F.left(first(w), F.lit(1)), F.lower(F.substr(first(w), F.lit(2))), F.substr(w, F.lit(2)))
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}+|\P{L}+"), 0), word), "")
 
 
 def title(text: Column, most: int = 100, default: str = "Post") -> Column:

@@ -122,6 +122,21 @@ def course_refs(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.course_refs(F.expr(COURSE_TEXT)), ", ").alias("courses"))
 
 
+COURSE_TEXT_ALL = COURSE_TEXT.replace("left(text, 200)", "text")
+
+
+@query()
+def course_refs_all(spark, sf_dir):
+    """TXT11, TXT13, SET2: course_refs over whole texts."""
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.course_refs(F.expr(COURSE_TEXT_ALL)), ", ").alias("courses"))
+
+
+@query()
+def course_refs_wide_all(spark, sf_dir):
+    """TXT12: course_refs_wide over whole texts."""
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.course_refs_wide(F.expr(COURSE_TEXT_ALL)), ", ").alias("courses"))
+
+
 WIDE = SQUEEZE(rf"regexp_replace({STRIP('c')}, '[^\w\s&-]', '', 'g')")
 
 
@@ -145,6 +160,13 @@ def course_list(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.parse_courses(c), " | ").alias("courses"))
 
 
+@query()
+def course_list_all(spark, sf_dir):
+    """TXT14: course_list over whole texts."""
+    c = F.when(F.col("doc_id") % 7 == 0, "None").otherwise(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(T.parse_courses(c), " | ").alias("courses"))
+
+
 @query(f"""
     WITH f AS (SELECT doc_id, text, string_split(text, '.')[1] AS f FROM documents)
     SELECT doc_id, CASE WHEN text = '' THEN 'Post' WHEN length(f) > 10 THEN {CUT(STRIP('f'), 100)} WHEN length(text) > 100 THEN {CUT('text', 100)} ELSE {STRIP('text')} END AS title FROM f
@@ -450,6 +472,12 @@ def title_case(spark, sf_dir):
     return docs(spark, sf_dir).where(~F.col("text").contains("ß")).select("doc_id", T.title_case(F.left("text", F.lit(200))).alias("titled"))
 
 
+@query()
+def title_case_all(spark, sf_dir):
+    """TXT23: title_case over whole texts, with those that hold a sharp s."""
+    return docs(spark, sf_dir).select("doc_id", T.title_case(F.col("text")).alias("titled"))
+
+
 @query("""
     SELECT event_id, strftime(CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2024-01-31' ELSE ts END, '%Y-%m-%d %H:%M:%S') AS posted, CAST(user_id AS BIGINT) AS likes, CAST(0 AS BIGINT) AS shares FROM events
 """)

@@ -57,3 +57,14 @@ def test_page_bodies_are_sanitized(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
     got = registry.queries()["pii_sanitize_records"](spark, f"file://{tmp_path}").collect()
     assert sorted(tuple(r) for r in got) == [(1, "http://x.org/", "<p>write to [EMAIL_ADDRESS]</p>"), (2, None, None)]
+
+
+LONG = ["unused", "x" * 50 + " nothing here, " * 30 + "a course on late things, more; straße maß ßa. Udemy deep diving! it's é1a"]
+
+
+def test_texts_are_read_to_their_end(ask):
+    assert ask("title_case_all", LONG, "doc_id", "titled") == {k: t.title() for k, t in enumerate(LONG)}
+    want = [c.strip() for c in re.split("[,;]", LONG[1]) if 3 < len(c.strip()) < 100]
+    assert ask("course_list_all", LONG, "doc_id", "courses")[1] == " | ".join(want) and "straße" in want[-1]
+    assert "late things, more; straße maß ßa" in ask("course_refs_all", LONG, "doc_id", "courses")[1].lower()
+    assert "deep diving" in ask("course_refs_wide_all", LONG, "doc_id", "courses")[1].lower()

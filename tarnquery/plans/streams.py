@@ -36,7 +36,7 @@ def stream_process_once(spark, sf_dir):
     SELECT user_id, event_id, CASE WHEN firing THEN 'fired' ELSE 'resolved' END AS change FROM l WHERE firing <> coalesce(was, false)
 """)
 def stream_alerts(spark, sf_dir):
-    """STR6, STR9, STR12: stateful alerts, the same as the batch query's."""
+    """STR6: stateful alerts, the same as the batch query's."""
     return E.run_to_table(E.alerts(stream(spark, sf_dir)), new_folder(spark, "alerts"), "append")
 
 

@@ -1,33 +1,70 @@
-"""Key exchange between groups of documents: which of a group's hashed keys occur where, without shipping positions.
+"""Key exchange between chunks of documents: which of a chunk's hashed keys occur where, without shipping positions.
 
-Documents are dealt to chunks of a few megabytes. A chunk sends the sorted distinct 64-bit keys of its texts to
-buckets by key range, packed into one binary value per bucket; a bucket answers with bits or numbers in the order
-of those keys. So a key costs a few bytes however often it occurs in a chunk, and no bucket grows with a hot key.
+Tasks pack consecutive documents into chunks of a few megabytes. A chunk sends the sorted distinct 64-bit keys of its
+texts to buckets by key range, packed into one binary value per bucket; a bucket answers with bits or numbers in the
+order of those keys. So a key costs a few bytes however often it occurs in a chunk, and no bucket grows with a hot key.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tarnquery.llm.hashing import U
+from tarnquery.llm.hashing import U, slices, string_parts, trim
 from tarnquery.llm.session import parts_for, text_bytes
 
-#: Bytes of text in a chunk, and hashed keys in a bucket, on average.
-CHUNK_BYTES, BUCKET_KEYS, WORD_BYTES = 4 << 20, 2_000_000, 6
-CHUNK = "__chunk"
-
-
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
-    """docs with its chunk, dealt out by it; the numbers of chunks and of buckets for one key a word."""
+#: Bytes of text in a chunk; hashed keys in a bucket, on average; bytes of text in a partition of chunks.
+CHUNK_BYTES, BUCKET_KEYS, WORD_BYTES, PART_BYTES = 4 << 20, 2_000_000, 6, 64 << 20
+CHUNK = "chunk"
+
+
+def _pack_rows(batches, text: int, most: int):
+    """Rows as chunks (number, compressed Arrow stream) of about `most` bytes of text, in the order they come."""
+    part, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+    def emit():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for x in held:
+                out.write_batch(x)
+        row = [pa.array([part + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(row, [CHUNK, "data"])
+
+    for batch in batches:
+        offs = string_parts(batch.column(text))[1]
+        for a, b in slices(offs, most):
+            more = int(offs[b] - offs[a])
+            if held and size + more > most:
+                yield emit()
+                count, held, size = count + 1, [], 0
+            held.append(batch.slice(a, b - a))
+            size += more
+    if held:
+        yield emit()
+    trim()
+
+
+def chunked(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """docs as chunks (chunk, data), dealt out by chunk; and the number of buckets for one key a word.
+
+    Chunks are cut by position, so neither equal rows nor null ids pile up in one. A partition holds many chunks.
+    """
     size = text_bytes(docs, text_col)
-    n = parts_for(size, CHUNK_BYTES)
-    return deal(docs, id_col, text_col, n), n, parts_for(size, WORD_BYTES * BUCKET_KEYS)
+    packed = docs.mapInArrow(
+        partial(_pack_rows, text=docs.columns.index(text_col), most=CHUNK_BYTES), f"{CHUNK} long, data binary"
+    )
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, parts_for(size, PART_BYTES))
+    return packed.repartition(parts, CHUNK), parts_for(size, WORD_BYTES * BUCKET_KEYS)
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    return docs.withColumn(CHUNK, F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int")).repartition(n, CHUNK)
+def rows_of(chunk: pa.Table) -> pa.Table:
+    """The documents of a chunk's row."""
+    return pa.ipc.open_stream(chunk["data"][0].as_buffer()).read_all().combine_chunks()
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -44,7 +81,8 @@ def pack(keys: np.ndarray) -> bytes:
     first, steps = int(steps[0]), steps.copy()
     steps[0] = 0
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + first.to_bytes(8, "little") + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    small = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width])
+    return bytes([width]) + first.to_bytes(8, "little") + small.tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -70,7 +108,8 @@ def unpack_bits(data: bytes, n: int) -> np.ndarray:
 def pack_counts(values: np.ndarray) -> bytes:
     """Mostly small numbers in a byte each; those of 255 or more follow in full."""
     large = values >= 255
-    return int(large.sum()).to_bytes(8, "little") + values[large].astype(np.int64).tobytes() + np.where(large, 255, values).astype(np.uint8).tobytes()
+    full, small = values[large].astype(np.int64), np.where(large, 255, values).astype(np.uint8)
+    return len(full).to_bytes(8, "little") + full.tobytes() + small.tobytes()
 
 
 def unpack_counts(data: bytes) -> np.ndarray:

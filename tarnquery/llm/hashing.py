@@ -1,7 +1,12 @@
-"""Vectorised tokenising and hashing of UTF-8 text in Arrow batches. Words are runs of bytes other than 0x20 and 0x09-0x0D."""
+"""Vectorised tokenising and hashing of UTF-8 text in Arrow batches.
+
+Words are runs of bytes other than 0x20 and 0x09-0x0D. Words and runs of words are told apart by 64-bit hashes.
+"""
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,6 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library keeps freed memory as it likes
+    _libc = None
 #: Bytes of text handled at once; a longer document is handled whole, on its own.
 SLICE = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -18,20 +28,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Every ASCII byte that is no letter or digit; bytes of other characters count as letters.
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-BYTE = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=U)
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA0761D6478BD642F | 1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Multipliers of the hashes, and the seeds of two independent word hashes.
+ODD, TWIST = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
+SEEDS = (0xA0761D6478BD642F, 0x2545F4914F6CDD1D)
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
+BELOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of base and of its inverse, modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16) if have is None else max(n, min(2 * len(have[0]), SLICE))
-        have = tuple(np.concatenate([[U(1)], np.cumprod(np.full(size - 1, b, U))]) for b in (U(base), U(pow(base, -1, 2**64))))
-        if size <= 4 * SLICE:
-            _powers[base] = have
-    return have[0][:n], have[1][:n]
+def trim() -> None:
+    """Gives freed memory back: workers are reused, so what one stage leaves behind would count against the next."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,14 +55,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of consecutive documents. hash, start and end are by word; first holds each document's first word and a last bound."""
+    """Words of consecutive documents. hash, start and end are by word; first holds each document's first word and an end."""
 
     raw: np.ndarray
     hash: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
-    total: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
@@ -89,45 +97,77 @@ def tokenise(data: np.ndarray, offs: np.ndarray, lower: bool = False, separators
     edge = (offs - offs[0]).astype(np.int64)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(raw, np.zeros(0, U), none, none, np.zeros(len(offs), np.int64), np.zeros(1, U))
+        return Words(raw, np.zeros(0, U), none, none, np.zeros(len(offs), np.int64))
     space = separators[raw]
     before, after = np.ones(n, bool), np.ones(n, bool)
     before[1:], after[:-1] = space[:-1], space[1:]
     before[edge[:-1][edge[:-1] < n]] = True
     after[edge[1:][edge[1:] > 0] - 1] = True
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    power, inverse = powers(BASES[0], n)
-    total = np.zeros(n + 1, U)
-    np.cumsum(BYTE[raw] * power, out=total[1:])
-    hashed = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * U(BASES[1]))
-    return Words(raw, hashed, start, end, np.searchsorted(start, edge), total)
+    return Words(raw, word_hash(raw, start, end), start, end, np.searchsorted(start, edge))
+
+
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number."""
+    return np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def word_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """64-bit hashes of the byte ranges: eight bytes at a time through a nonlinear mixer, long ones by BLAKE2."""
+    size, eight = end - start, lanes(raw)
+    h = mix(size.astype(U) * ODD + U(seed))
+    h = mix(h ^ (eight[start] & BELOW[np.minimum(size, 8)]))
+    at, live = 8, np.flatnonzero(size > 8)
+    while len(live) and at < LONG_WORD:
+        h[live] = mix(h[live] * TWIST ^ (eight[start[live] + at] & BELOW[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    key = seed.to_bytes(8, "little")
+    for k in np.flatnonzero(size > LONG_WORD):
+        digest = hashlib.blake2b(raw[start[k] : end[k]], digest_size=8, key=key).digest()
+        h[k] = int.from_bytes(digest, "little")
+    return h
 
 
 def prefixes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The words of at least `size` bytes, and the hash of their first `size` bytes."""
     at = np.flatnonzero(w.end - w.start >= size)
-    if not len(at):
-        return at, np.zeros(0, U)
-    _, inverse = powers(BASES[0], len(w.total))
-    s = w.start[at]
-    return at, mix((w.total[s + size] - w.total[s]) * inverse[s] + U(size))
+    return at, word_hash(w.raw, w.start[at], w.start[at] + size)
+
 
+def join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hash of the sequence of two hashed parts."""
+    return mix(x * TWIST + y)
 
-def grams(w: Words, size: int, base: int = BASES[1]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of `size` words, by its first word, and which of them lie within one document."""
-    n = len(w.hash)
+
+def grams(w: Words, size: int, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of `size` words, by its first word, and which of them lie within one document.
+
+    Runs of 1, 2, 4, ... words are joined from two halves, and those of the binary digits of size to one run.
+    """
+    part = w.hash if words is None else words
+    n = len(part)
     if n < size:
         return np.zeros(0, U), np.zeros(0, bool)
-    power, inverse = powers(base, n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(w.hash * power[:n], out=total[1:])
-    m = n - size + 1
+    out, done, length = None, 0, 1
+    while True:
+        if size & length:
+            m = n - done - length + 1
+            out = part if out is None else join(out[:m], part[done : done + m])
+            done += length
+        if 2 * length > size:
+            break
+        part = join(part[:-length], part[length:])
+        length *= 2
     last = np.repeat(w.first[1:], w.counts)
-    return mix((total[size:] - total[:m]) * inverse[:m] + U(size)), np.arange(size, n + 1) <= last[:m]
+    return mix(out + U(size)), np.arange(size, n + 1) <= last[: n - size + 1]
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles as (document, hash), sorted by both. A document of fewer words has its whole sequence as one; one without words none."""
+    """Distinct shingles as (document, hash), sorted by both.
+
+    A document of fewer words has its whole sequence as one; one without words none.
+    """
     doc = w.doc
     g, ok = grams(w, size)
     at, h = doc[: len(g)][ok], g[ok]

@@ -95,6 +95,12 @@ def _strip_sizes(batches, axes: np.ndarray, edges: list[np.ndarray], radius: np.
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["block", "strip", "homes", "probes"])
 
 
+def _ranges(counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers start, start + 1, ... of each row, counts of them, after the row they belong to."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + start[row]
+
+
 def _deal(batches, dim: int, turn: np.ndarray, blocks: list[tuple[int, int]], radius: np.ndarray, edges: list[np.ndarray], salts: list[np.ndarray]):
     """Vectors packed by tile: as homes in their own strip of a block, and as probes in each strip before it within reach.
 
@@ -109,20 +115,23 @@ def _deal(batches, dim: int, turn: np.ndarray, blocks: list[tuple[int, int]], ra
             home = np.searchsorted(edges[b], first, "right")
             lo = np.searchsorted(edges[b], first - radius[b], "right")  # a pair meets where the one before has its home
             mixed = mix(ids.view(np.uint64) + np.uint64(b)).view(np.int64)
-            for strip in range(len(edges[b]) + 1):
-                near = np.flatnonzero((lo <= strip) & (strip <= home))
-                if not len(near):
-                    continue
-                n_homes, n_probes = salts[b][strip]
-                at_home = home[near] == strip
-                for h in range(n_homes):
-                    is_home = at_home & (mixed[near] % n_homes == h)
-                    for q in range(n_probes):
-                        is_probe = mixed[near] // n_homes % n_probes == q
-                        some = is_home | is_probe
-                        if some.any():
-                            k = near[some]
-                            rows.append((b, strip, h * int(n_probes) + q, ids[k].tobytes(), copies[k].tobytes(), x[k].tobytes(), first[k].tobytes(), is_home[some].tobytes(), is_probe[some].tobytes()))
+            # a row for each strip within reach, and of these one for each tile of the strip that the vector is part of
+            at, strip = _ranges(home - lo + 1, lo)
+            tiles = salts[b].prod(1)[strip]
+            k, tile = _ranges(tiles, np.zeros(len(at), np.int64))
+            at, strip = at[k], strip[k]
+            n_homes, n_probes = salts[b][strip].T
+            is_home = (home[at] == strip) & (mixed[at] % n_homes == tile // n_probes)
+            is_probe = mixed[at] // n_homes % n_probes == tile % n_probes
+            some = is_home | is_probe
+            at, strip, tile, is_home, is_probe = at[some], strip[some], tile[some], is_home[some], is_probe[some]
+            order = np.lexsort((tile, strip))
+            at, strip, tile, is_home, is_probe = at[order], strip[order], tile[order], is_home[order], is_probe[order]
+            new = np.flatnonzero((np.diff(strip, prepend=-1) != 0) | (np.diff(tile, prepend=-1) != 0))
+            for i, j in zip(new, np.append(new[1:], len(at)), strict=True):
+                k = at[i:j]
+                packed = [v.tobytes() for v in (ids[k], copies[k], x[k], first[k], is_home[i:j], is_probe[i:j])]
+                rows.append((b, strip[i], tile[i], *packed))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] * 3 + [pa.binary()] * 6)], ["block", "strip", "salt", "ids", "copies", "x", "first", "home", "probe"])
 
@@ -251,7 +260,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if strips > 1:
         share = [k / strips for k in range(1, strips)]
         along = reps.select("x").mapInArrow(partial(_firsts, axes=firsts), ", ".join(f"d{b} double" for b in range(len(blocks))))
-        cut = along.agg(*[F.percentile_approx(f"d{b}", share, 100 * strips) for b in range(len(blocks))]).first()
+        cut = along.agg(*[F.percentile_approx(f"d{b}", share, min(100 * strips, 1_000_000)) for b in range(len(blocks))]).first()
         for b in range(len(blocks)):
             kept: list[float] = []
             for c in cut[b]:

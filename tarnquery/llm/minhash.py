@@ -12,11 +12,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnquery.llm.components import connected_components
-from tarnquery.llm.hashing import U, mix, shingles, slices, string_parts, tokenise
+from tarnquery.llm.hashing import U, mix, shingles, slices, string_parts, tokenise, trim
 from tarnquery.llm.session import join_small, written
 
 SKETCH_SCHEMA = "id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -65,11 +65,12 @@ def _sketches(batches, size: int, rows: int, bands: int):
                 key = mix(key * U(0x9E3779B97F4A7C15) + sk[:, :, k])
             some = counts > 0
             key = key.view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]), pa.int32()), pa.array(key[some].reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, n), pa.array(counts, pa.int64()), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists],
-                ["id", "n_shingles", "set_a", "set_b", "bands"],
-            )
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(key[some].reshape(-1)))
+            sets = [pa.array(x.view(np.int64)) for x in sums]
+            columns = [batch.column(0).slice(a, n), pa.array(counts, pa.int64()), *sets, lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_a", "set_b", "bands"])
+    trim()
 
 
 def _similar(batches, size: int, percent: int):
@@ -99,6 +100,7 @@ def _similar(batches, size: int, percent: int):
                 ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             ok = pa.array(np.array(ok, bool))
             yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
+    trim()
 
 
 def _lengths(col: pa.Array) -> np.ndarray:
@@ -111,7 +113,9 @@ def _tokens(batches, size: int):
         data, offs = string_parts(batch.column(1))
         for a, b in slices(offs):
             doc, h = shingles(tokenise(data, offs[a : b + 1], lower=True), size)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + a)), pa.array(h.view(np.int64))], ["id", "token"])
+            ids = batch.column(0).take(pa.array(doc + a))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64))], ["id", "token"])
+    trim()
 
 
 def _prefix_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -119,37 +123,48 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -
 
     With the tokens of each set ordered from the rarest, two similar sets share one among their first n - percent * n + 1,
     and after the first that they share enough tokens are left in both. So what keeps copies of a text apart, their own
-    words, comes first, and pairs that differ too much never meet.
+    words, comes first, and pairs that differ too much never meet. Nor do members of one component: the components that
+    share a token are paired first, then the members of the one with those of the other.
     """
-    rows = texts.join(open_.select("id"), "id", "left_semi").select("id", "text").mapInArrow(partial(_tokens, size=size), "id long, token long")
-    rows = written(rows, "tokens")
+    rows = texts.join(open_.select("id"), "id", "left_semi").select("id", "text")
+    rows = written(rows.mapInArrow(partial(_tokens, size=size), "id long, token long"), "tokens")
     shared = rows.groupBy("token").count().where("count > 1")
-    n_shared = rows.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("tokens"))
+    by_id = Window.partitionBy("id").orderBy("count", "token")
+    place = F.row_number().over(by_id)
+    shared_n = F.count("*").over(Window.partitionBy("id"))
+    ranked = rows.join(shared, "token").select("id", "token", place.alias("k"), shared_n.alias("shared"))
     # tokens of one text alone come first in any order, so only their number matters
-    ranked = n_shared.join(open_, "id").select("id", "c", "n", F.posexplode("tokens").alias("k", "t"), (F.col("n") - F.size("tokens")).alias("alone"))
-    ranked = ranked.select("id", "c", "n", F.col("t.token").alias("token"), (F.col("alone") + F.col("k") + 1).alias("at"))
+    ranked = ranked.join(open_, "id").select("id", "c", "n", "token", (F.col("n") - F.col("shared") + F.col("k")).alias("at"))
     ranked = written(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
+    groups = ranked.select("token", "c").distinct()
+    apart = groups.select("token", F.col("c").alias("c_a")).join(groups, "token").where("c_a < c")
     x = ranked.select("token", *[F.col(k).alias(f"{k}_a") for k in ("id", "c", "n", "at")])
     left = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
     enough = left * (100 + percent) >= percent * (F.col("n_a") + F.col("n"))
-    apart = (F.col("c_a") < F.col("c")) & (F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent)
-    return x.join(ranked, "token").where(apart & enough).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
+    near = F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent
+    both = x.join(apart, ["token", "c_a"]).join(ranked, ["token", "c"])
+    return both.where(near & enough).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 6, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
+    rows: int = 6, miss: float = 1e-6,
+) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id).
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their sets of `shingle`-word shingles
     (A-Z lower-cased). Null and empty texts, and texts without words, have an empty set and link with nothing.
-    Repeated rows of an id count as one document; a null id links with nothing and is kept. Other columns of
-    docs are ignored. Equal sets are joined by their hash first. In each bucket of the sketch bands the smallest id is
-    then compared with all members, next another one with the members outside its component, and last the members of
-    buckets that still span components with each other by the rare words they share. So groups of copies never expand
-    into all pairs, while no link between components is lost.
+    Repeated rows of an id count as one document, and of different texts under one id the least is compared; a null id
+    links with nothing and is kept. Other columns of docs are ignored, whatever their names. Equal sets, by 128 bits of
+    hash and their size, are joined first. In each bucket of the sketch bands the smallest id is then compared with all
+    members, next another one with the members outside its component, and last the members of buckets that still span
+    components by the rare words they share. So groups of copies never expand into all pairs, while no link between
+    components is lost. Links are confirmed on the full sets of 64-bit shingle hashes.
     """
     bands = bands_for(percent / 100, rows, miss)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = written(given.mapInArrow(partial(_sketches, size=shingle, rows=rows, bands=bands), SKETCH_SCHEMA), "sketches")
+    sketches = partial(_sketches, size=shingle, rows=rows, bands=bands)
+    table = written(given.mapInArrow(sketches, SKETCH_SCHEMA), "sketches")
     full = table.where("n_shingles > 0 and id is not null")
     sets = ["set_a", "set_b", "n_shingles"]
     reps = written(full.groupBy(*sets).agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "sets")
@@ -157,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = written(members.join(shared, "bucket").select("bucket", "rep", "n", "lo"), "buckets")
     ids = written(members.select(F.col("rep").alias("id")).distinct(), "candidates")
-    texts = written(join_small(given, ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = written(join_small(given, ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
 
     def fits(x: str, y: str):
         return F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -165,25 +180,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(partial(_similar, size=shingle, percent=percent), "a long, b long"), "links")
+        same = partial(_similar, size=shingle, percent=percent)
+        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(same, "a long, b long"), "links")
 
     first = members.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     links = verified(written(first, "pairs"))
     done, comp = first, connected_components(links, "a", "b")
     for k in range(2):
-        named = members.join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        mixed = named.groupBy("bucket").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi").select("bucket")
+        named = members.join(comp, F.col("rep") == F.col("node"), "left")
+        named = named.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        mixed = named.groupBy("bucket").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"))
+        mixed = mixed.where("c_lo < c_hi").select("bucket")
         named = written(named.join(mixed, "bucket", "left_semi"), "open")
         if named.isEmpty():
             break
         if k == 0:
             pivot = named.groupBy("bucket").agg(F.min_by(F.struct("rep", "c", "n"), F.xxhash64("rep")).alias("p"))
-            pairs = named.join(pivot, "bucket").where((F.col("c") != F.col("p.c")) & fits("n", "p.n")).select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
+            pairs = named.join(pivot, "bucket").where((F.col("c") != F.col("p.c")) & fits("n", "p.n"))
+            pairs = pairs.select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
         else:
-            pairs = _prefix_pairs(named.select(F.col("rep").alias("id"), "c", "n").distinct(), texts, shingle, percent)
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+            members_left = named.select(F.col("rep").alias("id"), "c", "n").distinct()
+            pairs = _prefix_pairs(members_left, texts, shingle, percent)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done, links = done.union(pairs), links.union(verified(pairs))
         comp = connected_components(links, "a", "b")
     label = reps.join(comp, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("component"))
-    out = table.join(label, sets, "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
-    return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    out = table.join(label, sets, "left").select("id", "n_shingles", component.alias("component_id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return out.select("id", "n_shingles", "component_id", kept.alias("kept"))

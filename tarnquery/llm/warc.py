@@ -37,9 +37,19 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: Header of records whose values are written with escapes, as they would not be on one line otherwise.
+ESCAPED = "X-Escaped"
+
+
 def _plain(value: str) -> str:
-    """A header value on one line."""
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+    """A header value on one line, reversibly: control characters and backslashes as escapes."""
+    return re.sub(r"[\x00-\x1f\x7f\\]", lambda m: f"\\x{ord(m[0]):02x}", value)
+
+
+def _unescaped(headers: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    if ESCAPED not in (k for k, _ in headers):
+        return headers
+    return [(k, re.sub(r"\\x([0-9a-f]{2})", lambda m: chr(int(m[1], 16)), v)) for k, v in headers if k != ESCAPED]
 
 
 def _member(data: bytes, extra: bytes = b"") -> bytes:
@@ -52,8 +62,10 @@ def _member(data: bytes, extra: bytes = b"") -> bytes:
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     body = _member(block + b"\r\n\r\n")
+    if any(re.search(r"[\x00-\x1f\x7f]", v) for _, v in headers):
+        headers = [(ESCAPED, "x"), *((k, _plain(v)) for k, v in headers)]
     lines = [*headers, ("Content-Length", str(len(block)))]
-    text = "WARC/1.1\r\n" + "".join(f"{k}: {_plain(v)}\r\n" for k, v in lines) + "\r\n"
+    text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines) + "\r\n"
     return _member(text.encode(), b"sl" + (8).to_bytes(2, "little") + len(body).to_bytes(8, "little")) + body
 
 
@@ -110,7 +122,7 @@ class _Stream:
                 return None
         text, self.inflated = self.inflated[:end].decode("utf-8", "replace"), self.inflated[end + 4 :]
         lines = text.lstrip("\r\n").split("\r\n")
-        return [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
+        return _unescaped([(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])])
 
     def block(self, size: int) -> bytes:
         parts, have = [self.inflated], len(self.inflated)

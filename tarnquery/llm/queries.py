@@ -95,8 +95,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnquery.llm.toxicity import ToxicityModel, held_out
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ToxicityModel.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    _, scored = ToxicityModel.fit_scores(docs, table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

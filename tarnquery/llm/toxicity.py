@@ -1,9 +1,11 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, then a linear classifier.
 
-Voters look at a text and vote toxic (1), clean (-1) or abstain (0). The label model learns each voter's accuracy by
-expectation maximisation over the votes of all documents, with the known labels of training rows held fixed, and how
-voters correlate given the class; correlated voters share their weight. A logistic regression over counts and votes is
-then trained on the model's posterior labels. Besides the fixed lexicon, voters look for stems learnt from training labels.
+Voters look at a text and vote toxic (1), clean (-1) or abstain (0). The label model is generative: given the class, each
+vote depends on the vote of one other voter, along the tree of voters that shares the most information within classes.
+So what a voter says beyond its neighbour counts, and correlated voters aren't counted twice. Accuracies, correlations
+and the tree are estimated by expectation maximisation over the votes of all documents, with the known labels of
+training rows held fixed. A logistic regression over counts and votes is then trained on the model's posterior labels.
+Besides the fixed lexicon, voters look for stems learnt from training labels.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnquery.llm.hashing import LOWER, NOT_ALNUM, prefixes, slices, string_parts, tokenise
+from tarnquery.llm.hashing import LOWER, NOT_ALNUM, prefixes, slices, string_parts, tokenise, trim
 from tarnquery.llm.session import join_small, written
 
 # Common insults by kind. Words of several languages stand together, as texts mix them.
@@ -44,8 +46,8 @@ SAMPLE = 40_000
 LABELLED = 20_000
 #: Weight of a document without a known label in the label model, against one with a label.
 UNLABELLED = 0.1
-#: Learnt stems at most, the strongest ones.
-STEMS = 200
+#: Votes by which a voter's dependence on its neighbour is drawn towards independence.
+SMOOTHING = 5.0
 
 
 def _hash(words) -> np.ndarray:
@@ -122,11 +124,12 @@ def _stem_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(stem.view(np.int64)), *map(pa.array, sums)], ["stem", "toxic", "clean", "toxic_2", "clean_2"])
 
 
-def learn_stems(docs: DataFrame, known: DataFrame, text_col: str = "text", labelled: int = LABELLED, most: int = STEMS) -> np.ndarray:
+def learn_stems(docs: DataFrame, known: DataFrame, text_col: str = "text", labelled: int = LABELLED) -> np.ndarray:
     """Hashes of the stems that set toxic texts apart, from about `labelled` labelled rows chosen by a hash of the id.
 
     docs has id and text, known id and y. A stem counts if it starts a word in at least five toxic texts and is 20 times
-    as frequent there as in clean texts, or 10 times where it starts two words of a text.
+    as frequent there as in clean texts, or 10 times where it starts two words of a text. All that pass are kept; their
+    number is bounded by the sample.
     """
     n = max(1, known.count())
     share = min(1_000_000, max(1, int(1_000_000 * labelled / n)))
@@ -137,7 +140,7 @@ def learn_stems(docs: DataFrame, known: DataFrame, text_col: str = "text", label
     even = size.get(False, 0) / max(1, size.get(True, 0))
     odds = lambda t, c: F.col(t) * even / (F.col(c) + 0.5)
     strong = ((F.col("toxic") >= 5) & (odds("toxic", "clean") >= 20)) | ((F.col("toxic_2") >= 5) & (odds("toxic_2", "clean_2") >= 10))
-    found = counts.where(strong).orderBy(F.desc("toxic"), F.desc("toxic_2"), "clean", "stem").limit(most).collect()
+    found = counts.where(strong).select("stem").collect()
     return np.sort(np.array([r.stem for r in found], np.int64).view(np.uint64))
 
 
@@ -146,48 +149,93 @@ def _features(batches, stems: np.ndarray):
         x = features(batch.column(1), stems).astype(np.float32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.reshape(-1)))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "x"])
+    trim()
+
+
+def _one_hot(votes: np.ndarray) -> np.ndarray:
+    """Votes (-1, 0, 1) of K voters as 3 * K columns, those of a voter next to each other."""
+    return (votes[:, :, None] == np.array([-1, 0, 1])).reshape(len(votes), -1).astype(float)
 
 
 def _moments(batches, model: dict | None):
-    """Sums over the vote patterns of a partition: by class, how often each voter gave each vote and each pair agreed."""
-    total = None
+    """Sums over the vote patterns of a partition: by class, its weight and how often each two votes came together."""
+    k = len(VOTERS)
+    total = np.zeros(2 * (1 + 9 * k * k))
     for batch in batches:
-        v = np.stack([np.asarray(batch.column(k)) for k in range(len(VOTERS))], 1) if batch.num_rows else np.zeros((0, len(VOTERS)), int)
-        n, y = np.asarray(batch.column(len(VOTERS))).astype(float), batch.column(len(VOTERS) + 1).to_numpy(zero_copy_only=False).astype(float)
-        p = np.where(np.isnan(y), 0.0 if model is None else posterior(v, model), y)
-        known = np.where(np.isnan(y), 0.0 if model is None else UNLABELLED, 1.0)
+        v = np.stack([np.asarray(batch.column(j)) for j in range(k)], 1) if batch.num_rows else np.zeros((0, k), int)
+        n, y = np.asarray(batch.column(k)).astype(float), batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float)
+        guess = 0.0 if model is None else posterior(v, model)
+        p, trust = np.where(np.isnan(y), guess, y), np.where(np.isnan(y), 0.0 if model is None else UNLABELLED, 1.0)
+        hot = _one_hot(v)
         sums = []
-        for weight in (n * (1 - p) * known, n * p * known):
-            each = np.stack([((v == s) * weight[:, None]).sum(0) for s in (-1, 0, 1)])
-            sums += [np.array([weight.sum()]), each.reshape(-1), ((v * weight[:, None]).T @ v).reshape(-1).astype(float)]
-        total = np.concatenate(sums) + (0 if total is None else total)
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+        for weight in (n * (1 - p) * trust, n * p * trust):
+            sums += [np.array([weight.sum()]), ((hot * weight[:, None]).T @ hot).reshape(-1)]
+        total += np.concatenate(sums)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
 
 
 def posterior(votes: np.ndarray, model: dict) -> np.ndarray:
-    """P(toxic | votes) under the label model."""
-    log_ratio = np.log(model["toxic"] / model["clean"])
-    log_ratio[1] = 0  # an abstention says nothing
-    score = model["prior"] + (log_ratio[votes + 1, np.arange(votes.shape[1])] * model["weight"]).sum(1)
+    """P(toxic | votes) under the label model. An abstention says nothing."""
+    score = np.full(len(votes), model["prior"])
+    for k, parent in enumerate(model["parent"]):
+        own = votes[:, k] + 1
+        score += np.where(own == 1, 0.0, model["ratio"][k][votes[:, parent] + 1, own])
     return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
+def _tree(shared: np.ndarray) -> np.ndarray:
+    """The neighbour on which each voter depends: the spanning tree of the most shared information, from voter 0 on."""
+    parent, best, done = np.zeros(len(shared), int), shared[0].copy(), np.zeros(len(shared), bool)
+    done[0] = True
+    for _ in range(len(shared) - 1):
+        k = int(np.where(done, -np.inf, best).argmax())
+        done[k] = True
+        closer = ~done & (shared[k] > best)
+        parent[closer], best[closer] = k, shared[k][closer]
+    return parent
+
+
 def _model(sums: np.ndarray) -> dict:
+    """Prior log odds, and for each voter its neighbour and the log ratios of its votes given the neighbour's vote.
+
+    The first voter is its own neighbour: its table has the ratio of its votes alone.
+    """
     k = len(VOTERS)
-    halves, out = np.split(sums, 2), {}
+    size, joint, own = [], [], []
+    for half in np.split(sums, 2):
+        table = half[1:].reshape(k, 3, k, 3).transpose(0, 2, 1, 3)
+        size.append(half[0])
+        joint.append(table)
+        own.append((np.stack([np.diag(table[j, j]) for j in range(k)]) + 1.0) / (half[0] + 3.0))
     shared = np.zeros((k, k))
-    for name, s in zip(("clean", "toxic"), halves, strict=True):
-        n, each, pairs = s[0], s[1 : 1 + 3 * k].reshape(3, k), s[1 + 3 * k :].reshape(k, k)
-        out[name] = (each + 1.0) / (n + 3.0)
-        mean = (each[2] - each[0]) / max(n, 1)
-        cov = pairs / max(n, 1) - np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        shared = np.maximum(shared, np.clip(cov / np.outer(sd, sd), 0, 1) * (n > 0))
-    np.fill_diagonal(shared, 0)
-    out["weight"] = 1 / (1 + shared.sum(1))
-    out["prior"] = np.log((halves[1][0] + 1) / (halves[0][0] + 1))
-    return out
+    for n, table, p in zip(size, joint, own, strict=True):
+        both = (table + p[:, None, :, None] * p[None, :, None, :]) / (n + 1.0)
+        apart = both.sum(3)[:, :, :, None] * both.sum(2)[:, :, None, :]
+        shared += n / max(sum(size), 1e-9) * (both * np.log(both / apart)).sum((2, 3))
+    parent = _tree(shared)
+    ratio = []
+    for j in range(k):
+        logs = []
+        for table, p in zip(joint, own, strict=True):
+            if j == parent[j]:
+                logs.append(np.log(np.broadcast_to(p[j], (3, 3))))
+            else:
+                seen = table[parent[j], j]
+                logs.append(np.log((seen + SMOOTHING * p[j]) / (seen.sum(1, keepdims=True) + SMOOTHING)))
+        ratio.append(logs[1] - logs[0])
+    return {"prior": np.log((size[1] + 1) / (size[0] + 1)), "parent": parent.tolist(), "ratio": ratio}
+
+
+def _guess() -> np.ndarray:
+    """Sums to start from where no toxic label is known: independent voters that are right more often than not."""
+    halves = []
+    for size, vote in ((900.0, (0.6, 0.3, 0.1)), (100.0, (0.1, 0.3, 0.6))):
+        p = np.tile(vote, len(VOTERS))
+        table = size * np.outer(p, p)
+        for j in range(0, len(p), 3):
+            table[j : j + 3, j : j + 3] = size * np.diag(vote)
+        halves += [np.array([size]), table.reshape(-1)]
+    return np.concatenate(halves)
 
 
 def _regression(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
@@ -208,7 +256,9 @@ def _regression(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 2
 def _score(batches, weights: np.ndarray, stems: np.ndarray, text: int):
     for batch in batches:
         z = features(batch.column(text), stems) @ weights[:-1] + weights[-1]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*batch.schema.names, "score"])
+        score = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "score"])
+    trim()
 
 
 def held_out(id_col: str, folds: int = 5, fold: int = 0):
@@ -224,43 +274,66 @@ class ToxicityModel:
     stems: tuple[int, ...] = ()
 
     @staticmethod
-    def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rounds: int = 6, sample: int = SAMPLE) -> ToxicityModel:
+    def fit(docs: DataFrame, labels: DataFrame, **options) -> ToxicityModel:
+        """The model of fit_scores alone."""
+        return ToxicityModel.fit_scores(docs, labels, **options)[0]
+
+    @staticmethod
+    def fit_scores(
+        docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+        rounds: int = 6, sample: int = SAMPLE,
+    ) -> tuple[ToxicityModel, DataFrame]:
         """Learns from the texts and votes of all docs and the labels of rows that aren't held out.
 
-        Several labels of an id count as toxic if any does; null labels are unknown. Without any label the votes alone
-        decide. Of the documents not held out about `sample` (by a hash of the id) train the linear classifier.
+        Returns the model and (id_col, score) of every row of docs, from the features that were learnt from. Several
+        labels of an id count as toxic if any does; null labels are unknown. Without any label the votes alone decide.
+        Of the documents not held out about `sample` (by a hash of the id) train the linear classifier.
         """
-        known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col(label_col) > 0, 1.0).otherwise(0.0)).alias("y"))
+        known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id"))
+        known = known.agg(F.max(F.when(F.col(label_col) > 0, 1.0).otherwise(0.0)).alias("y"))
         given = docs.select(F.col(id_col).alias("id"), text_col)
         stems = learn_stems(given, known, text_col)
-        table = written(given.mapInArrow(partial(_features, stems=stems), f"id {dict(docs.dtypes)[id_col]}, x array<float>"), "features")
-        votes = [F.col("x")[len(FEATURES) - len(VOTERS) + k].cast("int").alias(f"v{k}") for k in range(len(VOTERS))]
-        patterns = written(table.join(known, "id", "left").select(*votes, "y").groupBy(*[f"v{k}" for k in range(len(VOTERS))], "y").agg(F.count("*").alias("n")), "votes")
-        patterns = patterns.select(*[f"v{k}" for k in range(len(VOTERS))], "n", "y")
+        schema = f"id {dict(docs.dtypes)[id_col]}, x array<float>"
+        table = written(given.mapInArrow(partial(_features, stems=stems), schema), "features")
+        names = [f"v{k}" for k in range(len(VOTERS))]
+        votes = [F.col("x")[len(FEATURES) - len(VOTERS) + k].cast("int").alias(v) for k, v in enumerate(names)]
+        patterns = table.join(known, "id", "left").select(*votes, "y").groupBy(*names, "y").agg(F.count("*").alias("n"))
+        patterns = written(patterns, "votes").select(*names, "n", "y")
         model = None
         for _ in range(rounds + 1):
             rows = patterns.mapInArrow(partial(_moments, model=model), "sums array<double>").collect()
-            size = 2 * (1 + 3 * len(VOTERS) + len(VOTERS) ** 2)
-            sums = sum((np.array(r.sums) for r in rows), np.zeros(size))
-            if model is None and not sums[size // 2]:
-                # no toxic label is known: start from voters being right more often than not
-                sums[1 : 1 + 3 * len(VOTERS)] += np.repeat([2.0, 2.0, 1.0], len(VOTERS)) * 10
-                sums[size // 2 + 1 : size // 2 + 1 + 3 * len(VOTERS)] += np.repeat([1.0, 2.0, 4.0], len(VOTERS)) * 10
-                sums[0], sums[size // 2] = max(sums[0], 900), 100
+            sums = np.sum([r.sums for r in rows], axis=0) if rows else np.zeros(2 * (1 + 9 * len(VOTERS) ** 2))
+            if model is None and not sums[len(sums) // 2]:
+                sums += _guess()
             prior = model and model["prior"]  # known from the labels; unlabelled rows can't move it
             model = _model(sums)
             model["prior"] = model["prior"] if prior is None else prior
         n = max(1, table.count())
         share = min(1_000_000, max(1, int(1_000_000 * sample / n)))
-        chosen = table.withColumnRenamed("id", id_col).where(~held_out(id_col) & (F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share)).select("x").limit(2 * sample)
-        x = np.array([r.x for r in chosen.collect()], float).reshape(-1, len(FEATURES))
+        drawn = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share
+        chosen = table.where(~held_out("id") & drawn).join(known, "id", "left").select("x", "y").limit(2 * sample).collect()
+        x = np.array([r.x for r in chosen], float).reshape(-1, len(FEATURES))
+        y = np.array([r.y for r in chosen], float)
         p = posterior(x[:, len(FEATURES) - len(VOTERS) :].astype(int), model)
-        return ToxicityModel(tuple(_regression(x, p).tolist()), tuple(stems.tolist()))
+        known_y = ~np.isnan(y)
+        if 0 < y[known_y].sum() < known_y.sum():
+            # the tree leaves some dependence out, so its log odds are too sure: calibrated on the known labels
+            logit = np.log(p / (1 - p))[:, None]
+            scale, shift = _regression(logit[known_y], y[known_y])
+            p = 1 / (1 + np.exp(-np.clip(scale * logit[:, 0] + shift, -30, 30)))
+        p = np.where(known_y, y, p)
+        model = ToxicityModel(tuple(_regression(x, p).tolist()), tuple(stems.tolist()))
+        line = sum((F.col("x")[k] * w for k, w in enumerate(model.weights[:-1])), F.lit(model.weights[-1]))
+        return model, table.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-line))).alias("score"))
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with score, the probability from 0 to 1 that a text is toxic; a column of that name is replaced."""
+        """docs with score, the probability from 0 to 1 that a text is toxic; a column of that name is replaced.
+
+        Null and empty texts score as texts without words. Equal texts score alike, whatever their other columns.
+        """
         docs = docs.drop("score")
-        return docs.mapInArrow(partial(_score, weights=np.array(self.weights), stems=np.array(self.stems, np.uint64), text=docs.columns.index(text_col)), _with_score(docs))
+        given = {"weights": np.array(self.weights), "stems": np.array(self.stems, np.uint64)}
+        return docs.mapInArrow(partial(_score, text=docs.columns.index(text_col), **given), _with_score(docs))
 
 
 def _with_score(docs: DataFrame):

@@ -1,7 +1,8 @@
 """Chat formatting: records of differing layouts become canonical turns, and turns a templated text with a loss mask.
 
 A record's schema fingerprint is a hash of its nested field paths; it selects a declarative mapping that says where the
-turns are and which fields hold role and text. Records of a layout without a mapping are kept aside, never guessed at.
+turns are and which fields hold role and text. A fingerprint is resolved once, to the mapping that needs the most of its
+paths; other fields are ignored. Records of a layout without a mapping are kept aside, never guessed at.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where a layout keeps its turns. each: path of a list of turns; else fixed gives (role, path) in order."""
+    """Where a layout keeps its turns. paths: what a record must have. each: path of a list of turns; else fixed gives
+    (role, path) in order. A path is also there if something is nested below it, as in texts given as lists of parts."""
 
     name: str
     paths: tuple[str, ...]
@@ -52,13 +54,15 @@ MAPPINGS = (
 
 
 def field_paths(value, at: str = "") -> Iterator[str]:
-    """Paths of all leaves; items of lists share the path of their list with []."""
-    if isinstance(value, dict):
+    """Paths of all leaves; items of lists share the path of their list with []. Empty lists and objects are leaves."""
+    if isinstance(value, dict) and value:
         for k, v in value.items():
             yield from field_paths(v, f"{at}.{k}" if at else k)
     elif isinstance(value, list):
         for v in value:
             yield from field_paths(v, f"{at}[]")
+        if not value:
+            yield f"{at}[]"
     else:
         yield at
 
@@ -67,9 +71,19 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
 
 
+def resolve(paths: set[str], mappings: tuple[Mapping, ...]) -> Mapping | None:
+    """The mapping that needs the most of these paths, of several the first. An empty list of turns fits its mapping."""
+
+    def there(path: str) -> bool:
+        return any(p == path or p.startswith((f"{path}.", f"{path}[")) for p in paths)
+
+    fits = [m for m in mappings if all(map(there, m.paths)) or (m.each and f"{m.each}[]" in paths)]
+    return max(fits, key=lambda m: len(m.paths), default=None)
+
+
 def _turns(batches, mappings: tuple[Mapping, ...]):
-    """Rows (…, record) become (…, layout, turn_no, role, text); an unknown layout gives one row without a turn."""
-    by = {fingerprint(m.paths): m for m in mappings}
+    """Rows (…, record) become (…, layout, turn_no, role, text); a record without turns gives one row without a turn."""
+    layouts: dict[str, Mapping | None] = {}
     for batch in batches:
         keep = batch.num_columns - 1
         at, out = [], ([], [], [], [])
@@ -78,25 +92,41 @@ def _turns(batches, mappings: tuple[Mapping, ...]):
                 record = json.loads(raw) if raw is not None else None
             except ValueError:
                 record = None
-            m = by.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
-            rows = [(None, None, None)] if m is None else list(_apply(m, record))
-            for turn in rows:
+            m = None
+            if isinstance(record, dict):
+                paths = set(field_paths(record))
+                layout = fingerprint(paths)
+                if layout not in layouts:
+                    layouts[layout] = resolve(paths, mappings)
+                m = layouts[layout]
+            rows = list(_apply(m, record)) if m else []
+            for turn in rows or [(None, None, None)]:
                 at.append(i)
                 for column, v in zip(out, (m and m.name, *turn), strict=True):
                     column.append(v)
         types = (pa.string(), pa.int64(), pa.string(), pa.string())
         columns = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(keep)]
-        yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], [*batch.schema.names[:keep], "layout", "turn_no", "role", "text"])
+        columns += [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:keep], "layout", "turn_no", "role", "text"])
+
+
+def _plain(value) -> str:
+    """A text; of a list of parts the texts of the parts one after another, and other values as JSON."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        return "".join(_plain(v.get("text", v) if isinstance(v, dict) else v) for v in value)
+    return json.dumps(value, ensure_ascii=False)
 
 
 def _apply(m: Mapping, record: dict):
     roles = dict(m.roles)
-    plain = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
     if m.fixed:
-        found = [(role, plain(record[path])) for role, path in m.fixed]
+        found = [(role, _plain(record[path])) for role, path in m.fixed]
         found = [x for k, x in enumerate(found) if x[1] or k in (0, len(found) - 1)]
     else:
-        found = [(plain(t[m.role]), plain(t[m.text])) for t in (record[m.each] if m.each else [record])]
+        turns = record[m.each] if m.each else [record]
+        found = [(_plain(t.get(m.role)), _plain(t.get(m.text))) for t in turns if isinstance(t, dict)]
     for k, (role, text) in enumerate(found):
         yield k, roles.get(role, role), text
 
@@ -104,8 +134,9 @@ def _apply(m: Mapping, record: dict):
 def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """The other columns of records with layout, turn_no, role and text: one row for each turn of each JSON record.
 
-    A record that is null, isn't JSON or has an unknown layout yields one row with nulls, so nothing is lost. Null
-    texts count as empty; columns with the names of the result are dropped from the input first.
+    A record that is null, isn't JSON, has an unknown layout or no turns yields one row without a turn, so nothing is
+    lost. Null texts count as empty; equal records each give their turns; columns with the names of the result are
+    dropped from the input first.
     """
     rest = [c for c in records.columns if c not in (record_col, "layout", "turn_no", "role", "text")]
     slim = records.select(*rest, record_col)
@@ -183,13 +214,25 @@ def _digests(batches):
 
 
 def conversation_digests(formatted: DataFrame, order: list[str]) -> DataFrame:
-    """Per conv_id what can be read back from the formatted turns: their number, digests of turns and of the loss text."""
+    """Per conv_id what can be read back from the formatted turns: their number, digests of turns and of the loss text.
+
+    Turns that are equal in `order` are taken in any order, so it should end in the formatted text. A null conv_id is a
+    conversation of its own. A partition is streamed, so neither a long conversation nor a long text is held twice.
+    """
     dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", *order)
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return dealt.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(_digests, schema)
 
 
 def turn_records(conversations: DataFrame) -> DataFrame:
-    """Rows of one turn each as JSON records of the layout `turn`, with conv_id and turn."""
-    text = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return conversations.select("conv_id", "turn", F.to_json(text).alias("record"))
+    """Rows of one turn each as JSON records, with conv_id and turn.
+
+    A hash of the row deals them to three layouts: role and text, role and content, and a list of one message. Null
+    roles and texts are written as empty; other columns are dropped.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    message = F.struct(role.alias("role"), text.alias("content"))
+    layout = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    record = F.when(layout == 0, F.to_json(F.struct(role.alias("role"), text.alias("text"))))
+    record = record.when(layout == 1, F.to_json(message)).otherwise(F.to_json(F.struct(F.array(message).alias("messages"))))
+    return conversations.select("conv_id", "turn", record.alias("record"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnquery.llm.hashing import NOT_ALNUM, Words, grams, slices, string_parts, tokenise, trim
+from tarnquery.llm.session import bound_batches
 
 #: Bytes of items held by a task at once; a larger benchmark is worked through in blocks of that size.
 BLOCK_BYTES = 16 << 20
@@ -161,6 +162,7 @@ def find_leaks(
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bound_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = None
     bench = benchmark.where(F.length("text") > 0).select("item_id", "text").distinct()

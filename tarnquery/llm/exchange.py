@@ -17,32 +17,34 @@ from pyspark.sql import DataFrame
 from tarnquery.llm.hashing import U, slices, string_parts, trim
 from tarnquery.llm.session import parts_for, text_bytes
 
-#: Bytes of text in a chunk; hashed keys in a bucket, on average; bytes of text in a partition of chunks.
-CHUNK_BYTES, BUCKET_KEYS, WORD_BYTES, PART_BYTES = 4 << 20, 2_000_000, 6, 64 << 20
+#: Bytes of text in a chunk and in one of its rows; hashed keys in a bucket, on average; bytes of text in a partition.
+CHUNK_BYTES, PIECE_BYTES, BUCKET_KEYS, WORD_BYTES, PART_BYTES = 4 << 20, 512 << 10, 2_000_000, 6, 64 << 20
 CHUNK = "chunk"
 
 
-def _pack_rows(batches, text: int, most: int):
-    """Rows as chunks (number, compressed Arrow stream) of about `most` bytes of text, in the order they come."""
-    part, count, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+def _pack_rows(batches, text: int, most: int, piece: int):
+    """Rows as pieces (chunk, compressed Arrow stream) of chunks of about `most` bytes of text, in the order they come."""
+    chunk, size, held, waiting = TaskContext.get().partitionId() << 32, 0, [], 0
 
     def emit():
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             for x in held:
                 out.write_batch(x)
-        row = [pa.array([part + count], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        row = [pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
         return pa.RecordBatch.from_arrays(row, [CHUNK, "data"])
 
     for batch in batches:
         offs = string_parts(batch.column(text))[1]
-        for a, b in slices(offs, most):
+        for a, b in slices(offs, piece):
             more = int(offs[b] - offs[a])
-            if held and size + more > most:
+            if held and (waiting + more > piece or size + more > most):
                 yield emit()
-                count, held, size = count + 1, [], 0
+                held, waiting = [], 0
+            if size and size + more > most:
+                chunk, size = chunk + 1, 0
             held.append(batch.slice(a, b - a))
-            size += more
+            size, waiting = size + more, waiting + more
     if held:
         yield emit()
     trim()
@@ -55,16 +57,18 @@ def chunked(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
     """
     size = text_bytes(docs, text_col)
     packed = docs.mapInArrow(
-        partial(_pack_rows, text=docs.columns.index(text_col), most=CHUNK_BYTES), f"{CHUNK} long, data binary"
+        partial(_pack_rows, text=docs.columns.index(text_col), most=CHUNK_BYTES, piece=min(PIECE_BYTES, CHUNK_BYTES)),
+        f"{CHUNK} long, data binary",
     )
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(least, parts_for(size, PART_BYTES))
     return packed.repartition(parts, CHUNK), parts_for(size, WORD_BYTES * BUCKET_KEYS)
 
 
-def rows_of(chunk: pa.Table) -> pa.Table:
-    """The documents of a chunk's row."""
-    return pa.ipc.open_stream(chunk["data"][0].as_buffer()).read_all().combine_chunks()
+def rows_of(pieces: pa.Table) -> pa.Table:
+    """The documents of a chunk, from its pieces."""
+    tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for column in pieces["data"].chunks for x in column]
+    return pa.concat_tables(tables).combine_chunks()
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -136,14 +136,23 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame, size: int, percent: int) -
     # tokens of one text alone come first in any order, so only their number matters
     ranked = ranked.join(open_, "id").select("id", "c", "n", "token", (F.col("n") - F.col("shared") + F.col("k")).alias("at"))
     ranked = written(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1), "prefixes")
-    groups = ranked.select("token", "c").distinct()
-    apart = groups.select("token", F.col("c").alias("c_a")).join(groups, "token").where("c_a < c")
-    x = ranked.select("token", *[F.col(k).alias(f"{k}_a") for k in ("id", "c", "n", "at")])
-    left = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
-    enough = left * (100 + percent) >= percent * (F.col("n_a") + F.col("n"))
-    near = F.least("n_a", "n") * 100 >= F.greatest("n_a", "n") * percent
-    both = x.join(apart, ["token", "c_a"]).join(ranked, ["token", "c"])
-    return both.where(near & enough).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
+    ranked = ranked.withColumn("left", F.col("n") - F.col("at"))
+    # of each component that has a token the range of sizes and the most tokens left: pairs that can't do are left out
+    groups = ranked.groupBy("token", "c").agg(
+        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("left").alias("left_hi")
+    )
+
+    def can(least_a: str, least_b: str, most_a: str, most_b: str, left_a: str, left_b: str):
+        near = (F.col(most_a) * 100 >= F.col(least_b) * percent) & (F.col(most_b) * 100 >= F.col(least_a) * percent)
+        enough = (1 + F.least(left_a, left_b)) * (100 + percent) >= percent * (F.col(least_a) + F.col(least_b))
+        return near & enough
+
+    a_side = lambda df: df.select("token", *[F.col(k).alias(f"{k}_a") for k in df.columns if k != "token"])
+    apart = a_side(groups).join(groups, "token").where(
+        (F.col("c_a") < F.col("c")) & can("n_lo_a", "n_lo", "n_hi_a", "n_hi", "left_hi_a", "left_hi")
+    )
+    both = a_side(ranked).join(apart.select("token", "c_a", "c"), ["token", "c_a"]).join(ranked, ["token", "c"])
+    return both.where(can("n_a", "n", "n_a", "n", "left_a", "left")).select(F.col("id_a").alias("a"), F.col("id").alias("b"))
 
 
 def near_duplicates(

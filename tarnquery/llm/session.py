@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnquery.sources.shared import new_folder
@@ -13,8 +13,19 @@ from tarnquery.sources.shared import new_folder
 BROADCAST_ROWS = 500_000
 
 
+#: Bytes of an Arrow batch between the JVM and Python: a batch of long texts is held several times over in a task.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session has a bound of its own below Spark's default of 64 MB."""
+    if spark.conf.get(BATCH_SETTING).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later steps don't repeat its work if an executor is lost."""
+    bound_batches(df.sparkSession)
     path = new_folder(df.sparkSession, tag)
     schema = df.schema
     df.write.parquet(path)
@@ -32,6 +43,7 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", limit:
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    bound_batches(docs.sparkSession)
     return docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 

@@ -64,15 +64,12 @@ def _sent(chunk: int, edges: np.ndarray, *columns) -> list[pa.Array]:
     return fixed + [pa.array([f(v[x:y]) for _, x, y in some], pa.binary()) for f, v in columns]
 
 
-def _send_anchors(batches, text: str, block: int, buckets: int):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = pa.Table.from_batches([batch.slice(i, 1)])
-            keys, blocks, many = _distinct_anchors(rows_of(row), text, block)
-            sent = (pack, keys), (pack_bits, blocks), (pack_bits, many)
-            out = _sent(row[CHUNK][0].as_py(), bucket_edges(keys, buckets), *sent)
-            yield pa.RecordBatch.from_arrays(out, ["bucket", "chunk", "keys", "blocks", "many"])
+def _send_anchors(chunk: pa.Table, text: str, block: int, buckets: int) -> pa.Table:
+    keys, blocks, many = _distinct_anchors(rows_of(chunk), text, block)
+    sent = (pack, keys), (pack_bits, blocks), (pack_bits, many)
+    out = _sent(chunk[CHUNK][0].as_py(), bucket_edges(keys, buckets), *sent)
     trim()
+    return pa.table(out, ["bucket", "chunk", "keys", "blocks", "many"])
 
 
 def _match_anchors(table: pa.Table) -> pa.Table:
@@ -245,10 +242,13 @@ def remove_repeats(
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     chunks, buckets = chunked(docs, text_col)
 
+    def send(key, table):
+        return _send_anchors(table, text_col, block, buckets)
+
     def match(key, table):
         return _match_anchors(table)
 
-    sent = chunks.mapInArrow(partial(_send_anchors, text=text_col, block=block, buckets=buckets), ANCHORS)
+    sent = chunks.groupBy(CHUNK).applyInArrow(send, ANCHORS)
     hits = sent.groupBy("bucket").applyInArrow(match, "chunk long, bucket int, hits binary")
 
     def send_windows(key, left, right):

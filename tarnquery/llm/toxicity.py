@@ -115,10 +115,16 @@ def _stem_counts(batches):
         for a, b in slices(offs):
             w = tokenise(data, offs[a : b + 1], lower=True, separators=NOT_ALNUM)
             doc = w.doc
-            parts = [np.stack([doc[at].astype(np.uint64), h]) for at, h in (prefixes(w, size) for size in STEM_BYTES)]
-            pairs, n = np.unique(np.concatenate(parts, 1), axis=1, return_counts=True)
-            stem, back = np.unique(pairs[1], return_inverse=True)
-            toxic = y[a:b][pairs[0].astype(np.int64)]
+            found = [(doc[at], h) for at, h in (prefixes(w, size) for size in STEM_BYTES)]
+            at, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((h, at))
+            at, h = at[order], h[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1]) | (h[1:] != h[:-1])
+            new = np.flatnonzero(new)
+            n = np.diff(new, append=len(at))
+            stem, back = np.unique(h[new], return_inverse=True)
+            toxic = y[a:b][at[new]]
             count = lambda mask: np.bincount(back, mask, minlength=len(stem)).astype(np.int64)  # noqa: E731, B023
             sums = [count(toxic), count(~toxic), count(toxic & (n > 1)), count(~toxic & (n > 1))]
             yield pa.RecordBatch.from_arrays([pa.array(stem.view(np.int64)), *map(pa.array, sums)], ["stem", "toxic", "clean", "toxic_2", "clean_2"])

@@ -26,9 +26,11 @@ def _pack_rows(batches, text: int, most: int, piece: int):
     """Rows as pieces (chunk, compressed Arrow stream) of chunks of about `most` bytes of text, in the order they come."""
     chunk, size, held, waiting = TaskContext.get().partitionId() << 32, 0, [], 0
 
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
+
     def emit():
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, held[0].schema, options=options) as out:
             for x in held:
                 out.write_batch(x)
         row = [pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]

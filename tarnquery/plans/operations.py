@@ -63,7 +63,7 @@ def batch_stats(spark, sf_dir):
         round(coalesce(100.0 * count(*) FILTER (k % 2 = 0 AND k % 4 = 0) / nullif(count(*) FILTER (k % 2 = 0), 0), 0), 6) AS recovery_rate, count(*) FILTER (severity = 'critical') AS critical, max_by(event_id, ts) FILTER (severity = 'critical') AS last_critical FROM r
 """)
 def error_stats(spark, sf_dir):
-    """AGG13: totals, recent ones, recovery rate and critical errors in one pass."""
+    """Totals, recent ones, recovery rate and critical errors in one pass."""
     e = errors(spark, sf_dir)
     tried = F.col("k") % 2 == 0
     return e.agg(
@@ -124,7 +124,7 @@ def request_counters(spark, sf_dir):
 
 @query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'labelled', count(*) FROM labels WHERE quality = 1")
 def cache_counts(spark, sf_dir):
-    """AGG10: rows of each table and of a status."""
+    """Rows of each table and of a status (AGG10 in full: cache_status)."""
     one = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
     t = lambda n: table(spark, sf_dir, n)
     return one("documents", t("documents")).union(one("pages", t("pages"))).union(one("labels", t("labels"))).union(one("labelled", t("labels").where("quality = 1")))
@@ -147,7 +147,7 @@ def queue_progress(spark, sf_dir):
     SELECT day, CASE WHEN error_rate >= 0.15 OR response_time >= 25 THEN 'critical' WHEN error_rate >= 0.05 OR response_time >= 15 THEN 'warning' ELSE 'healthy' END AS status FROM m
 """)
 def health_rollup(spark, sf_dir):
-    """AGG33, MON1: the most severe threshold that a day's metrics cross; thresholds are a parameter."""
+    """AGG33: the most severe threshold that a day's metrics cross; thresholds are a parameter."""
     by = events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("error_rate"), F.avg("value").alias("response_time"))
     over = lambda e, r: (F.col("error_rate") >= e) | (F.col("response_time") >= r)
     return by.select("day", F.when(over(0.15, 25), "critical").when(over(0.05, 15), "warning").otherwise("healthy").alias("status"))
@@ -212,7 +212,7 @@ def rate_limit_fixed(spark, sf_dir):
 
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS in_day FROM events")
 def rate_limit_sliding(spark, sf_dir):
-    """STR1: requests within the day before each."""
+    """Requests within the day before each (STR1 in full: rate_limit_wait)."""
     e = events(spark, sf_dir).select("event_id", "user_id", "ts")
     e.createOrReplaceTempView("tarnquery_events")
     return spark.sql("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND CURRENT ROW) AS in_day FROM tarnquery_events")
@@ -224,7 +224,7 @@ def rate_limit_sliding(spark, sf_dir):
     SELECT strftime(min(w), '%Y-%m-%d %H:%M:%S') AS since, count(*) AS windows FROM g WHERE bad GROUP BY grp HAVING count(*) >= 2
 """)
 def window_rate_alerts(spark, sf_dir):
-    """STR3, STR5: runs of windows in which the error rate stays above a threshold."""
+    """STR5: runs of windows in which the error rate stays above a threshold."""
     h = events(spark, sf_dir).groupBy(F.window("ts", "6 hours")["start"].alias("w")).agg((F.count_if(F.col("event_type") == "error") / F.count("*") > 0.05).alias("bad"))
     # one row for each window of time, however many events: the run's number fits one task
     g = h.withColumn("grp", F.row_number().over(Window.orderBy("w")) - F.row_number().over(Window.partitionBy("bad").orderBy("w")))
@@ -251,7 +251,7 @@ def absence_alert(spark, sf_dir):
 
 @query("SELECT user_id, max_by(event_type, (ts, event_id)) AS state, max(event_id) AS last_id, count(*) AS changes FROM events GROUP BY user_id")
 def task_state(spark, sf_dir):
-    """STR9: the last state of each task."""
+    """The last state of each task (STR9: task_transitions)."""
     return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("event_id").alias("last_id"), F.count("*").alias("changes"))
 
 
@@ -300,7 +300,7 @@ def error_retention(spark, sf_dir):
 
 @query(f"SELECT event_id, event_type FROM events WHERE NOT (event_type IN ('purchase', 'error') AND ts < TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY) AND ts < TIMESTAMP '{AS_OF}' - INTERVAL 15 DAY")
 def cleanup_retention(spark, sf_dir):
-    """FLT12, FLT13, FLT15, FLT16: what stays after old finished tasks are dropped, within a window of time."""
+    """What stays after old finished tasks are dropped, within a window of time."""
     day = lambda n: F.expr(f"TIMESTAMP_NTZ '{AS_OF}' - INTERVAL '{n}' DAY")
     e = events(spark, sf_dir).where(~(F.col("event_type").isin("purchase", "error") & (F.col("ts") < day(20))) & (F.col("ts") < day(15)))
     return e.select("event_id", "event_type")

@@ -72,7 +72,7 @@ def pii_pseudonym(spark, sf_dir):
     SELECT source, count(*) FILTER (e > 0) AS high, count(*) FILTER (e = 0 AND p > 3) AS medium, count(*) FILTER (e = 0 AND p <= 3) AS low, CAST(sum(e + p) AS BIGINT) AS matches, count(*) FILTER (e + p = 0) AS safe FROM c GROUP BY source
 """)
 def pii_risk(spark, sf_dir):
-    """PII9, PII10, PII11, AGG20, AGG21: risk of texts by category, from counted patterns."""
+    """Risk of the texts of each source, from counted patterns."""
     n = lambda p: F.regexp_count("text", F.lit(p))
     c = docs(spark, sf_dir).select("source", n(BOUND(P.EMAIL)).alias("e"), n(P.PHONE).alias("p"))
     e, p = F.col("e"), F.col("p")
@@ -81,6 +81,81 @@ def pii_risk(spark, sf_dir):
         F.sum((e + p).cast("long")).alias("matches"), F.count_if(e + p == 0).alias("safe"))
 
 
+SSN = r"\d{3}-\d{2}-\d{4}"
+_FOUND_SQL = rf"""
+    list_concat(list_concat(
+        list_transform({EMAILS}, lambda x: {{'kind': 'email', 'text': x, 'confidence': 0.9}}),
+        list_transform(regexp_extract_all(text, '\b{SSN}\b'), lambda x: {{'kind': 'ssn', 'text': x, 'confidence': 0.95}})),
+        list_transform({PHONES}, lambda x: {{'kind': 'phone', 'text': x, 'confidence': 0.55}}))
+"""
+
+
+def plain_matches():
+    """Addresses, social security numbers and phone numbers without places or hints, each with a fixed confidence."""
+
+    def each(kind, pattern, sure):
+        said = F.regexp_extract_all("text", F.lit(pattern), 0)
+        return F.transform(
+            said,
+            lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(sure).alias("confidence")),
+        )
+
+    return F.concat(each("email", BOUND(P.EMAIL), 0.9), each("ssn", BOUND(SSN), 0.95), each("phone", P.PHONE, 0.55))
+
+
+_ANY = lambda test: f"len(list_filter(f, lambda m: {test})) > 0"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {_FOUND_SQL} AS f FROM documents), r AS (
+        SELECT *, CASE WHEN {_ANY("m.confidence >= 0.8")} THEN 'high' WHEN len(f) > 3 THEN 'medium' ELSE 'low' END AS risk FROM d)
+    SELECT doc_id, risk, len(f) = 0 AS is_safe, {_ANY("m.kind IN ('ssn', 'credit_card') AND m.confidence >= 0.7")} AS must_not_store,
+        {_ANY("m.kind IN ('ssn', 'credit_card') AND m.confidence >= 0.5")} OR risk = 'high' OR {_ANY("m.confidence >= 0.6")} AS should_sanitize FROM r
+""")
+def pii_text_safety(spark, sf_dir):
+    """PII9, PII10, PII11: of each text its risk, whether it is safe, may be stored, and has to be sanitized."""
+    d = docs(spark, sf_dir).select("doc_id", plain_matches().alias("f"))
+    f = F.col("f")
+    return d.select(
+        "doc_id", P.risk(f).alias("risk"), P.is_safe(f).alias("is_safe"), P.has_high_risk(f).alias("must_not_store"),
+        P.should_sanitize(f).alias("should_sanitize"),
+    )
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {_FOUND_SQL} AS f FROM documents), m AS (SELECT doc_id, unnest(f) AS m FROM d)
+    SELECT doc_id, m.kind AS kind, count(*) AS n, count(*) FILTER (m.confidence >= 0.8) AS high,
+        count(*) FILTER (m.confidence >= 0.5 AND m.confidence < 0.8) AS medium, count(*) FILTER (m.confidence < 0.5) AS low FROM m GROUP BY ALL
+""")
+def pii_analysis(spark, sf_dir):
+    """AGG20: matches of each text by kind, and by confidence."""
+    m = docs(spark, sf_dir).select("doc_id", F.explode(plain_matches()).alias("m")).select("doc_id", "m.kind", "m.confidence")
+    sure = F.col("confidence")
+    return m.groupBy("doc_id", "kind").agg(
+        F.count("*").alias("n"), F.count_if(sure >= 0.8).alias("high"), F.count_if((sure >= 0.5) & (sure < 0.8)).alias("medium"),
+        F.count_if(sure < 0.5).alias("low"),
+    )
+
+
+@query(f"""
+    WITH d AS (SELECT {_FOUND_SQL} AS f FROM documents), c AS (
+        SELECT count(*) AS processed, count(*) FILTER (len(f) > 0) AS detected, count(*) FILTER ({_ANY("m.confidence >= 0.6")}) AS cleaned,
+            count(*) FILTER ({_ANY("m.confidence >= 0.8")}) AS high FROM d)
+    SELECT processed, round(100.0 * detected / greatest(processed, 1), 6) AS detection_rate, round(100.0 * cleaned / greatest(processed, 1), 6) AS sanitization_rate,
+        round(100.0 * high / greatest(processed, 1), 6) AS high_risk_rate, 100.0 * high / greatest(processed, 1) > 5 AS filter_more FROM c
+""")
+def pii_rates(spark, sf_dir):
+    """AGG21: rates of texts with matches, sanitized texts and texts of high risk, and whether to filter more."""
+    f = F.col("f")
+    c = docs(spark, sf_dir).select(plain_matches().alias("f")).agg(
+        F.count("*").alias("processed"), F.count_if(F.size(f) > 0).alias("detected"),
+        F.count_if(P.should_sanitize(f)).alias("cleaned"), F.count_if(P.risk(f) == "high").alias("high"),
+    )
+    rate = lambda x: 100.0 * F.col(x) / F.greatest("processed", F.lit(1))
+    rates = [F.round(rate(x), 6).alias(n) for x, n in (("detected", "detection_rate"), ("cleaned", "sanitization_rate"), ("high", "high_risk_rate"))]
+    return c.select("processed", *rates, (rate("high") > 5).alias("filter_more"))
+
+
 @query()
 def pii_detect(spark, sf_dir):
     """PII1, PII2, PII3, WIN7: all matches with span and confidence, overlaps resolved."""
@@ -90,10 +165,30 @@ def pii_detect(spark, sf_dir):
 
 @query()
 def pii_sanitize(spark, sf_dir):
-    """PII4, PII13, PIP4, MAP1: sanitized text by four strategies, the risk and what to do."""
+    """PII4, PIP4, MAP1: the record of a sanitized text, and its text by four strategies."""
     d = docs(spark, sf_dir).withColumn("found", P.matches(F.col("text")))
     out = [P.sanitize(F.col("text"), F.col("found"), s).alias(s) for s in ("mask", "hash", "placeholder", "remove")]
-    return d.select("doc_id", F.size("found").alias("matches"), P.risk(F.col("found")).alias("risk"), F.array_join(P.recommendations(F.col("found")), "; ").alias("advice"), *out)
+    record = P.sanitized(F.col("text"), F.col("found"))
+    d = d.select("doc_id", record.alias("record"), *out)
+    keys = F.array_join(F.array_sort(F.map_keys("record.replacements")), "; ").alias("replaced")
+    return d.select(
+        "doc_id", "record.matches", "record.risk", "record.sanitized", keys, F.array_join("record.advice", "; ").alias("advice"),
+        F.col("record.text").alias("kept"), "mask", "hash", "placeholder", "remove",
+    )
+
+
+@query()
+def pii_sanitize_items(spark, sf_dir):
+    """PII13: items sanitized field by field: title, topic, content and list of courses."""
+    d = docs(spark, sf_dir).select(
+        "doc_id", F.substring_index("text", ".", 1).alias("title"), F.col("source").alias("topic"), F.col("text").alias("content"),
+        F.split("text", r"[,;]").alias("courses"),
+    )
+    clean = lambda c: P.sanitize(F.col(c), P.matches(F.col(c)), "placeholder").alias(c)
+    # a list's items are cleaned as one text; the separator is no part of any pattern
+    joined = d.withColumn("courses", F.array_join("courses", "\n\n"))
+    done = joined.select("doc_id", *[clean(c) for c in ("title", "topic", "content", "courses")])
+    return done.withColumn("courses", F.size(F.split("courses", "\n\n")))
 
 
 @query()

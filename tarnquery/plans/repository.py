@@ -42,11 +42,11 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str = "rank") -> Dat
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
 
 
-@query(f"WITH {ITEMS}, c AS (SELECT category, count(*) AS n FROM items GROUP BY ALL) SELECT (SELECT count(*) FROM items) AS total, max_by(category, n * 1000 - CAST(substr(category, 4) AS INTEGER)) AS most_common, count(*) AS categories, round(count(*) / 7.0, 6) AS diversity FROM c")
+@query(f"WITH {ITEMS}, c AS (SELECT category, count(*) AS n FROM items GROUP BY ALL) SELECT (SELECT count(*) FROM items) AS total, (SELECT category FROM c ORDER BY n DESC, category LIMIT 1) AS most_common, count(*) AS categories, round(count(*) / 7.0, 6) AS diversity FROM c")
 def category_stats(spark, sf_dir):
-    """AGG2, AGG26: total, most common category and diversity."""
+    """AGG2: total, most common category (of equals the first by name) and diversity."""
     c = items(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
-    first = F.max_by("category", F.col("n") * 1000 - F.substr("category", F.lit(4)).cast("int"))
+    first = F.min_by("category", F.struct(-F.col("n"), "category"))
     return c.agg(F.sum("n").alias("total"), first.alias("most_common"), F.count("*").alias("categories"), F.round(F.count("*") / F.lit(7.0), 6).alias("diversity"))
 
 

@@ -21,8 +21,9 @@ def stamp(c):
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS since, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def stream_hourly_counts(spark, sf_dir):
-    """STR1, STR8, STR14: counts by hour and type, kept up to date."""
-    return E.run_to_table(E.windowed_counts(stream(spark, sf_dir)), new_folder(spark, "counts"), "complete").withColumn("since", stamp("since"))
+    """STR8, STR14: counts by hour and type, kept up to date; windows older than the watermark leave the state."""
+    counts = E.windowed_counts(stream(spark, sf_dir))
+    return E.run_to_table(counts, new_folder(spark, "counts"), "update", ("since", "event_type")).withColumn("since", stamp("since"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -26,8 +26,10 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
     return by.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(F.col("w.start").alias("since"), "event_type", "n", "mean")
 
 
-def process_once(events: DataFrame, keys: list[str], late: str = "60 days") -> DataFrame:
-    """The first event of each key; keys are remembered until the watermark passes them."""
+def process_once(events: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
+    """The first event of each key. All keys are remembered as state, or with `late` until the watermark passes them."""
+    if late is None:
+        return events.select(*keys).dropDuplicates(keys)
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
@@ -59,15 +61,24 @@ def alerts(events: DataFrame, threshold: float = 20.0) -> DataFrame:
     return slim.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, change string", "firing boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there now, writing to path with a checkpoint beside it; returns the table."""
+def run_to_table(stream: DataFrame, path: str, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over what is there now, writing to path with a checkpoint beside it; returns the table.
+
+    In append mode rows are final. In update mode each batch writes what changed into a folder of its own, so that a
+    repeated batch replaces itself, and the table holds the last version of each of `keys`.
+    """
     spark, schema = stream.sparkSession, stream.schema
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{path}/data").outputMode("append")
     else:
-        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/data"))
+        put = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/data/batch={batch}")
+        writer = stream.writeStream.outputMode("update").foreachBatch(put)
     writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/data")
+    if mode == "append":
+        return spark.read.schema(schema).parquet(f"{path}/data")
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/data")
+    last = F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("last")
+    return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
 
 
 def deliver(stream: DataFrame, send, checkpoint: str):

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
@@ -76,7 +77,7 @@ def run_to_table(stream: DataFrame, path: str, mode: str, keys: tuple[str, ...]
     writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     if mode == "append":
         return spark.read.schema(schema).parquet(f"{path}/data")
-    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/data")
+    rows = spark.read.schema(StructType([*schema]).add("batch", "long")).parquet(f"{path}/data")
     last = F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("last")
     return rows.groupBy(*keys).agg(last).select(*keys, "last.*")
 

@@ -256,11 +256,11 @@ def file_names(spark, sf_dir):
 RESERVED = ("CON", "PRN", "AUX", "NUL", *[f"{n}{k}" for n in ("COM", "LPT") for k in range(1, 10)])
 
 
-@query(f"SELECT doc_id, f AS filename, f <> '' AND NOT regexp_matches(f, '[<>:\"/\\\\|?*]') AND upper(f) NOT IN ({', '.join(repr(r) for r in RESERVED)}) AS valid FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'com1' ELSE string_split(text, ' ')[2] END AS f FROM documents WHERE contains(text, ' '))")
+@query(f"SELECT doc_id, f AS filename, f <> '' AND NOT regexp_matches(f, '[<>:\"/\\\\|?*]') AND upper(f) NOT IN ({', '.join(repr(r) for r in RESERVED)}) AS valid FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'com1' ELSE coalesce(string_split(text, ' ')[2], '') END AS f FROM documents)")
 def filename_valid(spark, sf_dir):
-    """VAL3: names that a file system takes."""
-    name = F.when(F.col("doc_id") % 11 == 0, "com1").otherwise(F.split("text", " ")[1])
-    d = table(spark, sf_dir, "documents").where(F.col("text").contains(" ")).select("doc_id", name.alias("filename"))
+    """VAL3: names that a file system takes; a text's second word, or an empty name."""
+    name = F.when(F.col("doc_id") % 11 == 0, "com1").otherwise(F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")))
+    d = table(spark, sf_dir, "documents").select("doc_id", name.alias("filename"))
     return d.withColumn("valid", (F.col("filename") != "") & ~F.col("filename").rlike(r'[<>:"/\\|?*]') & ~F.upper("filename").isin(*RESERVED))
 
 
@@ -274,11 +274,11 @@ def item_quarantine(spark, sf_dir):
     SELECT doc_id, length(k) >= 20 AND NOT regexp_matches(lower(k), 'your_.*_key_here|replace_with_.*|enter_your_.*|api_key_here|xxx+|test_key') AS key_ok,
         length(k) >= 32 AND CAST(regexp_matches(k, '[A-Z]') AS INTEGER) + CAST(regexp_matches(k, '[a-z]') AS INTEGER) + CAST(regexp_matches(k, '[0-9]') AS INTEGER) + CAST(regexp_matches(k, '[!@#$%^&*()_+=\[\]{}|;:,.<>?-]') AS INTEGER) >= 3 AS strong,
         regexp_matches(k || '@example.com', '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$') AS email_ok
-    FROM (SELECT doc_id, left(text, 40) AS k FROM documents)
+    FROM (SELECT doc_id, text AS k FROM documents)
 """)
 def credentials_valid(spark, sf_dir):
     """VAL5: format tests of keys and addresses."""
-    k = F.left("text", F.lit(40))
+    k = F.col("text")
     kinds = sum((k.rlike(p).cast("int") for p in ("[A-Z]", "[a-z]", "[0-9]", r"[!@#$%^&*()_+=\[\]{}|;:,.<>?-]")), F.lit(0))
     placeholder = F.lower(k).rlike("your_.*_key_here|replace_with_.*|enter_your_.*|api_key_here|xxx+|test_key")
     email = F.concat(k, F.lit("@example.com")).rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z")
@@ -291,13 +291,6 @@ def storage_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("directory")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"), F.max("n_chars").alias("largest"))
 
 
-@query("SELECT doc_id, left(sha256(to_json({'content': text, 'source': source, 'topic': lang})::VARCHAR), 16) AS content_hash FROM documents WHERE NOT regexp_matches(text, '[^ -.0-[\\]-~]')")
-def content_hash(spark, sf_dir):
-    """HSH1, JSN1: 16 hexadecimal digits of the hash of an item's canonical JSON; plain ASCII texts, as escapes differ elsewhere."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^ -.0-\[\]-~]"))
-    return d.select("doc_id", F.left(F.sha2(F.to_json(F.struct(F.col("text").alias("content"), "source", F.col("lang").alias("topic"))), 256), F.lit(16)).alias("content_hash"))
-
-
 #: Escapes of JSON strings: the backslash first, then what has a short form, then the other control characters.
 SHORT_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
 OTHER_CONTROLS = tuple((chr(k), f"\\u{k:04x}") for k in range(32) if chr(k) not in "\n\r\t\b\f")
@@ -315,9 +308,23 @@ def json_string(x):
     return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
 
 
-@query()
-def content_hash_all(spark, sf_dir):
-    """HSH1, JSN1: content_hash of every document, whatever its characters."""
+def _json_sql(c: str) -> str:
+    """The SQL of json_string."""
+    out = c
+    for k, escape in SHORT_ESCAPES + OTHER_CONTROLS:
+        out = f"replace({out}, chr({ord(k)}), '{escape}')"
+    return f"coalesce('\"' || {out} || '\"', 'null')"
+
+
+HASHED_SQL = f"""
+    SELECT doc_id, left(sha256('{{"content":' || {_json_sql("text")} || ',"source":' || {_json_sql("source")} || ',"topic":' || {_json_sql("lang")} || '}}'), 16) AS content_hash FROM documents
+"""
+
+
+@query(HASHED_SQL, name="content_hash_all")
+@query(HASHED_SQL)
+def content_hash(spark, sf_dir):
+    """HSH1, JSN1: 16 hexadecimal digits of the hash of every item's canonical JSON, whatever its characters."""
     fields = (("content", "text"), ("source", "source"), ("topic", "lang"))
     parts = [x for k, (name, c) in enumerate(fields) for x in (F.lit(f'{"," if k else "{"}"{name}":'), json_string(F.col(c)))]
     d = table(spark, sf_dir, "documents")

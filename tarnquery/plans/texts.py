@@ -112,57 +112,46 @@ def topic_summary(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.when(best != "", long(best, 300)).otherwise(long(t, 200)).alias("summary"))
 
 
-#: The invented prose has no courses, so the patterns run over a sentence made of each text's start.
-COURSE_TEXT = "'A course on ' || left(text, 30) || '. Learn ' || lang || ' basics training! Certification in ' || source || ' and more. ' || left(text, 200)"
+#: The invented prose has no courses, so a sentence made of a text's first words stands before the whole text.
+COURSE_TEXT = "'A course on ' || left(text, 30) || '. Learn ' || lang || ' basics training! Certification in ' || source || ' and more. ' || text"
+COURSES_SQL = f"""
+    SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform({MATCHES('t', T.COURSES)}, lambda c: {STRIP('c')}), lambda c: length(c) > 3))), ', ') AS courses
+    FROM (SELECT doc_id, {COURSE_TEXT} AS t FROM documents)
+"""
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform({MATCHES('t', T.COURSES)}, lambda c: {STRIP('c')}), lambda c: length(c) > 3))), ', ') AS courses FROM (SELECT doc_id, {COURSE_TEXT} AS t FROM documents)")
+@query(COURSES_SQL, name="course_refs_all")
+@query(COURSES_SQL)
 def course_refs(spark, sf_dir):
-    """TXT11, TXT13, SET2: course references, distinct and sorted."""
+    """TXT11, TXT13, SET2: course references of whole texts, distinct and sorted."""
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.course_refs(F.expr(COURSE_TEXT)), ", ").alias("courses"))
 
 
-COURSE_TEXT_ALL = COURSE_TEXT.replace("left(text, 200)", "text")
-
-
-@query()
-def course_refs_all(spark, sf_dir):
-    """TXT11, TXT13, SET2: course_refs over whole texts."""
-    return docs(spark, sf_dir).select("doc_id", F.array_join(T.course_refs(F.expr(COURSE_TEXT_ALL)), ", ").alias("courses"))
-
-
-@query()
-def course_refs_wide_all(spark, sf_dir):
-    """TXT12: course_refs_wide over whole texts."""
-    return docs(spark, sf_dir).select("doc_id", F.array_join(T.course_refs_wide(F.expr(COURSE_TEXT_ALL)), ", ").alias("courses"))
-
-
 WIDE = SQUEEZE(rf"regexp_replace({STRIP('c')}, '[^\w\s&-]', '', 'g')")
-
-
-@query(rf"""
+COURSES_WIDE_SQL = rf"""
     SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform({MATCHES('t', T.COURSES_WIDE)}, lambda c: {WIDE}),
         lambda c: length(c) BETWEEN 3 AND 100 AND NOT regexp_matches(c, '^\d+$') AND c NOT IN ({', '.join(map(sql, T.NO_COURSE))})))), ', ') AS courses
     FROM (SELECT doc_id, {COURSE_TEXT} AS t FROM documents)
-""")
+"""
+
+
+@query(COURSES_WIDE_SQL, name="course_refs_wide_all")
+@query(COURSES_WIDE_SQL)
 def course_refs_wide(spark, sf_dir):
-    """TXT12: course references by seven patterns, cleaned and filtered."""
+    """TXT12: course references of whole texts by seven patterns, cleaned and filtered."""
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.course_refs_wide(F.expr(COURSE_TEXT)), ", ").alias("courses"))
 
 
-@query(f"""
-    WITH t AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'None' ELSE left(text, 300) END AS c FROM documents)
+COURSE_LIST_SQL = f"""
+    WITH t AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'None' ELSE text END AS c FROM documents)
     SELECT doc_id, CASE WHEN lower(c) IN ('none', 'n/a', '') THEN '' ELSE array_to_string(list_filter(list_transform(regexp_split_to_array(c, '[,;]'), lambda c: {STRIP('c')}), lambda c: length(c) > 3 AND length(c) < 100), ' | ') END AS courses FROM t
-""")
-def course_list(spark, sf_dir):
-    """TXT14: a list of courses in one text."""
-    c = F.when(F.col("doc_id") % 7 == 0, "None").otherwise(F.left("text", F.lit(300)))
-    return docs(spark, sf_dir).select("doc_id", F.array_join(T.parse_courses(c), " | ").alias("courses"))
+"""
 
 
-@query()
-def course_list_all(spark, sf_dir):
-    """TXT14: course_list over whole texts."""
+@query(COURSE_LIST_SQL, name="course_list_all")
+@query(COURSE_LIST_SQL)
+def course_list(spark, sf_dir):
+    """TXT14: the list of courses that a whole text is."""
     c = F.when(F.col("doc_id") % 7 == 0, "None").otherwise(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", F.array_join(T.parse_courses(c), " | ").alias("courses"))
 
@@ -193,11 +182,11 @@ def prompt_template(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.format_string("Extract the key knowledge of this text:\n%s\nAnswer in %s.", F.left("text", F.lit(1000)), "lang").alias("prompt"))
 
 
-REPLY = "'KNOWLEDGE: ' || left(text, 60) || chr(10) || 'more of it' || chr(10) || 'TOPIC: ' || lang || chr(10) || 'SUMMARY: ' || source"
+REPLY = "'KNOWLEDGE: ' || text || chr(10) || 'more of it' || chr(10) || 'TOPIC: ' || lang || chr(10) || 'SUMMARY: ' || source"
 
 
 @query(f"""
-    SELECT doc_id, {SQUEEZE("left(text, 60) || ' more of it'")} AS knowledge, lang AS topic, '' AS courses, source AS summary FROM documents
+    SELECT doc_id, {SQUEEZE("text || ' more of it'")} AS knowledge, lang AS topic, '' AS courses, source AS summary FROM documents
 """)
 def reply_sections(spark, sf_dir):
     """TXT16: sections of an annotator's reply, with continuation lines."""
@@ -440,7 +429,7 @@ def demo_content(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.when(low.contains("casino") | low.contains("bets"), "Games").when(low.contains("th"), "Insights").otherwise("Professional growth").alias("title"), F.regexp_extract("url", r"/(\d+)", 1).alias("post_id"))
 
 
-ALTS = "list_filter(string_split(text, '. '), lambda s: s <> '')[1:3]"
+ALTS = "list_filter(string_split(text, '. '), lambda s: s <> '')"
 ALT_TEXT = SQUEEZE("regexp_replace(regexp_replace(a, 'No alternative text description for this image', '', 'gi'), 'Image may contain:', '', 'gi')")
 
 
@@ -449,7 +438,7 @@ ALT_TEXT = SQUEEZE("regexp_replace(regexp_replace(a, 'No alternative text descri
 """)
 def image_insights(spark, sf_dir):
     """TXT15: what the alternative texts of a post's images say, numbered."""
-    alts = F.slice(F.filter(F.split("text", r"\. "), lambda s: s != ""), 1, 3)
+    alts = F.filter(F.split("text", r"\. "), lambda s: s != "")
     return docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(alts, lambda a, i: T.image_insight(a, i + 1)), "; ").alias("insights"))
 
 
@@ -466,15 +455,15 @@ def demo_knowledge(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.when((k != "") & ~k.endswith("."), F.concat(k, F.lit("."))).otherwise(k).alias("knowledge"), courses.alias("courses"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(left(text, 200)), '\p{L}+|\P{L}+'), lambda w: upper(left(w, 1)) || substr(w, 2)), '') AS titled FROM documents WHERE NOT contains(text, 'ß')")
-def title_case(spark, sf_dir):
-    """TXT23: capitals after every character that isn't a letter; without sharp s, whose capital differs by engine."""
-    return docs(spark, sf_dir).where(~F.col("text").contains("ß")).select("doc_id", T.title_case(F.left("text", F.lit(200))).alias("titled"))
+TITLED_SQL = r"""
+    SELECT doc_id, array_to_string(list_transform(regexp_extract_all(lower(text), '\p{L}+|\P{L}+'), lambda w: CASE WHEN left(w, 1) = 'ß' THEN 'Ss' ELSE upper(left(w, 1)) END || substr(w, 2)), '') AS titled FROM documents
+"""
 
 
-@query()
-def title_case_all(spark, sf_dir):
-    """TXT23: title_case over whole texts, with those that hold a sharp s."""
+@query(TITLED_SQL, name="title_case_all")
+@query(TITLED_SQL)
+def title_case(spark, sf_dir):
+    """TXT23: capitals after every character that isn't a letter; a sharp s there becomes Ss."""
     return docs(spark, sf_dir).select("doc_id", T.title_case(F.col("text")).alias("titled"))
 
 

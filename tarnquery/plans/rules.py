@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnquery.operators import tasks
 from tarnquery.plans.operations import AS_OF, ERRORS, errors, events, stamp
 from tarnquery.plans.registry import query, table
 from tarnquery.sources.shared import new_folder
@@ -135,28 +136,20 @@ def rate_limit_wait(spark, sf_dir):
 _STATE_SQL = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'processing' END"
 
 
-@query(f"""
+TRANSITIONS_SQL = f"""
     WITH s AS (SELECT event_id, user_id, ts, {_STATE_SQL} AS state FROM events),
     w AS (SELECT *, lag(state) OVER u AS before, CAST(sum(CASE WHEN state = 'failed' THEN 1 ELSE 0 END) OVER u AS BIGINT) AS attempts FROM s WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT event_id, user_id, coalesce(before, 'new') AS from_state, CASE WHEN state = 'failed' AND attempts <= 3 THEN 'retrying' ELSE state END AS to_state, attempts,
         CASE WHEN state = 'failed' AND attempts <= 3 THEN least(CAST(power(2, attempts) AS BIGINT), 60) END AS retry_after_s,
         coalesce(before, 'new') NOT IN ('completed') OR state = 'queued' AS allowed FROM w
-""")
+"""
+
+
+@query(TRANSITIONS_SQL)
 def task_transitions(spark, sf_dir):
-    """STR9, STR12 in batch form: each event of a task as a change of state, failures retried after a growing delay
+    """PIP6, PIP8, STR9, STR12 in batch form: each event of a task as a change of state, failures retried after a growing delay
     while attempts last, and whether the change is allowed: a completed task only queues again."""
-    kind = F.col("event_type")
-    state = F.when(kind == "signup", "queued").when(kind == "purchase", "completed").when(kind == "error", "failed")
-    s = events(spark, sf_dir).select("event_id", "user_id", "ts", state.otherwise("processing").alias("state"))
-    u = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    tries = F.sum(F.when(F.col("state") == "failed", 1).otherwise(0)).over(u.rowsBetween(Window.unboundedPreceding, 0))
-    s = s.withColumns({"before": F.coalesce(F.lag("state").over(u), F.lit("new")), "attempts": tries})
-    again = (F.col("state") == "failed") & (F.col("attempts") <= 3)
-    return s.select(
-        "event_id", "user_id", F.col("before").alias("from_state"), F.when(again, "retrying").otherwise(F.col("state")).alias("to_state"),
-        "attempts", F.when(again, F.least(F.pow(F.lit(2), "attempts").cast("long"), F.lit(60).cast("long"))).alias("retry_after_s"),
-        ((F.col("before") != "completed") | (F.col("state") == "queued")).alias("allowed"),
-    )
+    return tasks.task_changes(tasks.task_states(events(spark, sf_dir)))
 
 
 @query(f"""

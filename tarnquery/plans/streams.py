@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnquery.plans.registry import query, table
 from tarnquery.plans.repository import ITEMS, items
+from tarnquery.plans.rules import TRANSITIONS_SQL
 from tarnquery.sources import files
 from tarnquery.sources.shared import new_folder
 from tarnquery.streaming import events as E
@@ -38,7 +39,14 @@ def stream_process_once(spark, sf_dir):
 """)
 def stream_alerts(spark, sf_dir):
     """STR6: stateful alerts, the same as the batch query's."""
-    return E.run_to_table(E.alerts(stream(spark, sf_dir)), new_folder(spark, "alerts"), "append")
+    return E.fold_to_table(stream(spark, sf_dir), new_folder(spark, "alerts"), E.alert_step)
+
+
+@query(TRANSITIONS_SQL)
+def stream_task_states(spark, sf_dir):
+    """STR9, STR12: tasks through their states as events arrive, failures retried after a growing delay; the same as
+    the batch query's."""
+    return E.fold_to_table(stream(spark, sf_dir), new_folder(spark, "tasks"), E.task_step)
 
 
 @query("""
@@ -87,3 +95,61 @@ def backup_manifest(spark, sf_dir):
     one = lambda n, df: df.agg(F.lit(n).alias("name"), F.count("*").alias("n"))
     back = files.restore(spark, path)
     return one("documents", back["documents"]).union(one("labels", back["labels"]))
+
+
+#: Rows of one JSON store.
+STORE = 1000
+
+
+def write_stores(rows, key: str, collected, name: str, path: str) -> None:
+    """JSON stores of up to STORE consecutive keys each, a file for each; a store holds `collected` under a name."""
+    stores = rows.groupBy(F.floor(F.col(key) / STORE)).agg(F.to_json(F.struct(collected.alias(name))).alias("value"))
+    stores.select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def by_id(record):
+    return F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), record)))
+
+
+@query("""
+    SELECT CAST(doc_id AS VARCHAR) AS id, lang AS topic, CASE WHEN doc_id % 5 = 0 THEN 'Other' ELSE coalesce(source, 'Other') END AS category,
+        text AS content, '' AS notes, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS courses FROM documents
+""")
+def repository_store(spark, sf_dir):
+    """SRC1, SRC2: items in JSON stores, some without category or courses, loaded with defaults for what is missing."""
+    path, even = new_folder(spark, "stores"), F.col("doc_id") % 2 == 0
+    item = F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("topic"), F.col("text").alias("key_knowledge_content"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("category"), F.when(even, F.array(F.lit("c"))).alias("course_references"),
+    )
+    write_stores(table(spark, sf_dir, "documents"), "doc_id", F.collect_list(item), "items", path)
+    return files.read_repository(spark, path).select(
+        "id", "topic", "category", F.col("key_knowledge_content").alias("content"), F.col("notes_applications").alias("notes"),
+        F.size("course_references").alias("courses"),
+    )
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS status, CAST(event_id % 4 AS INTEGER) AS retries, event_id % 10 = 0 AS broken FROM events")
+def queue_store(spark, sf_dir):
+    """SRC3: tasks in queue files; those without a URL are told apart and the rest is loaded."""
+    path = new_folder(spark, "queues")
+    url = F.when(F.col("event_id") % 10 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    task = F.struct(
+        F.col("event_id").cast("string").alias("id"), url.alias("url"), F.col("event_type").alias("status"),
+        (F.col("event_id") % 4).cast("int").alias("retry_count"),
+    )
+    write_stores(table(spark, sf_dir, "events"), "event_id", by_id(task), "tasks", path)
+    ok, broken = (t.select("id", "status", F.col("retry_count").alias("retries")) for t in files.read_queue(spark, path))
+    return ok.withColumn("broken", F.lit(False)).union(broken.withColumn("broken", F.lit(True)))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, CASE WHEN value >= 20 THEN 'high' ELSE 'low' END AS severity, event_id % 3 = 0 AS attempted FROM events")
+def error_store(spark, sf_dir):
+    """SRC4: the records of error logs."""
+    path = new_folder(spark, "errors")
+    record = F.struct(
+        F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("error_type"),
+        F.when(F.col("value") >= 20, "high").otherwise("low").alias("severity"), (F.col("event_id") % 3 == 0).alias("recovery_attempted"),
+    )
+    write_stores(table(spark, sf_dir, "events"), "event_id", by_id(record), "error_records", path)
+    return files.read_errors(spark, path).select("id", F.col("error_type").alias("kind"), "severity", F.col("recovery_attempted").alias("attempted"))

@@ -5,14 +5,14 @@ Each function maps a streaming (or batch) DataFrame of events (event_id, ts, use
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tarnquery.operators import tasks
+
 
 def event_stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
     """Events from files as they arrive; the schema is that of the files there, event times become instants."""
@@ -40,26 +40,40 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> Da
     return by.agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("since"), "n")
 
 
-def _alerts(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, threshold: float):
-    """An alert fires once when the value reaches the threshold and resolves once it falls below."""
-    firing = bool(state.get[0]) if state.exists else False
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    now = (rows["value"] >= threshold).fillna(False)
-    before = now.shift(fill_value=firing)
-    changed = rows[now != before]
-    if len(rows):
-        state.update((bool(now.iloc[-1]),))
-    yield pd.DataFrame({"user_id": key[0], "event_id": changed["event_id"], "change": now[now != before].map({True: "fired", False: "resolved"})})
+def alert_step(rows: DataFrame, before: DataFrame | None, threshold: float = 20.0) -> tuple[DataFrame, DataFrame]:
+    """Where alerts of a user fire and resolve in a batch, and which are active after it."""
+    states = tasks.alert_states(rows.select("user_id", "event_id", "ts", "value"), before, threshold)
+    return tasks.alert_changes(states), tasks.last(states, before, firing=F.col("firing"))
+
 
+def task_step(rows: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """A batch's changes of tasks, and each task's state and failed attempts after it."""
+    states = tasks.task_states(rows, before)
+    return tasks.task_changes(states), tasks.last(states, before, state=F.col("state"), attempts=F.col("attempts"))
 
-def alerts(events: DataFrame, threshold: float = 20.0) -> DataFrame:
-    """Where alerts of a user fire and resolve; only whether one is active is kept as state."""
 
-    def step(key, batches, state):
-        yield from _alerts(key, batches, state, threshold)
+def fold_to_table(stream: DataFrame, path: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """Runs a stream whose rows depend on those before them over what is there now; returns the table of results.
 
-    slim = events.select("user_id", "event_id", "ts", "value")
-    return slim.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, change string", "firing boolean", "append", GroupStateTimeout.NoTimeout)
+    step(rows, before) gives a batch's result and the state after it; `before` is the state after the batch before, or
+    None. Both are written into folders of the batch's own, so that a repeated batch replaces itself. A batch's rows
+    are put in order by windows, which spill, so no user's rows are held in memory at once; batches follow each other
+    in order of arrival. The state is written anew by each batch: a row for each key seen so far.
+    """
+    spark = stream.sparkSession
+
+    def put(rows: DataFrame, batch: int) -> None:
+        before = rows.sparkSession.read.parquet(f"{path}/state/batch={batch - 1}") if batch else None
+        rows = rows.persist()
+        result, state = step(rows, before)
+        result.write.mode("overwrite").parquet(f"{path}/data/batch={batch}")
+        state.write.mode("overwrite").parquet(f"{path}/state/batch={batch}")
+        rows.unpersist()
+
+    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    schema = step(spark.createDataFrame([], stream.schema), None)[0].schema
+    return spark.read.schema(schema).parquet(f"{path}/data/batch=*")
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:

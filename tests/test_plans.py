@@ -71,3 +71,26 @@ def test_json_stores(spark, tmp_path):
     assert files.read_errors(spark, f"file://{tmp_path}/e.json").first().error_type == "APIError"
     (tmp_path / "urls.txt").write_text(" http://a \n\n\thttp://b\n")
     assert [r.url for r in files.read_urls(spark, f"file://{tmp_path}/urls.txt").collect()] == ["http://a", "http://b"]
+
+
+def test_folded_streams_give_what_whole_tables_give(spark, tmp_path):
+    import random
+
+    from tarnquery.streaming import events as E
+
+    rng = random.Random(3)
+    kinds = ["signup", "purchase", "error", "click"]
+    rows = [(k, k // 2, rng.choice([1, 1, 1, 2, 3, None]), rng.choice(kinds), rng.choice([None, 10.0, 19.9, 20.0, 30.0])) for k in range(90)]
+    frame = spark.createDataFrame(rows, "event_id long, ts long, user_id long, event_type string, value double")
+    for k in range(3):
+        part = frame.where(F.floor(F.col("event_id") / 30) == k).coalesce(1)
+        part.write.mode("append").parquet(f"file://{tmp_path}/in")
+        for f in (tmp_path / "in").glob("*.parquet"):
+            if f.stat().st_mtime > 2_000_000:
+                os.utime(f, (1_000_000 + k, 1_000_000 + k))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    for name, step in (("alerts", E.alert_step), ("tasks", E.task_step)):
+        got = E.fold_to_table(stream, f"file://{tmp_path}/{name}", step)
+        assert len(list((tmp_path / name / "data").glob("batch=*"))) == 3
+        want = step(frame, None)[0]
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 0

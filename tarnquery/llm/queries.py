@@ -100,9 +100,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm.secrets import BASE, scan_secrets, written_out
+
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda no, kind: F.size(F.filter("base", lambda s: s["kind_no"] == no)).cast("long").alias(f"n_{kind}")
+    counts = [count(no, rule[0]) for no, rule in enumerate(BASE)]
+    digest = F.sha2(written_out(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, written_out(F.concat("base", "added")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL}
+    from tarnquery.llm import secrets
+
+    return {"op6_url_filters": OP6_SQL, "op13_secret_scan": secrets.oracle_sql()}

@@ -100,6 +100,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm.resampling import resample
+
+    drawn = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnquery.llm.secrets import BASE, scan_secrets, written_out
 

@@ -107,6 +107,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.withColumnRenamed("id", "doc_id")
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnquery.llm.centroids import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnquery.llm.secrets import BASE, scan_secrets, written_out
 
@@ -122,6 +128,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tarnquery.llm import secrets
+    from tarnquery.llm import centroids, secrets
 
-    return {"op6_url_filters": OP6_SQL, "op13_secret_scan": secrets.oracle_sql()}
+    return {"op6_url_filters": OP6_SQL, "op12_centroid_clustering": centroids.oracle_sql(), "op13_secret_scan": secrets.oracle_sql()}

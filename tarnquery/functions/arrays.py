@@ -64,17 +64,17 @@ def places(text: Column, pattern: str, *groups: int) -> Column:
     A match starts where the pieces before it and the matches before it end. The pattern never matches an empty text.
     Null text: null.
     """
-    said = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{k}") for k, g in enumerate((0, *groups))]
+    names = [f"g{k}" for k in range(len(groups) + 1)]
+    every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
 
     def put(found: Column) -> Column:
         pieces = F.split(text, pattern)
-        sizes = F.zip_with(pieces, found["g0"], lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
-        ends = F.slice(totals_before(sizes), 2, F.size(found["g0"]))
-        row = lambda x: F.struct(
-            (x["end"] - F.length(x["g0"])).alias("start"), x["end"].alias("end"), *[x[f"g{k}"].alias(f"g{k}") for k in range(len(said))]
-        )
-        return F.transform(F.arrays_zip(ends.alias("end"), *[found[f"g{k}"].alias(f"g{k}") for k in range(len(said))]), row)
-
-    kind = "struct<" + ",".join(["start:int", "end:int", *[f"g{k}:string" for k in range(len(said))]]) + ">"
+        sizes = F.zip_with(pieces, found, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
+        ends = F.slice(totals_before(sizes), 2, F.size(found))
+        row = lambda x: F.struct((x["end"] - F.length(x["g0"])).alias("start"), x["end"].alias("end"), *[x[n].alias(n) for n in names])
+        said = [found, *map(every, groups)]
+        return F.transform(F.arrays_zip(ends.alias("end"), *[x.alias(n) for x, n in zip(said, names)]), row)
+
+    kind = "struct<" + ",".join(["start:int", "end:int", *[f"{n}:string" for n in names]]) + ">"
     none = F.when(text.isNotNull(), empty(kind))
-    return let(F.struct(*said), lambda f: F.when(F.size(f["g0"]) > 0, put(f)).otherwise(none))
+    return let(every(0), lambda f: F.when(F.size(f) > 0, put(f)).otherwise(none))

@@ -28,6 +28,8 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
+#: How patterns of a single class are sought: the same runs, without those that are dropped as too short.
+SOUGHT = {r"[0-9a-f]+": r"(?<![0-9a-f])[0-9a-f]{24,}+"}
 
 
 @dataclass(frozen=True)
@@ -104,7 +106,7 @@ def base_spans(text: Column) -> Column:
     """Spans of the fixed patterns: of each kind the leftmost matches that don't overlap, without those that are too short."""
 
     def one(no: int, kind: str, pattern: str, group: int, least: int) -> Column:
-        found = F.filter(places(text, pattern, *([group] if group else [])), lambda m: F.length(m["g1" if group else "g0"]) >= least)
+        found = F.filter(places(text, SOUGHT.get(pattern, pattern), *([group] if group else [])), lambda m: F.length(m["g1" if group else "g0"]) >= least)
         row = lambda m: F.struct(m["start"], F.lit(no).alias("kind_no"), m["end"], F.lit(kind).alias("kind"))
         return F.transform(found, row).cast(f"array<{SPAN}>")
 
@@ -149,7 +151,7 @@ def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 def _kind_sql(no: int, kind: str, pattern: str, group: int, where: str) -> str:
     """Matches of a pattern in d (doc_id, t): a match starts after the pieces and the matches before it."""
     quoted = "'" + pattern.replace("'", "''") + "'"
-    before = "list_sum(list_transform(p[:i], x -> length(x))) + coalesce(list_sum(list_transform(m[:i - 1], x -> length(x))), 0)"
+    before = "list_sum(list_transform(p[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0)"
     return f"""
         SELECT doc_id, {no} AS no, '{kind}' AS kind, CAST({before} AS BIGINT) AS a, m[i] AS said FROM (
             SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
@@ -174,9 +176,9 @@ def oracle_sql() -> str:
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), base AS ({" UNION ALL ".join(base)}),
         cand AS ({" UNION ALL ".join(added)}), least(no, most) AS (VALUES {", ".join(windows)}),
         w AS (SELECT doc_id, no, kind, a, unnest(range(length(said) - {WINDOW - 1})) AS pos, said FROM cand),
-        x AS (SELECT w.*, list_transform(range(1, {WINDOW + 1}), k -> substr(said, CAST(pos + k AS BIGINT), 1)) AS c FROM w),
-        h AS (SELECT x.*, list_sum(list_transform(list_distinct(c), y -> len(list_filter(c, z -> z = y)))
-                                   .list_transform(n -> CAST(round(n * log2(n) * {UNIT}) AS BIGINT))) AS s FROM x),
+        x AS (SELECT w.*, list_transform(range(1, {WINDOW + 1}), lambda k: substr(said, CAST(pos + k AS BIGINT), 1)) AS c FROM w),
+        h AS (SELECT x.*, list_sum(list_transform(list_transform(list_distinct(c), lambda y: len(list_filter(c, lambda z: z = y))),
+                                                     lambda n: CAST(round(n * log2(n) * {UNIT}) AS BIGINT))) AS s FROM x),
         added AS (SELECT doc_id, h.no, kind, a + min(pos) AS a, a + max(pos) + {WINDOW} AS b FROM h JOIN least ON h.no = least.no AND s <= most
                   GROUP BY doc_id, h.no, kind, a, said),
         spans AS (SELECT doc_id, no, kind, a, a + length(said) AS b FROM base UNION ALL SELECT * FROM added),

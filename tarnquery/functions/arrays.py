@@ -1,7 +1,9 @@
 """Arrays inside a row: bindings, running state and places of matches, all as built-in expressions.
 
-A fold that appends to its result copies it at every step. Here items are folded in blocks: what a step copies is at
-most a block, and the blocks' results are put together once a block, so n items cost about n * BLOCK / 2 copies.
+A fold that appends to its result copies it at every step, whatever it holds. Here items are folded in blocks: a step
+copies at most a block, and all that was given out is copied once a block only. What is given out should be small, such as
+numbers that say which items are meant: n of them cost about n * BLOCK / 2 + n * n / (2 * BLOCK) copies of a few
+nanoseconds.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Items of a block.
-BLOCK = 128
+BLOCK = 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,8 +28,11 @@ def empty(kind: str) -> Column:
 
 
 def blocks(items: Column) -> Column:
-    last = F.greatest(F.ceil(F.size(items) / BLOCK) - 1, F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+    """Items by the block; they are picked one by one, as a slice would go through the whole array each time."""
+    n = F.size(items)
+    pick = lambda k: F.transform(F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, n) - 1), lambda i: F.get(items, i))
+    whole = F.transform(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1), pick)
+    return F.when(n > 0, whole).when(n == 0, F.slice(F.array(items), 1, 0))
 
 
 def scan(items: Column, zero: Column, advance: Callable[[Column, Column], Column], kind: str, end: Callable[[Column], Column] | None = None) -> Column:
@@ -78,3 +83,42 @@ def places(text: Column, pattern: str, *groups: int) -> Column:
     kind = "struct<" + ",".join(["start:int", "end:int", *[f"{n}:string" for n in names]]) + ">"
     none = F.when(text.isNotNull(), empty(kind))
     return let(every(0), lambda f: F.when(F.size(f) > 0, put(f)).otherwise(none))
+
+
+def marks(text: Column, words: str) -> Column:
+    """Where words of an alternation start, overlaps included, as an array of structs (start, end), sorted. Null: null."""
+    said = F.regexp_extract_all(text, F.lit(f"(?i)(?=({words}))"), F.lit(1))
+
+    def put(found: Column) -> Column:
+        before = totals_before(F.transform(F.split(text, f"(?i)(?=(?:{words}))"), F.length))
+        # a word at the very start has no piece before it
+        return let(before, lambda b: F.zip_with(F.slice(b, F.size(b) - F.size(found) + 1, F.size(found)), found, lambda a, w: F.struct(a.alias("start"), (a + F.length(w)).alias("end"))))
+
+    return let(said, lambda f: F.when(F.size(f) > 0, put(f)).otherwise(F.when(text.isNotNull(), empty("struct<start:int,end:int>"))))
+
+
+#: Characters of a chunk that pieces are cut from.
+CHUNK = 4096
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """text with spans, an array of structs (start, end, put) in order that don't overlap, replaced. Null: null.
+
+    Pieces are cut out of short chunks, as finding a place in a long text means walking to it.
+    """
+
+    def build(chunks: Column, parts: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+            at = lambda k: F.coalesce(F.get(chunks, k), F.lit(""))
+            head = F.substring(at(first), a % CHUNK + 1, F.lit(CHUNK))
+            middle = F.array_join(F.slice(chunks, first + 2, last - first - 1), "")
+            whole = F.concat(head, middle, F.substring(at(last), F.lit(1), b % CHUNK))
+            return F.when(first == last, F.substring(at(first), a % CHUNK + 1, b - a)).otherwise(whole)
+
+        ends = F.concat(F.array(F.lit(0)), F.transform(parts, lambda s: s["end"]))
+        gaps = F.zip_with(F.slice(ends, 1, F.size(parts)), parts, lambda a, s: F.concat(cut(a, s["start"]), s["put"]))
+        return F.concat(F.array_join(gaps, ""), cut(F.element_at(ends, -1), F.length(text)))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return let(spans, lambda s: F.when(F.size(s) > 0, let(chunks, lambda c: build(c, s))).otherwise(text))

@@ -5,6 +5,7 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnquery.functions import pii as P
 from tarnquery.plans import registry
@@ -62,6 +63,19 @@ def slowly(text):
     return sorted(kept)
 
 
+def masked(kind, text):
+    tail = lambda w: w[:1] + "*" * (len(w) - 1)
+    if kind == "email":
+        user, host = text.split("@")
+        name, dot, rest = host.partition(".")
+        return f"{tail(user) if len(user) > 1 else '*'}@{tail(name)}{dot}{rest}"
+    if kind == "phone" and sum(c.isdigit() for c in text) >= 4:
+        return "".join("*" if c.isdigit() and sum(x.isdigit() for x in text[i + 1 :]) >= 4 else c for i, c in enumerate(text))
+    if kind == "person_name":
+        return " ".join(tail(w) for w in text.split())
+    return "*" * len(text) if len(text) <= 2 else text[0] + "*" * (len(text) - 2) + text[-1]
+
+
 def test_names_and_international_phones_found(ask):
     text = "We met Mary Smith at noon; +442071234567 is it. 123-45-6789 12/31/1999 4111111111111111 10.0.0.1 a.b@c.de"
     found = ask("pii_detect", [text, "", None], "text", "kind")
@@ -73,6 +87,8 @@ def test_names_and_international_phones_found(ask):
 def test_matches_against_plain_loops(spark, tmp_path):
     text = "We met Mary Smith at noon; +442071234567 is it. 123-45-6789 12/31/1999 4111111111111111 10.0.0.1 a.b@c.de"
     texts = [text, text * 5, "1999-12-31-1234 " * 9, "Ab Cd 123456789 " * 9, "call 555-555-5555 or 111-111-1111", "test@example.com", "", None]
+    texts += ["éabc@d.com é.abc@d.com _a.b_c@d.comé a@b.co.frém x@y.com.z@w.org a|b@c.de|x b@c.de_", "Zoë Ab Cd éAb Cd Ab Cdé 5551234567é é5551234567", "phonemail a@b.cd" + " " * 46 + "testest"]
+    texts += ["a@b.cd" + "x" * n + "emailé phone" + "y" * n + " 10.1.2.3" for n in (38, 39, 40, 41, 44, 45, 46)] + ["😀 a@b.cd 😀" * 3, "Mary Smith " * 5000 + "é"]
     rows = [(k, t, "s") for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {k: [] for k in range(len(texts))}
@@ -87,7 +103,8 @@ def test_matches_against_plain_loops(spark, tmp_path):
             clean = clean[:start] + P.PLACEHOLDERS[kind] + clean[end:]
         assert (records[k].placeholder or "") == clean
         assert records[k].matches == len(slowly(t or ""))
-        assert records[k].replaced == ("; ".join(sorted({m[3] for m in sure})) if records[k].sanitized else "")
+        said = {m[3]: f"{m[3]} => {masked(m[2], m[3])} ({m[2]})" for m in reversed(sure)}
+        assert records[k].replaced == ("; ".join(v for _, v in sorted(said.items())) if records[k].sanitized else "")
 
 
 def test_matches_of_a_text_cost_in_proportion(spark, tmp_path):
@@ -97,6 +114,18 @@ def test_matches_of_a_text_cost_in_proportion(spark, tmp_path):
     assert one.matches >= 60_000 and one.placeholder == text.replace("123456789", "[PHONE_NUMBER]").replace("x@y.org", "[EMAIL_ADDRESS]")
 
 
+def test_no_python_in_plans(spark):
+    for name in ("pii_detect", "pii_sanitize", "pii_sanitize_items", "pii_sanitize_records", "pii_text_safety", "pii_analysis", "pii_rates"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_profiles_and_any_host(spark):
+    df = spark.createDataFrame([("see network.org/in/jane-roe now",)], "t string")
+    found = df.select(P.matches(F.col("t"), [*P.PATTERNS, P.profile_pattern("network.org")]).alias("m")).first().m
+    assert [(m.kind, m.text) for m in found] == [("profile", "network.org/in/jane-roe")]
+
+
 def test_page_bodies_are_sanitized(spark, tmp_path):
     rows = [(1, "http://x.org/", "<p>write to jo.doe@mail.org</p>"), (2, None, None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")

@@ -44,12 +44,14 @@ def alert_changes(states: DataFrame) -> DataFrame:
     return states.where("firing <> was").select("user_id", "event_id", change)
 
 
+def state_of(kind: Column) -> Column:
+    return F.when(kind == "signup", "queued").when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("processing")
+
+
 def task_states(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Rows (user_id, event_id, ts, event_type) with the `state` that an event puts its user's task in, the state
     `was` and how many `attempts` have failed so far."""
-    kind = F.col("event_type")
-    state = F.when(kind == "signup", "queued").when(kind == "purchase", "completed").when(kind == "error", "failed")
-    rows = rows.select("event_id", "user_id", "ts", state.otherwise("processing").alias("state"))
+    rows = rows.select("event_id", "user_id", "ts", state_of(F.col("event_type")).alias("state"))
     if before is not None:
         before = before.select("user_id", F.col("state").alias("known"), F.col("attempts").alias("failed"))
     rows = _with(rows, before, {"known": "string", "failed": "long"})
@@ -68,3 +70,33 @@ def task_changes(states: DataFrame, tries: int = 3, longest: int = 60) -> DataFr
         "event_id", "user_id", F.col("was").alias("from_state"), F.when(again, "retrying").otherwise(F.col("state")).alias("to_state"),
         "attempts", F.when(again, delay).alias("retry_after_s"), ((F.col("was") != "completed") | (F.col("state") == "queued")).alias("allowed"),
     )
+
+
+def with_retries(states: DataFrame, tries: int = 3, longest: int = 60) -> DataFrame:
+    """Changes (user_id, event_id, us, from_state, to_state, attempts) with those that no event makes: a failed task is
+    queued again once its delay is over, if no event of it came before; a retry goes before an event of the same time."""
+    by = Window.partitionBy("user_id").orderBy(*ORDER)
+    again = (F.col("state") == "failed") & (F.col("attempts") <= tries)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    delay = F.least(F.pow(F.lit(2), "attempts").cast("long"), F.lit(longest).cast("long")) * 1_000_000
+    timed = states.withColumns({"us": us, "next": F.lead(us).over(by), "due": F.when(again, us + delay)})
+    comes = F.col("due").isNotNull() & F.coalesce(F.col("next") >= F.col("due"), F.lit(True))
+    own = F.struct(F.col("event_id"), F.col("us"), F.when(again, "retrying").otherwise(F.col("state")).alias("to_state"), F.lit(1).alias("k"))
+    back = F.struct(F.lit(None).cast("long").alias("event_id"), F.col("due").alias("us"), F.lit("queued").alias("to_state"), F.lit(0).alias("k"))
+    rows = timed.select("user_id", "attempts", F.explode(F.when(comes, F.array(own, back)).otherwise(F.array(own))).alias("c"))
+    rows = rows.select("user_id", "attempts", "c.*")
+    was = F.lag("to_state").over(Window.partitionBy("user_id").orderBy("us", "k", "event_id"))
+    return rows.withColumn("from_state", F.coalesce(was, F.lit("new"))).select("user_id", "event_id", "us", "from_state", "to_state", "attempts")
+
+
+def held(readings: DataFrame, hold: int) -> DataFrame:
+    """(key, us, change) of readings (key, ts, event_id, bad): where an alert fires as readings have been bad for `hold`
+    seconds, and where the first one that isn't resolves it."""
+    by = Window.partitionBy("key").orderBy(*ORDER)
+    rows = readings.select("key", *ORDER, "bad", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    turns = rows.withColumn("was", F.coalesce(F.lag("bad").over(by), F.lit(False))).where("bad <> was")
+    fires = F.col("us") + hold * 1_000_000
+    runs = turns.withColumn("broke", F.lead("us").over(by)).where(F.col("bad") & F.coalesce(F.col("broke") >= fires, F.lit(True)))
+    change = lambda us, name: F.struct(us.alias("us"), F.lit(name).alias("change"))
+    both = F.array(change(fires, "fired"), change(F.col("broke"), "resolved"))
+    return runs.select("key", F.explode(both).alias("c")).select("key", "c.*").where("us IS NOT NULL")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tarnquery.operators import tasks
 from tarnquery.plans.registry import query, table
 from tarnquery.plans.repository import ITEMS, items
-from tarnquery.plans.rules import TRANSITIONS_SQL
+from tarnquery.plans.rules import _STATE_SQL, TRANSITIONS_SQL
 from tarnquery.sources import files
 from tarnquery.sources.shared import new_folder
 from tarnquery.streaming import events as E
+from tarnquery.streaming import timers
 
 
 def stream(spark, sf_dir):
@@ -49,12 +52,109 @@ def stream_task_states(spark, sf_dir):
     return E.fold_to_table(stream(spark, sf_dir), new_folder(spark, "tasks"), E.task_step)
 
 
+#: What a stream has given out: all that is due by its watermark, an hour behind the last event.
+BY_WATERMARK = "us <= (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events)"
+
+
+def by_watermark(rows, events, late: int = 3600):
+    """Rows (us, ...) that a stream of these events has given out."""
+    until = events.agg((F.floor(F.unix_micros(F.max(F.col("ts").cast("timestamp"))) / 1000) * 1000 - late * timers.SECOND).alias("until"))
+    return rows.join(F.broadcast(until), F.col("us") <= F.col("until")).drop("until")
+
+
+RETRIES_SQL = f"""
+    WITH s AS (SELECT event_id, user_id, ts, epoch_us(ts) AS us, {_STATE_SQL} AS state FROM events),
+    w AS (SELECT *, CAST(count(*) FILTER (state = 'failed') OVER u AS BIGINT) AS attempts, lead(us) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next
+        FROM s WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    t AS (SELECT *, CASE WHEN state = 'failed' AND attempts <= 3 THEN us + CAST(least(pow(2, attempts), 60) AS BIGINT) * 1000000 END AS due FROM w),
+    r AS (SELECT user_id, event_id, us, CASE WHEN due IS NULL THEN state ELSE 'retrying' END AS to_state, attempts, 1 AS k FROM t
+        UNION ALL SELECT user_id, NULL, due, 'queued', attempts, 0 FROM t WHERE due IS NOT NULL AND coalesce(next >= due, true)),
+    c AS (SELECT *, coalesce(lag(to_state) OVER (PARTITION BY user_id ORDER BY us, k, event_id), 'new') AS from_state FROM r)
+    SELECT user_id, event_id, us, from_state, to_state, attempts FROM c WHERE {BY_WATERMARK}
+"""
+
+
+@query(RETRIES_SQL)
+def task_retries(spark, sf_dir):
+    """STR9, STR12, PIP8: tasks through their states, and those that come back by themselves after their delay."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return by_watermark(tasks.with_retries(tasks.task_states(e)), e)
+
+
+@query(RETRIES_SQL)
+def stream_task_retries(spark, sf_dir):
+    """STR9, STR12, PIP8: the same as a stream: a timer in the state starts each retry, rows are put in order by event time."""
+    rows = stream(spark, sf_dir).select(F.col("user_id").alias("key"), "ts", "event_id", tasks.state_of(F.col("event_type")).alias("state"))
+    found = timers.timed(rows, timers.TaskTimers(), "event_id long, us long, from_state string, to_state string, attempts long")
+    with timers.timers_kept(spark):
+        return E.run_to_table(found, new_folder(spark, "retries"), "append").withColumnRenamed("key", "user_id")
+
+
+#: Alerts that hold: of which readings, which of them are bad, and for how long in seconds.
+HOLD_RULES = (("queue", "click", ">", 60.0, 900), ("disk", "view", "<", 10.0, 900))
+
+
+def _hold_sql(name: str, kind: str, sign: str, limit: float, hold: int) -> str:
+    return f"""SELECT '{name}' AS alert, user_id, us, change FROM (
+        WITH r AS (SELECT user_id, event_id, ts, epoch_us(ts) AS us, coalesce(value {sign} {limit}, false) AS bad FROM events WHERE event_type = '{kind}'),
+        l AS (SELECT *, coalesce(lag(bad) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS was FROM r),
+        c AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS broke FROM l WHERE bad <> was),
+        f AS (SELECT * FROM c WHERE bad AND coalesce(broke >= us + {hold}000000, true))
+        SELECT user_id, us + {hold}000000 AS us, 'fired' AS change FROM f UNION ALL SELECT user_id, broke, 'resolved' FROM f WHERE broke IS NOT NULL
+    ) WHERE us <= (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 FROM events WHERE event_type = '{kind}')"""
+
+
+HOLD_SQL = " UNION ALL ".join(_hold_sql(*rule) for rule in HOLD_RULES)
+
+
+def readings(events, kind: str, sign: str, limit: float):
+    bad = F.col("value") > limit if sign == ">" else F.col("value") < limit
+    return events.where(F.col("event_type") == kind).select(F.col("user_id").alias("key"), "ts", "event_id", F.coalesce(bad, F.lit(False)).alias("bad"))
+
+
+@query(HOLD_SQL)
+def hold_alerts(spark, sf_dir):
+    """STR3, STR5: alerts that fire once readings of a queue or a disk have been bad for a quarter of an hour, and resolve."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    parts = []
+    for name, kind, sign, limit, hold in HOLD_RULES:
+        rows = readings(e, kind, sign, limit)
+        parts.append(by_watermark(tasks.held(rows, hold), rows).select(F.lit(name).alias("alert"), F.col("key").alias("user_id"), "us", "change"))
+    return parts[0].unionByName(parts[1])
+
+
+@query(HOLD_SQL)
+def stream_hold_alerts(spark, sf_dir):
+    """STR3, STR5: the same as streams: an alert is pending in the state until its timer fires it or a reading breaks it."""
+    parts = []
+    for name, kind, sign, limit, hold in HOLD_RULES:
+        found = timers.timed(readings(stream(spark, sf_dir), kind, sign, limit), timers.HoldAlerts(hold), "us long, change string")
+        with timers.timers_kept(spark):
+            done = E.run_to_table(found, new_folder(spark, f"held-{name}"), "append")
+        parts.append(done.select(F.lit(name).alias("alert"), F.col("key").alias("user_id"), "us", "change"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("""
+    WITH r AS (SELECT user_id, event_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+    i AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN before IS NULL THEN 0 WHEN value >= before THEN value - before ELSE value END AS more FROM r)
+    SELECT user_id, event_id, round(sum(more) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) / 86400.0, 9) AS per_second FROM i
+""")
+def counter_rate_resets(spark, sf_dir):
+    """STR3, STR7, WIN9: growth by second of a counter over the last day; a reading below the one before means that it began anew at 0."""
+    w = Window.partitionBy("user_id")
+    r = table(spark, sf_dir, "events").withColumns({"before": F.lag("value").over(w.orderBy("ts", "event_id")), "us": F.unix_micros(F.col("ts").cast("timestamp"))})
+    more = F.when(F.col("before").isNull(), 0.0).when(F.col("value") >= F.col("before"), F.col("value") - F.col("before")).otherwise(F.col("value"))
+    day = F.sum("more").over(w.orderBy("us").rangeBetween(-86400 * timers.SECOND, 0))
+    return r.withColumn("more", more).select("user_id", "event_id", F.round(day / 86400.0, 9).alias("per_second"))
+
+
 @query("""
     WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l)
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS since, count(*) AS n FROM s GROUP BY user_id, k
 """)
 def stream_sessions(spark, sf_dir):
-    """Session windows of users, a batch run of the streaming plan."""
+    """Session windows of users, a batch run of the streaming plan: as a stream the last sessions would still be open."""
     return E.sessions(table(spark, sf_dir, "events")).withColumn("since", stamp("since"))
 
 

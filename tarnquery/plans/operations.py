@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnquery.functions import classify as C
+from tarnquery.operators.histograms import histogram_quantile
+from tarnquery.operators.ranges import looking_back, places
 from tarnquery.plans.registry import query, table
 from tarnquery.plans.texts import sql
 
@@ -110,8 +112,10 @@ def last_security_events(spark, sf_dir):
 @query("SELECT event_type, event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS mean FROM events")
 def last_n_avg(spark, sf_dir):
     """AGG19, WIN5: the mean of the last hundred responses."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return events(spark, sf_dir).select("event_type", "event_id", F.round(F.avg("value").over(w), 9).alias("mean"))
+    e = events(spark, sf_dir).select("event_type", "event_id", "ts", "value")
+    e = looking_back(places(e, ["event_type"], [F.col("ts"), F.col("event_id")]), 99)
+    w = Window.partitionBy("event_type", "block").orderBy("place").rowsBetween(-99, 0)
+    return e.withColumn("mean", F.round(F.avg("value").over(w), 9)).where("own").select("event_type", "event_id", "mean")
 
 
 @query(f"SELECT event_type || ':' || ({K} % 3) AS endpoint, count(*) AS requests, count(*) FILTER (value >= 50) AS errors, round(coalesce(100.0 * count(*) FILTER (value >= 50) / nullif(count(*), 0), 0), 6) AS error_rate FROM events GROUP BY ALL")
@@ -174,8 +178,9 @@ def threshold_checks(spark, sf_dir):
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS place, o_orderstatus FROM orders")
 def priority_queue_order(spark, sf_dir):
     """WIN6: the order of a queue by priority, then arrival."""
-    w = Window.partitionBy("o_orderstatus").orderBy("o_orderpriority", "o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("place"), "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")
+    order = [F.col(c) for c in ("o_orderpriority", "o_orderdate", "o_orderkey")]
+    return places(orders, ["o_orderstatus"], order).select("o_orderkey", "place", "o_orderstatus")
 
 
 @query("""
@@ -213,9 +218,9 @@ def rate_limit_fixed(spark, sf_dir):
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS in_day FROM events")
 def rate_limit_sliding(spark, sf_dir):
     """Requests within the day before each (STR1 in full: rate_limit_wait)."""
-    e = events(spark, sf_dir).select("event_id", "user_id", "ts")
-    e.createOrReplaceTempView("tarnquery_events")
-    return spark.sql("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '24' HOUR PRECEDING AND CURRENT ROW) AS in_day FROM tarnquery_events")
+    e = events(spark, sf_dir).select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    day = Window.partitionBy("user_id").orderBy("us").rangeBetween(-86_400_000_000, 0)
+    return e.select("event_id", "user_id", F.count("*").over(day).alias("in_day"))
 
 
 @query("""
@@ -231,11 +236,25 @@ def window_rate_alerts(spark, sf_dir):
     return g.where("bad").groupBy("grp").agg(F.min("w").alias("w"), F.count("*").alias("windows")).where("windows >= 2").select(stamp("w").alias("since"), "windows")
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, round(quantile_cont(value, 0.95), 6) AS p95, quantile_cont(value, 0.95) > 30 AS slow FROM events GROUP BY ALL")
+#: Upper bounds of the buckets of a histogram; the last one is open.
+BUCKETS = (1, 2.5, 5, 7.5, 10, 15, 20, 25, 30, 40, 50, 75, 100)
+
+
+@query(f"""
+    WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, list_min(list_filter([{", ".join(f"{b}e0" for b in BUCKETS)}, 'inf'::DOUBLE], lambda b: value <= b)) AS le FROM events WHERE value IS NOT NULL),
+    n AS (SELECT day, le, count(*) AS n FROM e GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY day ORDER BY le) AS upto, sum(n) OVER (PARTITION BY day) AS total FROM n),
+    f AS (SELECT * FROM c WHERE upto >= 0.95e0 * total QUALIFY row_number() OVER (PARTITION BY day ORDER BY le) = 1),
+    b AS (SELECT day, total, le, n, upto - n AS below, coalesce(list_max(list_filter([{", ".join(f"{b}e0" for b in BUCKETS)}], lambda b: b < le)), 0) AS low FROM f),
+    q AS (SELECT day, total, CASE WHEN isinf(le) THEN low ELSE low + (le - low) * ((0.95e0 * total - below) / n) END AS p95 FROM b)
+    SELECT day, CAST(total AS BIGINT) AS n, round(p95, 6) AS p95, p95 > 30 AS slow FROM q
+""")
 def latency_quantile(spark, sf_dir):
-    """STR4: the 95th percentile of a day."""
-    p95 = F.percentile("value", F.lit(0.95))
-    return events(spark, sf_dir).groupBy(F.date_format(F.window("ts", "1 day")["start"], "yyyy-MM-dd").alias("day")).agg(F.round(p95, 6).alias("p95"), (p95 > 30).alias("slow"))
+    """STR4: the 95th percentile of a day out of a histogram: counts by bucket, which add up however they were taken, and a
+    straight line within the bucket that holds it. What lies in the open bucket counts as its lower bound."""
+    day = F.date_format("ts", "yyyy-MM-dd").alias("day")
+    return histogram_quantile(events(spark, sf_dir).select(day, "value"), "day", "value", BUCKETS, 0.95).select(
+        "day", "n", F.round("at", 6).alias("p95"), (F.col("at") > 30).alias("slow")
+    )
 
 
 @query("""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarnquery.operators.ranges import looking_back, places
 from tarnquery.plans.registry import query, table
 
 
@@ -170,9 +171,11 @@ def topn_per_category(spark, sf_dir):
 """)
 def month_sections(spark, sf_dir):
     """WIN2: running index within a category, and where a month begins."""
-    w = Window.partitionBy("category").orderBy("day", "id")
-    month = F.date_format("day", "yyyy-MM")
-    return items(spark, sf_dir).select("id", "category", F.row_number().over(w).cast("long").alias("place"), F.coalesce(month != F.lag(month).over(w), F.lit(True)).alias("new_month"))
+    rows = items(spark, sf_dir).select("id", "category", "day", F.date_format("day", "yyyy-MM").alias("month"))
+    rows = looking_back(places(rows, ["category"], [F.col("day"), F.col("id")]), 1)
+    before = F.lag("month").over(Window.partitionBy("category", "block").orderBy("place"))
+    rows = rows.withColumn("new_month", F.coalesce(F.col("month") != before, F.lit(True)))
+    return rows.where("own").select("id", "category", "place", "new_month")
 
 
 @query("SELECT doc_id, md5(text) AS text_hash FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")

@@ -36,16 +36,16 @@ def merged(counts: DataFrame, by: str) -> DataFrame:
 def quantile(counts: DataFrame, by: str, bounds: Sequence[float], share: float) -> DataFrame:
     """(by, n, at): the value below which a share of the values lies, on a straight line within the bucket that holds it,
     from 0 on in the first. In the open bucket it is the last bound; keys without values are left out."""
-    c, total = F.col("counts"), F.col("n").cast("double")
+    c = F.col("counts")
     upto = F.transform(F.sequence(F.lit(1), F.lit(len(bounds) + 1)), lambda k: F.aggregate(F.slice(c, F.lit(1), k), F.lit(0).cast("long"), lambda a, x: a + x))
-    rows = counts.withColumn("upto", upto).withColumn("n", F.element_at("upto", -1)).where("n > 0")
-    rank = F.lit(share) * total
+    rows = counts.select(F.col(by).alias("key"), "counts", upto.alias("upto")).withColumn("n", F.element_at("upto", -1)).where("n > 0")
+    rank = F.lit(share) * F.col("n").cast("double")
     rows = rows.withColumn("k", F.size(F.filter("upto", lambda u: u < rank)))
     edges = F.array(*[F.lit(float(b)) for b in (0.0, *bounds)])
     low, high, own = F.get(edges, F.col("k")), F.get(edges, F.col("k") + 1), F.get(c, F.col("k"))
     below = F.get(F.col("upto"), F.col("k")) - own
     at = F.when((F.col("k") >= len(bounds)) | (own == 0), low).otherwise(low + (high - low) * ((rank - below) / own))
-    return rows.select(by, "n", at.alias("at"))
+    return rows.select(F.col("key").alias(by), "n", at.alias("at"))
 
 
 def histogram_quantile(rows: DataFrame, by: str, value: str, bounds: Sequence[float], share: float) -> DataFrame:

@@ -29,8 +29,9 @@ def bucket_counts(rows: DataFrame, by: str, value: str, bounds: Sequence[float])
 
 def merged(counts: DataFrame, by: str) -> DataFrame:
     """Counts of equal keys from several sources as one."""
-    cells = counts.select(by, F.posexplode("counts").alias("k", "n")).groupBy(by, "k").agg(F.sum("n").alias("n"))
-    return cells.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "n"))), lambda c: c["n"]).alias("counts"))
+    cells = counts.select(F.col(by).alias("key"), F.posexplode("counts").alias("at", "n")).groupBy("key", "at").agg(F.sum("n").alias("n"))
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("at", "n"))), lambda c: c["n"])
+    return cells.groupBy("key").agg(whole.alias("counts")).withColumnRenamed("key", by)
 
 
 def quantile(counts: DataFrame, by: str, bounds: Sequence[float], share: float) -> DataFrame:

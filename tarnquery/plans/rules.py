@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnquery.operators import tasks
+from tarnquery.operators.containment import contained
+from tarnquery.operators.similarity import similarity, word_set
 from tarnquery.plans.operations import AS_OF, ERRORS, errors, events, stamp
 from tarnquery.plans.registry import query, table
 from tarnquery.sources.shared import new_folder
@@ -252,6 +254,47 @@ def newest_candidates(spark, sf_dir):
     return met.select("doc_id", "candidate", (F.col("pos") + 1).cast("long").alias("rank"))
 
 
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, source, split_part(lower(text), ' ', 1) AS topic, length(text) AS len, {_WORDS} AS words FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT a.doc_id, b.doc_id AS candidate, a.words AS wa, b.words AS wb, a.len AS la, b.len AS lb, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id DESC) AS place
+        FROM d a JOIN d b ON a.source = b.source AND contains(b.topic, a.topic) AND a.doc_id <> b.doc_id QUALIFY place <= 20),
+    s AS (SELECT doc_id, candidate, place, len(list_intersect(wa, wb)) AS shared, len(wa) AS na, len(wb) AS nb, la, lb FROM c WHERE len(wa) > 0 AND len(wb) > 0)
+    SELECT doc_id, candidate, place, round(0.7e0 * (shared / (na + nb - shared)) + 0.3e0 * (least(la, lb) / greatest(la, lb)), 6) AS score
+    FROM s WHERE 0.7e0 * (shared / (na + nb - shared)) + 0.3e0 * (least(la, lb) / greatest(la, lb)) >= 0.5 - 1e-12
+""")
+def similar_candidates(spark, sf_dir):
+    """JN6, SIM1, WIN4: of the 20 newest others of an item's category whose topic contains its own those that are similar.
+
+    The newest 21 of each topic stand for it, topics meet through an index of grams, and a pair's word sets are fetched
+    only if lengths and sizes leave the score within reach.
+    """
+    text = F.col("text")
+    topic = F.substring_index(F.lower(text), " ", 1)
+    d = table(spark, sf_dir, "documents").where(text.isNotNull()).select("doc_id", "source", topic.alias("topic"), F.length(text).alias("len"), word_set(text).alias("words"))
+    d = d.withColumn("n", F.size("words"))
+    topics = d.select("source", "topic").distinct()
+    pairs = contained(topics, topics.withColumnRenamed("topic", "other"), "source", "topic", "other")
+    newest = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("candidate")))
+    ids = d.select("source", F.col("topic").alias("other"), F.col("doc_id").alias("candidate"), F.col("len").alias("len_b"), F.col("n").alias("n_b"))
+    ids = ids.withColumn("k", newest(["source", "other"])).where("k <= 21").drop("k")
+    lists = pairs.join(ids, ["source", "other"]).withColumn("k", newest(["source", "topic"])).where("k <= 21")
+    lists = lists.groupBy("source", "topic").agg(F.sort_array(F.collect_list(F.struct("candidate", "len_b", "n_b")), asc=False).alias("best"))
+    met = d.select("doc_id", "source", "topic", F.col("len").alias("len_a"), F.col("n").alias("n_a")).join(lists, ["source", "topic"])
+    others = F.slice(F.filter("best", lambda c: c["candidate"] != F.col("doc_id")), 1, 20)
+    met = met.select("doc_id", "len_a", "n_a", F.posexplode(others).alias("at", "c")).select("doc_id", "len_a", "n_a", "at", "c.*")
+    ratio = F.least("len_a", "len_b") / F.greatest("len_a", "len_b")
+    most = F.lit(0.7) * F.least("n_a", "n_b") / F.greatest("n_a", "n_b") + F.lit(0.3) * ratio
+    met = met.where((F.col("n_a") > 0) & (F.col("n_b") > 0)).where(most >= 0.5 - 1e-9)
+    words = d.select("doc_id", "words")
+    full = met.join(words.withColumnRenamed("words", "wa"), "doc_id").join(words.select(F.col("doc_id").alias("candidate"), F.col("words").alias("wb")), "candidate")
+    score = similarity(F.col("wa"), F.col("wb"), F.col("len_a"), F.col("len_b"))
+    full = full.select("doc_id", "candidate", (F.col("at") + 1).cast("long").alias("place"), score.alias("score"))
+    return full.where(F.col("score") >= 0.5 - 1e-12).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT strftime(ts, '%Y-%m') AS month, event_type AS category, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY ALL")
 def month_folders(spark, sf_dir):
     """SNK4: items written in folders by month, and an index of each folder read back from them."""

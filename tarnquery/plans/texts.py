@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnquery.functions import classify as C
+from tarnquery.functions import html as H
 from tarnquery.functions import text as T
 from tarnquery.functions import urls as U
 from tarnquery.plans.registry import query, table
@@ -323,6 +324,41 @@ def html_fields(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.when(title == "", "Article").otherwise(title).alias("title"), count(r"<p[^>]*>").alias("paragraphs"), count(r'<a\s[^>]*href="([^"]*)"').alias("links"))
 
 
+#: Where the fields of a page are found, in order.
+SELECTORS = {
+    "title": ("h1", ".title", "title"), "author": (".author", "a[rel=author]", "[itemprop=author]"),
+    "content": ("article", "main", "[role=main]", ".content"), "body": ("body",),
+}
+_ENTITIES = "replace(" * len(H.ENTITIES) + "{}" + "".join(f", {sql(a)}, {sql(b)})" for a, b in H.ENTITIES)
+_BREAKS = "(?:" + "|".join(H.BREAKS) + ")"
+
+
+def _text_sql(x: str) -> str:
+    """The text of well-formed HTML: breaks become blanks, other tags go."""
+    dark = rf"regexp_replace({x}, '(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)>', '', 'g')"
+    bare = rf"regexp_replace(regexp_replace({dark}, '(?i)</?{_BREAKS}\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"
+    return rf"trim(regexp_replace({_ENTITIES.format(bare)}, '[\s\x{{a0}}]+', ' ', 'g'))"
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, {_text_sql("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS h1, {_text_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS t,
+        {_text_sql("regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1)")} AS article, {_text_sql("regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1)")} AS body,
+        regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS links FROM pages)
+    SELECT page_id, coalesce(nullif(h1, ''), nullif(t, ''), 'Article') AS title, 'Unknown' AS author, coalesce(nullif(article, ''), left(body, 1000)) AS content,
+        article <> '' AS selected, array_to_string(links, ' ') AS links, 0 AS images FROM p
+""")
+def page_content(spark, sf_dir):
+    """SRC8, SRC9, SRC10: title, author and content of a page by lists of selectors, the first 1,000 characters of the body
+    where none fits; its links and images."""
+    page = table(spark, sf_dir, "pages").select("page_id", H.fields(F.col("html"), SELECTORS).alias("f"), H.elements(F.col("html"), "a", "href").alias("a"), H.elements(F.col("html"), "img", "src", "alt").alias("img"))
+    links = F.array_join(F.transform("a", lambda x: x["href"]), " ")
+    return page.select(
+        "page_id", F.coalesce("f.title", F.lit("Article")).alias("title"), F.coalesce("f.author", F.lit("Unknown")).alias("author"),
+        F.coalesce("f.content", F.left("f.body", F.lit(1000))).alias("content"), F.col("f.content").isNotNull().alias("selected"),
+        links.alias("links"), F.size(F.filter("img", lambda x: U.is_image_url(x["src"]))).alias("images"),
+    )
+
+
 @query("""
     WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1), 1) - 1 AS i FROM pages)
     SELECT page_id, i, href, 'item_' || page_id || '_' || i || '.jpg' AS filename, NOT starts_with(href, 'data:') AND NOT contains(lower(href), 'svg') AND regexp_matches(lower(href), '\\.jpg|\\.jpeg|\\.png|\\.gif|\\.webp') AS is_image FROM a

@@ -38,7 +38,7 @@ HOT = 4_000_000
 #: Steps of an eighth of a nat in which a suffix's probability is sent for the divergence test.
 STEPS = 8
 SENT = "bucket int, chunk long, keys binary, n binary, sizes binary, tokens binary, counts binary, q binary"
-REPLY = "level int, bucket int, chunk long, mass binary, counts binary, ctx long, total long, kinds long"
+REPLY = "level int, bucket int, chunk long, mass binary, counts binary, ctx long, total long, kinds long, cells binary"
 
 
 @dataclass(frozen=True)
@@ -241,14 +241,15 @@ def _send_words(chunk: pa.Table, buckets: int) -> pa.Table:
     return out
 
 
-def _reply(level: int, bucket: int, chunks: list, mass: list, counts: list, ctx=(), total=(), kinds=()) -> pa.Table:
-    """Answers to chunks, then rows of the bucket's own: totals of the root, or masses of hot contexts."""
+def _reply(level: int, bucket: int, chunks: list, mass: list, counts: list, ctx=(), total=(), kinds=(), cells=()) -> pa.Table:
+    """Answers to chunks, then rows of the bucket's own: totals of the root, or masses, sizes and followers of hot contexts."""
     k, m = len(chunks), len(total)
     columns = [
         [level] * (k + m), [bucket] * (k + m), [*chunks, *[None] * m], [*mass, *[None] * m], [*counts, *[None] * m],
         [*[None] * k, *(ctx or [None] * m)], [*[None] * k, *total], [*[None] * k, *(kinds or [None] * m)],
+        [*[None] * k, *(cells or [None] * m)],
     ]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 3]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 3, pa.binary()]
     names = [f.split(" ")[0] for f in REPLY.split(", ")]
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -275,6 +276,22 @@ def gain(ctx: np.ndarray, n: np.ndarray, c: np.ndarray, q: np.ndarray) -> tuple[
     return mass, better + rest * np.log(rest / n)
 
 
+def _cells(again: np.ndarray, step: np.ndarray, number: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Followers as the different (seen again, step of the suffix's probability), and the number of each."""
+    code, at = np.unique(again << 8 | step, return_inverse=True)
+    return code >> 8, code & 255, np.bincount(at, number, minlength=len(code)).astype(np.int64)
+
+
+def _test_hot(ctx: int, table: pa.Table, divergence: float) -> pa.Table:
+    """The mass of a hot context over all its buckets, or 0 if it predicts no better than its suffix."""
+    n, mass = table["kinds"][0].as_py(), sum(table["total"].to_pylist())
+    parts = [np.frombuffer(v, np.int64).reshape(3, -1) for v in table["cells"].to_pylist()]
+    again, step, number = _cells(*np.concatenate(parts, 1))
+    q, rest = np.exp(step / -STEPS), n - mass
+    better = float((number * again * np.log((again + rest * q) / (n * q))).sum() + rest * np.log(rest / n)) if mass else 0.0
+    return pa.table({"ctx": pa.array([ctx], pa.int64()), "mass": pa.array([mass if better >= divergence * n else 0], pa.int64())})
+
+
 def _count(table: pa.Table, level: int, tree: Tree) -> pa.Table:
     """Of one bucket's contexts: their mass if they are retained, else 0, and the training counts of all followers."""
     sent = [unpack(v) for v in table["keys"].to_pylist()]
@@ -287,13 +304,18 @@ def _count(table: pa.Table, level: int, tree: Tree) -> pa.Table:
     c = np.bincount(back, counts, minlength=len(pairs)).astype(np.int64)
     steps = np.concatenate([np.frombuffer(v, np.uint8) for v in table["q"].to_pylist()])[first]
     mass, better = gain(pairs >> 32, n, c, np.exp(steps / -STEPS))
-    hot = np.flatnonzero(n > tree.hot)  # their followers are elsewhere too; so many occurrences need no test
+    hot = np.flatnonzero(n > tree.hot)  # their followers are elsewhere too, so they are tested once these are together
+    edges = np.searchsorted(pairs, np.stack([hot, hot + 1]) << 32)
+    cells = []
+    for a, b in edges.T.tolist():
+        seen = c[a:b] > 1
+        cells.append(np.stack(_cells(c[a:b][seen] - 1, steps[a:b][seen].astype(np.int64))).tobytes())
     kept = np.where((better >= tree.divergence * n) & (mass > 0), mass, 0)
     each = [pack_counts(v) for v in np.split(kept[at], np.cumsum([len(s) for s in sent])[:-1])]
     by_pair = [pack_counts(v) for v in np.split(c[back], np.cumsum([len(s) for s in tokens])[:-1])]
     bucket = table["bucket"][0].as_py()
     ctx = keys[hot].astype(np.int64).tolist()
-    out = _reply(level, bucket, table["chunk"].to_pylist(), each, by_pair, ctx, mass[hot].tolist())
+    out = _reply(level, bucket, table["chunk"].to_pylist(), each, by_pair, ctx, mass[hot].tolist(), n[hot].tolist(), cells)
     trim()
     return out
 
@@ -355,8 +377,11 @@ def score_texts(
         send, count = _round(level, tree)
         asked = chunks.groupBy(CHUNK).cogroup(replies().groupBy(CHUNK)).applyInArrow(send, SENT)
         levels.append(written(asked.groupBy("bucket").applyInArrow(count, REPLY), "contexts"))
-        # contexts of more than HOT occurrences: fewer than one in HOT tokens
-        hot = levels[-1].where("chunk is null").groupBy("ctx").agg(F.sum("total").alias("mass")).orderBy("ctx").collect()
+        # contexts of more than HOT occurrences: fewer than one in HOT tokens, each tested over all its buckets
+        parts = levels[-1].where("chunk is null").select("ctx", "total", "kinds", "cells").groupBy("ctx")
+        test = partial(_test_hot, divergence=divergence)
+        hot = parts.applyInArrow(lambda key, table: test(key[0].as_py(), table), "ctx long, mass long").collect()
+        hot = sorted(hot, key=lambda r: r.ctx & (1 << 64) - 1)
         ctx, mass = (np.array([r[k] for r in hot], t) for k, t in ((0, U), (1, np.int64)))
         tree = Tree(*[getattr(tree, f) for f in ("buckets", "depth", "least", "divergence", "hot", "total", "kinds")],
                     (*tree.hot_ctx, ctx), (*tree.hot_mass, mass))

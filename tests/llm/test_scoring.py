@@ -60,14 +60,16 @@ def brute(corpus, train, depth, least):
     return out
 
 
-@pytest.mark.parametrize(("chunk", "bucket", "depth", "hot"), [(4 << 20, 2_000_000, 3, 4_000_000), (4000, 300, 5, 10)])
-def test_matches_brute_force(docs, corpus, chunk, bucket, depth, hot, monkeypatch):
+@pytest.mark.parametrize(
+    ("chunk", "bucket", "depth", "hot", "divergence"),
+    [(4 << 20, 2_000_000, 3, 4_000_000, 0.02), (4000, 300, 5, 10, 0.02), (4000, 300, 3, 4, 0.6), (4000, 300, 3, 10, -100)],
+)
+def test_matches_brute_force(docs, corpus, chunk, bucket, depth, hot, divergence, monkeypatch):
     monkeypatch.setattr(exchange, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(exchange, "BUCKET_KEYS", bucket)
     monkeypatch.setattr(suffix_tree, "HOT", hot)
-    # contexts of more than HOT occurrences are states without a test
-    want = brute(corpus, lambda k: k % 5, depth, 0.02 if hot > 10 else -100)
-    got = suffix_tree.score_texts(docs, F.col("doc_id") % 5 != 0, depth=depth, divergence=0.02 if hot > 10 else -100)
+    want = brute(corpus, lambda k: k % 5, depth, divergence)
+    got = suffix_tree.score_texts(docs, F.col("doc_id") % 5 != 0, depth=depth, divergence=divergence)
     got = {r.id: r for r in got.collect()}
     assert len(got) == len(corpus)
     for k, (n, known, total, base, score) in want.items():

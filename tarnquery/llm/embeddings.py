@@ -231,8 +231,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Two vectors are linked if their cosine in double precision is at least `cosine` (above 0). Vectors that are null,
     zero, hold null or non-finite components, or have another length than most, link with nothing. Equal vectors are
-    joined first and stand as one with their number; every other pair within reach is compared once. Ids are unique; a
-    null id links with nothing. Other columns are dropped. Vectors count as equal by 128 bits of hash of the unit vector.
+    joined first and stand as one with their number; every other pair within reach is compared once. Ids are unique whole numbers, others raise an
+    error; a null id links with nothing. Other columns are dropped. Vectors count as equal by 128 bits of hash of the unit vector.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be above 0, at most 1")

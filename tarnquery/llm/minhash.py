@@ -163,7 +163,7 @@ def near_duplicates(
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their sets of `shingle`-word shingles
     (A-Z lower-cased). Null and empty texts, and texts without words, have an empty set and link with nothing.
-    Repeated rows of an id count as one document, and of different texts under one id the least is compared; a null id
+    Ids are whole numbers, others raise an error. Repeated rows of an id count as one document, and of different texts under one id the least is compared; a null id
     links with nothing and is kept. Other columns of docs are ignored, whatever their names. Equal sets, by 128 bits of
     hash and their size, are joined first. In each bucket of the sketch bands the smallest id is then compared with all
     members, next another one with the members outside its component, and last the members of buckets that still span

@@ -98,14 +98,14 @@ class Automaton:
 def _judge(batches, rules: tuple[UrlRule, ...], default: str):
     """The longest rule that fits decides; among equals the first."""
     order = sorted(range(len(rules)), key=lambda k: (-len(rules[k].rule.encode()), k))
-    patterns, owner = zip(*[(p, r) for r in order for p in rules[r].patterns()], strict=True)
-    machine, owner = Automaton(patterns), np.array(owner)
+    pairs = [(p, r) for r in order for p in rules[r].patterns()]
+    machine, owner = Automaton(tuple(p for p, _ in pairs)) if pairs else None, np.array([r for _, r in pairs], int)
     names = np.array([None if r.globs else r.rule for r in rules] + [None], object)
     verdicts = np.array([r.verdict for r in rules] + [default], object)
     for batch in batches:
         data, offs = string_parts(batch.column(batch.num_columns - 1))
         out = np.full(batch.num_rows, len(rules))
-        for a in range(0, batch.num_rows, 4096):
+        for a in range(0, batch.num_rows if machine else 0, 4096):
             part = machine.matches(data, offs[a : a + 4097])
             out[a : a + 4096] = np.where(part.any(1), owner[part.argmax(1)], len(rules))
         columns = [batch.column(k) for k in range(batch.num_columns - 1)]
@@ -125,7 +125,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[UrlRule], id_col: str = "page_
     """Per row: id, host, path, rule (null if none of the named rules decided), verdict.
 
     A null URL or one without :// has an empty host and path and gets the default verdict, as does a URL that no rule
-    fits. Equal rows are judged alike; other columns are dropped.
+    fits; without rules all URLs get it. Equal rows are judged alike; other columns are dropped.
     """
     host, path = host_and_path(F.col("__url"))
     parts = pages.select(F.col(id_col), F.col(url_col).alias("__url")).select(id_col, host.alias("host"), path.alias("path"))

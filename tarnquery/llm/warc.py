@@ -30,6 +30,8 @@ ARROW = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("t
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 #: Bytes of archives that a partition reads, unless one file is larger, and of payloads in a batch.
 PARTITION_BYTES, BATCH_BYTES = 64 << 20, 8 << 20
+#: The type of the row that stands for what can't be read of a file.
+DAMAGED = "damaged"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -86,6 +88,8 @@ class _Stream:
         """Begins the next member; its extra field may tell the length of the member after it."""
         head = self._peek(12)
         if len(head) < 10 or head[:2] != b"\x1f\x8b":
+            if head.strip(b"\0"):
+                raise EOFError("no member of the archive starts here")
             return False
         self.skip_to = None
         if head[3] & 4:
@@ -119,10 +123,17 @@ class _Stream:
                 self.inflated = self.inflated[end:].lstrip(b"\r\n")
                 continue
             if not self._fill():
+                if self.inflated.strip(b"\r\n\0"):
+                    raise EOFError("the archive ends within a header")
                 return None
         text, self.inflated = self.inflated[:end].decode("utf-8", "replace"), self.inflated[end + 4 :]
-        lines = text.lstrip("\r\n").split("\r\n")
-        return _unescaped([(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])])
+        lines: list[str] = []
+        for x in text.lstrip("\r\n").split("\r\n")[1:]:
+            if x[:1] in (" ", "\t") and lines:  # a folded line goes on with the one before
+                lines[-1] += " " + x.strip()
+            else:
+                lines.append(x)
+        return _unescaped([(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)])
 
     def block(self, size: int) -> bytes:
         parts, have = [self.inflated], len(self.inflated)
@@ -190,7 +201,7 @@ class WarcReader(DataSourceReader):
 
     def _fits(self, headers: dict[str, str]) -> bool:
         for name, kind, value in self.wanted:
-            have = headers.get(name)
+            have = headers.get(name.lower())
             have = have.removeprefix("sha1:") if have is not None and name == HEADERS["payload_digest"] else have
             ok = {"EqualTo": lambda: have == value, "In": lambda: have in value, "IsNotNull": lambda: have is not None, "IsNull": lambda: have is None, "StringStartsWith": lambda: have is not None and have.startswith(value)}[kind]()  # noqa: B023
             if not ok:
@@ -198,28 +209,43 @@ class WarcReader(DataSourceReader):
         return True
 
     def _rows(self, path: str) -> Iterator[tuple]:
+        """The records of a file that fit. Where it is cut off or damaged, the records before count and a row of type
+        damaged, with the file as its target, stands for the rest."""
         fs, _ = pafs.FileSystem.from_uri(self.path)
         with fs.open_input_file(path) as file:
             stream = _Stream(file)
-            while (lines := stream.headers()) is not None:
-                headers = dict(lines)
-                size = int(headers.get("Content-Length", 0))
-                if not self._fits(headers):
-                    stream.skip(size)
-                    continue
-                known = headers.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
-                is_http = headers.get("Content-Type", "").startswith("application/http")
-                payload = intact = None
-                length = int(headers["X-Payload-Length"]) if "X-Payload-Length" in headers else None if is_http else size
-                if self.payload and headers.get("WARC-Type") != "revisit":
-                    payload = stream.block(size)
-                    if is_http:
-                        payload = payload.partition(b"\r\n\r\n")[2]
-                    length = len(payload)
-                    intact = None if known is None else digest(payload) == known
-                else:
-                    stream.skip(size)
-                yield (headers.get("WARC-Record-ID"), headers.get("WARC-Type"), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), headers.get("WARC-Refers-To"), known, length, intact, payload, lines)
+            try:
+                while (lines := stream.headers()) is not None:
+                    row = self._record(stream, lines)
+                    if row is not None:
+                        yield row
+            except (EOFError, zlib.error):
+                if self._fits({"warc-type": DAMAGED, "warc-target-uri": path}):
+                    yield (None, DAMAGED, path, None, None, None, None, False, None, [])
+
+    def _record(self, stream: _Stream, lines: list[tuple[str, str]]) -> tuple | None:
+        headers = {k.lower(): v for k, v in lines}
+        if not headers.get("content-length", "").isdecimal():
+            raise EOFError("without its length the next record can't be found")
+        size = int(headers["content-length"])
+        if not self._fits(headers):
+            stream.skip(size)
+            return None
+        known = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        is_http = headers.get("content-type", "").startswith("application/http")
+        payload = intact = None
+        said = headers.get("x-payload-length", "")
+        length = int(said) if said.isdecimal() else None if is_http else size
+        if self.payload and headers.get("warc-type") != "revisit":
+            payload = stream.block(size)
+            if is_http:
+                payload = payload.partition(b"\r\n\r\n")[2]
+            length = len(payload)
+            intact = None if known is None else digest(payload) == known
+        else:
+            stream.skip(size)
+        names = ("warc-record-id", "warc-type", "warc-target-uri", "warc-date", "warc-refers-to")
+        return (*[headers.get(n) for n in names], known, length, intact, payload, lines)
 
     def read(self, partition):
         rows, size = [], 0
@@ -314,7 +340,12 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives at path. Filters on record_type and other header columns are pushed into the reader."""
+    """Records of the archives at path. Filters on record_type and other header columns are pushed into the reader.
+
+    Header names are of either case, folded lines are joined. A file that ends within a record, or holds something else
+    than records, gives those before and a row of type damaged; other files are read to their end. Without payloads a
+    record that ends too early is only noticed where the next one should start. A file is read by one task.
+    """
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
@@ -346,7 +377,11 @@ def id_of(urn: str) -> Column:
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", min_bytes: int = 0) -> DataFrame:
-    """Writes the pages as archives to the shared folder and reads them back."""
+    """Writes the pages as archives to the shared folder and reads them back: a row for each page, ids of their own type.
+
+    Null payloads count as empty, null URLs have no target. Repeated rows and null ids are as in write_warc; an id whose
+    text can't be read as its type is null. Columns besides id, url and html aren't read; an empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = new_folder(spark, "warc")
     write_warc(pages, path, id_col, min_bytes=min_bytes)

@@ -222,3 +222,40 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert 104 not in seen["decontamination"] and set(range(60)) <= set(seen["decontamination"])
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "substring_dedup", "decontamination", "source_mixing"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, top).collect()} == set(seen["source_mixing"])
+
+
+def test_damaged_archives_and_header_names(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    head = b"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: <urn:a>\r\nwarc-target-uri: http://x.org/\r\n /folded\r\ncontent-type: application/http\r\ncontent-length: "
+    good = head + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    files = {
+        "a.warc": good * 2, "b.warc": good + good[:-15], "c.warc.gz": gzip.compress(good) + gzip.compress(good)[:-20], "d.warc": good + head + b"x\r\n\r\n" + body,
+        "e.warc.gz": gzip.compress(good) + b"junk that is no member", "f.warc.gz": gzip.compress(good) + b"\0" * 64, "g.warc": good + b"WARC/1.0\r\nwarc-type: resp", "h.warc": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    whole = [r for r in got if r.record_type == "response"]
+    assert len(whole) == 2 + 1 + 1 + 1 + 1 + 1 + 1 and all(bytes(r.payload) == b"hello" and r.record_id == "<urn:a>" and r.target_uri == "http://x.org/ /folded" for r in whole)
+    assert sorted(r.target_uri.rpartition("/")[2] for r in got if r.record_type == "damaged") == ["b.warc", "c.warc.gz", "d.warc", "e.warc.gz", "g.warc"]
+    only = warc.read_warc(spark, f"file://{tmp_path}").where("record_type = 'response'")
+    assert only.count() == len(whole) and warc.read_warc(spark, f"file://{tmp_path}").where("record_type = 'damaged'").count() == 5
+
+
+def test_round_trip_against_a_grouping_in_python(spark):
+    rng = random.Random(9)
+    rows = [(k, f"http://h/{k}" if k % 7 else None, rng.choice([None, "", "x", "é" * 50, "long " * 2000, f"own {k}"]), "clash") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string").repartition(5)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect()}
+    first = {}
+    for k, _, text, _ in rows:
+        first.setdefault((text or "").encode(), k)
+    for k, _, text, _ in rows:
+        data = (text or "").encode()
+        own = first[data] == k
+        assert got[k] == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if own else "revisit", None if own else first[data])
+
+
+def test_no_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, None)], "page_id long, url string")
+    assert [tuple(r) for r in urls.filter_urls(pages, [], default="block").orderBy("page_id").collect()] == [(1, "a.com", "/x", None, "block"), (2, "", "", None, "block")]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnquery.operators import similarity as S
+from tarnquery.operators.search import SearchIndex
 from tarnquery.plans.registry import query, table
 from tarnquery.plans.repository import ranked
+from tarnquery.sources.shared import new_folder
 
 SETS = "s AS (SELECT doc_id, source, lang, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w, length(text) AS n FROM documents)"
 SCORE = "CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE CAST(0.7 AS DOUBLE) * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) + CAST(0.3 AS DOUBLE) * least(a.n, b.n) / greatest(a.n, b.n) END"
@@ -83,6 +85,32 @@ def fts_bm25(spark, sf_dir):
     return S.full_text(d, ["the", "thing"]).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def index(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return SearchIndex.build(d, new_folder(spark, "index"))
+
+
+@query(FTS + "SELECT doc_id, round(score, 6) AS score FROM r WHERE k = 2 ORDER BY round(score, 9) DESC, doc_id LIMIT 50")
+def search_top(spark, sf_dir):
+    """JN1, SRT6: the 50 best by an index: blocks that can't reach them aren't read."""
+    return index(spark, sf_dir).top(["the", "thing"]).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_TERMS = "SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS t FROM documents"
+
+
+@query(f"SELECT doc_id, CAST(len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS INTEGER) AS n FROM ({_TERMS}) WHERE len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0")
+def search_phrase(spark, sf_dir):
+    """JN1: items in which words follow each other, by their positions in the index."""
+    return index(spark, sf_dir).phrase(["of", "the"]).withColumnRenamed("id", "doc_id")
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM ({_TERMS})) WHERE starts_with(term, 'the') GROUP BY term")
+def search_prefix(spark, sf_dir):
+    """JN1: the terms that start with some letters, and how many items hold each."""
+    return index(spark, sf_dir).prefix("the")
+
+
 @query(FTS + "SELECT doc_id, round(score, 6) AS score FROM r WHERE k = 2 AND source = 'src0' ORDER BY round(score, 9) DESC, doc_id LIMIT 20")
 def fts_category(spark, sf_dir):
     """JN2, SRT6: the 20 best of a category."""

@@ -47,8 +47,9 @@ class SearchIndex:
         rows = rows.select(F.left("term", F.lit(HEAD)).alias("head"), "term", "id", block, "tf", "len", "at")
         ranged = rows.repartitionByRange("head", "term", "id").sortWithinPartitions("head", "term", "id")
         ranged.write.partitionBy("head").parquet(f"{path}/postings")
+        written = spark.read.schema(ranged.schema).parquet(f"{path}/postings")
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(known["mean"] or 1.0)))
-        held = spark.read.parquet(f"{path}/postings").groupBy("head", "term", "block").agg(F.count("*").alias("n"), F.max(weight).alias("most"))
+        held = written.groupBy("head", "term", "block").agg(F.count("*").alias("n"), F.max(weight).alias("most"))
         held.repartitionByRange("head", "term").sortWithinPartitions("head", "term").write.partitionBy("head").parquet(f"{path}/blocks")
         return cls(spark, path)
 

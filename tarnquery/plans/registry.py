@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from tarnquery.plans import joins, operations, privacy, repository, rules, streams, texts  # noqa: F401
+    from tarnquery.plans import joins, operations, privacy, records, repository, rules, streams, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -6,15 +6,36 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnquery.functions.arrays import let
 from tarnquery.operators.similarity import terms
 
 #: Parameters of BM25; letters of a term that tell its folder; items of a block; blocks that set the bar for all others.
 K1, B, HEAD, BLOCK, FIRST = 1.2, 0.75, 2, 4096, 16
 
 
+def _grouped(words: Column) -> Column:
+    """The different words of a list, each with its places: the list is sorted, and runs of a word are cut out."""
+
+    def cut(both: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(both) - 1), lambda i: (i == 0) | (F.get(both, i)["word"] != F.get(both, i - 1)["word"]))
+
+        def runs(first: Column) -> Column:
+            def one(s: Column, k: Column) -> Column:
+                last = F.coalesce(F.get(first, k + 1), F.size(both)) - 1
+                at = F.transform(F.sequence(s, last), lambda j: F.get(both, j)["pos"])
+                return F.struct(F.get(both, s)["word"].alias("term"), at.alias("at"))
+
+            return F.transform(first, one)
+
+        return let(starts, runs)
+
+    placed = F.sort_array(F.transform(words, lambda w, k: F.struct(w.alias("word"), k.alias("pos"))))
+    return F.when(F.size(words) > 0, let(placed, cut))
+
+
 class SearchIndex:
     """Folders below path: postings (head, term, id, block, tf, len, at), blocks (head, term, block, n, most), stats.
 
@@ -41,11 +62,11 @@ class SearchIndex:
         stats.write.parquet(f"{path}/stats")
         known = spark.read.parquet(f"{path}/stats").first()
         blocks = max(1, known.docs // BLOCK)
-        rows = split.select("id", F.size("t").alias("len"), F.posexplode("t").alias("pos", "term"))
-        rows = rows.groupBy("id", "len", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("at"))
+        # an item's terms are grouped within its row, so postings are dealt out once, as short rows
+        rows = split.select("id", F.size("t").alias("len"), F.explode(_grouped(F.col("t"))).alias("p")).select("id", "len", "p.*")
+        ranged = rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
         block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-        rows = rows.select(F.left("term", F.lit(HEAD)).alias("head"), "term", "id", block, "tf", "len", "at")
-        ranged = rows.repartitionByRange("head", "term", "id").sortWithinPartitions("head", "term", "id")
+        ranged = ranged.select("term", "id", block, F.size("at").cast("long").alias("tf"), "len", "at", F.left("term", F.lit(HEAD)).alias("head"))
         ranged.write.partitionBy("head").parquet(f"{path}/postings")
         written = spark.read.schema(ranged.schema).parquet(f"{path}/postings")
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(known["mean"] or 1.0)))

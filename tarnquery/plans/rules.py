@@ -254,6 +254,8 @@ def newest_candidates(spark, sf_dir):
     return met.select("doc_id", "candidate", (F.col("pos") + 1).cast("long").alias("rank"))
 
 
+#: Ids up to which they are sent to all tasks.
+FEW = 500_000
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))"
 
 
@@ -273,8 +275,10 @@ def similar_candidates(spark, sf_dir):
     """
     text = F.col("text")
     topic = F.substring_index(F.lower(text), " ", 1)
-    d = table(spark, sf_dir, "documents").where(text.isNotNull()).select("doc_id", "source", topic.alias("topic"), F.length(text).alias("len"), word_set(text).alias("words"))
-    d = d.withColumn("n", F.size("words"))
+    given = table(spark, sf_dir, "documents").where(text.isNotNull())
+    d, path = given.select("doc_id", "source", topic.alias("topic"), F.length(text).alias("len"), F.size(word_set(text)).alias("n")), new_folder(spark, "topics")
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
     topics = d.select("source", "topic").distinct()
     pairs = contained(topics, topics.withColumnRenamed("topic", "other"), "source", "topic", "other")
     newest = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("candidate")))
@@ -288,7 +292,14 @@ def similar_candidates(spark, sf_dir):
     ratio = F.least("len_a", "len_b") / F.greatest("len_a", "len_b")
     most = F.lit(0.7) * F.least("n_a", "n_b") / F.greatest("n_a", "n_b") + F.lit(0.3) * ratio
     met = met.where((F.col("n_a") > 0) & (F.col("n_b") > 0)).where(most >= 0.5 - 1e-9)
-    words = d.select("doc_id", "words")
+    path = new_folder(spark, "met")
+    met.write.parquet(path)
+    met = spark.read.schema(met.schema).parquet(path)
+    needed = met.select("doc_id").union(met.select("candidate")).distinct()
+    # few items have a partner within reach: up to a bound their ids are sent to all tasks, and other items' words stay
+    few = needed.limit(FEW + 1).count() <= FEW
+    words = given.select("doc_id", F.transform(word_set(text), lambda w: F.xxhash64(w)).alias("words"))
+    words = words.join(F.broadcast(needed) if few else needed, "doc_id", "left_semi")
     full = met.join(words.withColumnRenamed("words", "wa"), "doc_id").join(words.select(F.col("doc_id").alias("candidate"), F.col("words").alias("wb")), "candidate")
     score = similarity(F.col("wa"), F.col("wb"), F.col("len_a"), F.col("len_b"))
     full = full.select("doc_id", "candidate", (F.col("at") + 1).cast("long").alias("place"), score.alias("score"))

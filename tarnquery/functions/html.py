@@ -38,6 +38,8 @@ def plain(text: Column) -> Column:
 def _fits(tag: Column, name: Column, selector: str) -> Column:
     kind, cls, key, value = re.fullmatch(r"([a-z0-9]*)(?:\.([\w-]+))?(?:\[([\w-]+)=([^\]]+)\])?", selector).groups()
     tests = [name == kind] if kind else []
+    if cls or key:  # most tags have no attributes: they needn't be searched
+        tests.append(F.contains(tag, F.lit("=")))
     if cls:
         tests.append(F.array_contains(F.split(attribute(tag, "class"), r"\s+"), cls))
     if key:

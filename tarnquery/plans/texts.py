@@ -340,7 +340,7 @@ def _text_sql(x: str) -> str:
     return rf"trim(regexp_replace({_ENTITIES.format(bare)}, '[\s\x{{a0}}]+', ' ', 'g'))"
 
 
-@query(f"""
+@query(rf"""
     WITH p AS (SELECT page_id, {_text_sql("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS h1, {_text_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS t,
         {_text_sql("regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1)")} AS article, {_text_sql("regexp_extract(html, '(?s)<body[^>]*>(.*)</body>', 1)")} AS body,
         regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS links FROM pages)

@@ -16,10 +16,24 @@ from tarnquery.llm.toxicity import ToxicityModel
 ORACLE_SQL = None
 
 
+#: The columns of documents that stages work on; others only go along.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with other columns under names that no stage uses; the same plan where there are none."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in COLUMNS else f"__{k}") for k, c in enumerate(docs.columns)])
+
+
+def back(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that aside put away, under their own names again."""
+    return docs.select(*[F.col(c if c in COLUMNS else f"__{k}").alias(c) for k, c in enumerate(columns)])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds toxic go. It learns from the labels of rows that aren't held out."""
     model = ToxicityModel.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs).where(F.col("score") < 0.5).select(docs.columns)
+    return back(model.score(aside(docs)).where(F.col("score") < 0.5), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +45,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 35 words or more that occur more than once go; texts without any stay as they are."""
-    found = remove_repeats(docs, window=35)
+    found = remove_repeats(aside(docs), window=35)
     cut = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return found.select(*[cut if c == "n_chars" else F.col(c) for c in docs.columns])
+    names = aside(docs).columns
+    return back(found.select(*[cut if c == "n_chars" else F.col(c) for c in names]), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

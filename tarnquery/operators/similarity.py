@@ -20,23 +20,23 @@ def similarity(a: Column, b: Column, len_a: Column, len_b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.lit(0.7) * both / either + F.lit(0.3) * ratio)
 
 
-def similar_pairs(items: DataFrame, by: list[str], threshold: float = 0.8) -> DataFrame:
-    """(a, b, score) with a < b of items (id, text, *by) equal in `by` whose similarity reaches the threshold.
-
-    A prefix join: with words ordered from the rarest, two sets of sizes n and m that can reach the threshold share one
-    of their first words, so only items with a rare word in common meet, never all pairs of a block. As the length
-    ratio adds at most 0.3, the Jaccard similarity must reach (threshold - 0.3) / 0.7; the ratio of the lengths must
-    reach (threshold - 0.7) / 0.3. Items without words are similar to nothing, as are thresholds of 0.3 or less here.
-    """
-    least = (threshold - 0.3) / 0.7
-    if not 0 < least <= 1:
+def _sets(items: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(id, *by, words, len) of the items with words, as 64-bit hashes, in a table: they are needed several times."""
+    if not 0.3 < threshold <= 1:
         raise ValueError("the threshold must be above 0.3, at most 1")
     hashed = F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w))
-    sets = items.select("id", *by, hashed.alias("words"), F.length("text").alias("len")).where(F.size("words") > 0)
-    # the word sets are needed five times: worked out once, as 64-bit hashes
-    path = new_folder(items.sparkSession, "sets")
-    sets.write.parquet(path)
-    sets = items.sparkSession.read.parquet(path)
+    return _put(items.dropna(subset=by).select("id", *by, hashed.alias("words"), F.length("text").alias("len")).where(F.size("words") > 0), "sets")
+
+
+def _put(df: DataFrame, tag: str) -> DataFrame:
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _pairs(sets: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(a, b, score) with a < b of the sets that are similar, by a prefix join."""
+    least = (threshold - 0.3) / 0.7
     tokens = sets.select("id", F.explode("words").alias("word"))
     ranked = tokens.join(tokens.groupBy("word").count(), "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("order"))
     size = F.size("order")
@@ -54,11 +54,70 @@ def similar_pairs(items: DataFrame, by: list[str], threshold: float = 0.8) -> Da
     return full.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), score.alias("score")).where(F.col("score") >= threshold - 1e-12)
 
 
-def top_related(edges: DataFrame, k: int) -> DataFrame:
-    """The k best partners of each item, from edges (a, b, score) in both directions; equal scores by id."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
-    return both.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+def similar_pairs(items: DataFrame, by: list[str], threshold: float = 0.8) -> DataFrame:
+    """(a, b, score) with a < b of items (id, text, *by) equal in `by` whose similarity reaches the threshold.
+
+    A prefix join: with words ordered from the rarest, two sets of sizes n and m that can reach the threshold share one
+    of their first words, so only items with a rare word in common meet, never all pairs of a block. As the length
+    ratio adds at most 0.3, the Jaccard similarity must reach (threshold - 0.3) / 0.7; the ratio of the lengths must
+    reach (threshold - 0.7) / 0.3. Items without words or with a null in `by` are similar to nothing, as are thresholds
+    of 0.3 or less here. Copies meet each other in all pairs: where there may be many, take similar_classes.
+    """
+    return _pairs(_sets(items, by, threshold), by, threshold)
+
+
+def similar_classes(items: DataFrame, by: list[str], threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Members (id, class, size) and pairs (a, b, score, size_a, size_b) with a < b of similar classes.
+
+    A class is all items equal in `by`, in their set of words (by a 64-bit hash) and in length, named by its smallest
+    id; its members are similar to each other with score 1, and to other items all alike. So one item of a class enters
+    the join, and a group of n copies costs n rows, not n * n. Ids are unique; items as in similar_pairs.
+    """
+    sets = _sets(items, by, threshold)
+    same = [*by, "digest", "len"]
+    keyed = sets.withColumn("digest", F.xxhash64(F.array_sort("words"), F.size("words")))
+    classes = _put(keyed.groupBy(*same).agg(F.min("id").alias("class"), F.count("*").alias("size")), "classes")
+    members = keyed.select("id", *same).join(classes, same).select("id", "class", "size")
+    firsts = _put(sets.join(classes.select(F.col("class").alias("id")), "id", "left_semi"), "firsts")
+    pairs = _pairs(firsts, by, threshold)
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}")), side)
+    return members, pairs.select("a", "b", "score", "size_a", "size_b")
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Edges (a, b, score, size_b) in both directions."""
+    return pairs.select("a", "b", "score", "size_b").union(pairs.select("b", "a", "score", "size_a"))
+
+
+def top_related(members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(a, b, score, rank): the k best partners of each item, equal scores by id, from similar_classes.
+
+    No more than the first k + 1 members of a class can be among the best of any item, its own members included; so the
+    list is worked out for each class and only then given to its members, each without itself.
+    """
+    first = members.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("n") <= k + 1)
+    own = members.where("size > 1 and id = class").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("score"))
+    near = both_ways(pairs).select("a", "b", "score").union(own).join(first.select(F.col("class").alias("b"), "id"), "b")
+    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
+    lists = ranked.groupBy(F.col("a").alias("class")).agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("near"))
+    best = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
+    rows = members.join(lists, "class").select(F.col("id").alias("a"), F.posexplode(best).alias("at", "x"))
+    return rows.select("a", F.col("x.id").alias("b"), F.col("x.score").alias("score"), (F.col("at") + 1).cast("long").alias("rank"))
+
+
+def link_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, class, links) of each member: links is the number of other items that are similar to it."""
+    others = both_ways(pairs).groupBy(F.col("a").alias("class")).agg(F.sum("size_b").alias("others"))
+    links = F.col("size") - 1 + F.coalesce("others", F.lit(0))
+    return members.join(others, "class", "left").select("id", "class", links.alias("links"))
+
+
+def link_stats(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row (n, mean, most) over the scores of all similar pairs of items, with nulls where there are none."""
+    own = members.where("id = class").select(F.lit(1.0).alias("score"), F.expr("size * (size - 1) div 2").alias("n"))
+    every = pairs.select("score", (F.col("size_a") * F.col("size_b")).alias("n")).union(own).where("n > 0")
+    return every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"), F.max("score").alias("most"))
 
 
 def terms(text: Column) -> Column:

@@ -15,28 +15,48 @@ SCORE = "CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE CAST(0.7 AS DOUBLE)
 PAIRS = f"p AS (SELECT a.doc_id AS a, b.doc_id AS b, {SCORE} AS score FROM s a JOIN s b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id AND least(len(a.w), len(b.w)) >= 0.7 * greatest(len(a.w), len(b.w)) AND least(a.n, b.n) >= 0.3 * greatest(a.n, b.n)), e AS (SELECT * FROM p WHERE score >= CAST(0.8 AS DOUBLE) - 1e-12)"
 
 
-def _pairs(spark, sf_dir):
+CLASSES = "k AS (SELECT source, lang, list_sort(w) AS w, n, min(doc_id) AS doc_id, count(*) AS size FROM s WHERE len(w) > 0 AND source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang, list_sort(w), n)"
+CLASS_PAIRS = PAIRS.replace("a.doc_id AS a, b.doc_id AS b", "a.doc_id AS a, b.doc_id AS b, a.size AS size_a, b.size AS size_b").replace("FROM s a JOIN s b", "FROM k a JOIN k b")
+
+
+def _classes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
-    return S.similar_pairs(d, ["source", "lang"])
+    return S.similar_classes(d, ["source", "lang"])
 
 
-@query(f"WITH {SETS}, {PAIRS} SELECT a, b, round(score, 6) AS score FROM e")
+@query(f"WITH {SETS}, {CLASSES}, {CLASS_PAIRS} SELECT a, b, size_a, size_b, round(score, 6) AS score FROM e")
 def jaccard_similarity(spark, sf_dir):
-    """JN6, SIM1, SET1: similar items of the same category and topic."""
-    return _pairs(spark, sf_dir).select("a", "b", F.round("score", 6).alias("score"))
+    """JN6, SIM1, SET1: similar items of the same category and topic, one of each class of equal word sets and lengths.
+
+    a and b stand for size_a and size_b items; similar_links tells each item's class.
+    """
+    return _classes(spark, sf_dir)[1].select("a", "b", "size_a", "size_b", F.round("score", 6).alias("score"))
+
+
+@query(f"""
+    WITH {SETS}, {PAIRS}, d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), l AS (SELECT a, count(*) AS n FROM d GROUP BY a), {CLASSES}
+    SELECT s.doc_id, coalesce(k.doc_id, s.doc_id) AS class_id, coalesce(l.n, 0) AS n_links
+    FROM s LEFT JOIN k ON s.source = k.source AND s.lang = k.lang AND list_sort(s.w) = k.w AND s.n = k.n LEFT JOIN l ON l.a = s.doc_id
+""")
+def similar_links(spark, sf_dir):
+    """SIM1: each item's class of equal word sets and lengths, and how many other items are similar to it."""
+    found = S.link_counts(*_classes(spark, sf_dir)).select(F.col("id").alias("doc_id"), "class", "links")
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
 @query(f"WITH {SETS}, {PAIRS}, d AS (SELECT a, b, round(score, 9) AS score FROM e UNION ALL SELECT b, a, round(score, 9) FROM e) SELECT a, b, round(score, 6) AS score, row_number() OVER (PARTITION BY a ORDER BY d.score DESC, b) AS rank FROM d QUALIFY rank <= 3")
 def similar_topk_related(spark, sf_dir):
     """JN4, WIN4: the three most similar items of each item."""
-    edges = _pairs(spark, sf_dir).withColumn("score", F.round("score", 9))
-    return S.top_related(edges, 3).withColumn("score", F.round("score", 6))
+    members, pairs = _classes(spark, sf_dir)
+    return S.top_related(members, pairs.withColumn("score", F.round("score", 9)), 3).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT count(*) AS n, coalesce(round(avg(score), 3), 0) AS mean, coalesce(round(max(score), 3), 0) AS most FROM (WITH " + SETS + ", " + PAIRS + " SELECT score FROM e)")
 def similarity_stats(spark, sf_dir):
-    """AGG8: number, mean and maximum of the stored similarities."""
-    return _pairs(spark, sf_dir).agg(F.count("*").alias("n"), F.coalesce(F.round(F.avg("score"), 3), F.lit(0.0)).alias("mean"), F.coalesce(F.round(F.max("score"), 3), F.lit(0.0)).alias("most"))
+    """AGG8: number, mean and maximum of the similarities of all pairs of items."""
+    rounded = lambda c: F.coalesce(F.round(c, 3), F.lit(0.0)).alias(c)
+    return S.link_stats(*_classes(spark, sf_dir)).select("n", rounded("mean"), rounded("most"))
 
 
 @query("""

@@ -49,6 +49,32 @@ def test_similarity_join_finds_what_all_pairs_find(spark):
     assert got == want and want
 
 
+def test_similar_classes_tell_what_all_pairs_tell(spark):
+    import random
+
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(9)]
+    texts = [" ".join(rng.sample(base, rng.randint(5, 9))) for _ in range(25)]
+    rows = [(k, texts[min(k % 40, 24)], f"c{k % 2}") for k in range(90)]
+    rows += [(200, "", "c0"), (201, None, "c0"), (202, "alone here", "c1"), (203, texts[0], None), (204, texts[0], None)]
+    items = spark.createDataFrame(rows, "id long, text string, cat string")
+    pairs = {(r.a, r.b): r.score for r in similarity.similar_pairs(items, ["cat"]).collect()}
+    partners = {i: sorted([(-round(s, 9), b if a == i else a) for (a, b), s in pairs.items() if i in (a, b)]) for i, _, _ in rows}
+    members, found = similarity.similar_classes(items, ["cat"])
+    text = {i: (sorted(set((t or "").split())), len(t or ""), c) for i, t, c in rows}
+    links = {r["id"]: r for r in similarity.link_counts(members, found).collect()}
+    assert set(links) == {i for i, (w, _, c) in text.items() if w and c}
+    for i, r in links.items():
+        assert r["class"] == min(j for j in links if text[j] == text[i]) and r.links == len(partners[i])
+    top = sorted(map(tuple, similarity.top_related(members, found.withColumn("score", F.round("score", 9)), 3).collect()))
+    assert top == sorted((i, b, -s, n + 1) for i, near in partners.items() for n, (s, b) in enumerate(near[:3]))
+    stats = similarity.link_stats(members, found).first()
+    assert stats.n == len(pairs) and abs(stats["mean"] - sum(pairs.values()) / len(pairs)) < 1e-9 and stats.most == max(pairs.values())
+    assert found.count() < len(pairs) / 2
+    none = similarity.link_stats(*similarity.similar_classes(items.limit(0), ["cat"])).first()
+    assert none.n == 0 and none["mean"] is None
+
+
 def test_upsert_and_snapshot(spark, tmp_path):
     old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, seen int, v string")
     new = spark.createDataFrame([(2, 5, "c"), (2, 6, "d"), (3, 7, "e")], "k int, seen int, v string")

@@ -36,8 +36,12 @@ STOP_WORDS = (
 URL = r"https?://[^\s]+"
 
 
+#: What \s matches.
+BLANK = " \t\n\x0b\f\r"
+
+
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(BLANK))
 
 
 def squeeze(x: Column) -> Column:
@@ -59,13 +63,18 @@ def word_count(x: Column) -> Column:
     return F.when(strip(x) == "", 0).otherwise(F.size(F.split(strip(x), r"\s+")))
 
 
+def fewer_words(x: Column, least: int) -> Column:
+    """Whether x has fewer than `least` words, at least one; looks no further than that many."""
+    return ~x.rlike(r"\s+".join([r"\S", *[r"\S+"] * (least - 2), r"\S"][: max(1, least)]))
+
+
 def any_of(patterns: Sequence[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
 def is_fluff(s: Column, patterns: Sequence[str] = FLUFF, least_words: int = 4) -> Column:
     """Calls to act, very short sentences, and runs of ! or ?."""
-    return F.lower(s).rlike(any_of(patterns)) | (word_count(s) < least_words) | s.rlike(r"[!?]{2,}")
+    return F.lower(s).rlike(any_of(patterns)) | fewer_words(s, least_words) | s.rlike(r"[!?]{2,}")
 
 
 def has_indicator(s: Column, patterns: Sequence[str] = INDICATORS) -> Column:
@@ -85,7 +94,7 @@ def knowledge_sentences(text: Column, most: int = 5) -> Column:
 def key_insights(text: Column, most: int = 5) -> Column:
     """The longest sentences that name an insight or are long and no fluff; equal lengths in the text's order."""
     named = lambda s: F.lower(s).rlike("|".join(INSIGHTS))
-    kept = F.filter(sentences(text), lambda s: (F.length(s) >= 20) & (named(s) | ((F.length(s) > 50) & ~is_fluff(s))))
+    kept = F.filter(sentences(text), lambda s: (F.length(s) >= 20) & (((F.length(s) > 50) & ~is_fluff(s)) | named(s)))
     ranked = F.array_sort(F.transform(kept, lambda s, i: F.struct((-F.length(s)).alias("n"), i.alias("i"), s.alias("s"))))
     return F.transform(F.slice(ranked, 1, most), lambda r: r["s"])
 

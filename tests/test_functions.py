@@ -103,3 +103,15 @@ def test_annotator_isolates_errors(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "bad", None, "c"])], "k int, t string").coalesce(1)
     out = with_fallback(annotate(df, "t", make), {"said": F.lit("rule")}, {"said": F.col("reply")})
     assert [(r.k, r.said, r.error) for r in out.orderBy("k").collect()] == [(0, "A", None), (1, "rule", "ValueError: no"), (2, "", None), (3, "C", None)]
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "a b c", " a b c\t", "a b c d", "a\n b  c\x0bd e", " a b c", None])
+def test_words_and_blanks(spark, text):
+    import re
+
+    words = None if text is None else re.findall(r"[^ \t\n\x0b\f\r]+", text)
+    for least in (1, 2, 3, 4):
+        assert one(spark, T.fewer_words(F.col("t"), least), t=text) == (None if text is None else len(words) < least)
+    assert one(spark, T.strip(F.col("t")), t=text) == (None if text is None else text.strip(" \t\n\x0b\f\r"))
+    if text is not None:
+        assert one(spark, T.word_count(F.col("t")), t=text) == len(words)

@@ -64,7 +64,22 @@ def scan(items: Column, zero: Column, advance: Callable[[Column, Column], Column
 
 def totals_before(sizes: Column) -> Column:
     """Of each number the sum of those before it."""
-    return scan(sizes, F.lit(0), lambda at, x: F.struct((at + x).alias("at"), F.array(at).alias("out")), "int")
+
+    def step(state: Column, x: Column) -> Column:
+        return F.struct((state["at"] + x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    def block(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["at"].alias("at"), empty("int").alias("out")), step)
+        return let(inner, lambda s: F.struct(s["at"].alias("at"), F.concat(state["done"], F.array(s["out"])).alias("done")))
+
+    start = F.struct(F.lit(0).alias("at"), empty("array<int>").alias("done"))
+    return let(sizes, lambda x: F.aggregate(blocks(x), start, block, lambda state: F.flatten(state["done"])))
+
+
+def ends(text: Column, pattern: str, found: Column) -> Column:
+    """Where the matches `found` of a pattern end, in code points: behind the pieces and matches up to each."""
+    sizes = F.zip_with(F.split(text, pattern), found, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
+    return F.slice(totals_before(sizes), 2, F.size(found))
 
 
 def places(text: Column, pattern: str, *groups: int) -> Column:
@@ -78,12 +93,9 @@ def places(text: Column, pattern: str, *groups: int) -> Column:
     every = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
 
     def put(found: Column) -> Column:
-        pieces = F.split(text, pattern)
-        sizes = F.zip_with(pieces, found, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
-        ends = F.slice(totals_before(sizes), 2, F.size(found))
         row = lambda x: F.struct((x["end"] - F.length(x["g0"])).alias("start"), x["end"].alias("end"), *[x[n].alias(n) for n in names])
         said = [found, *map(every, groups)]
-        return F.transform(F.arrays_zip(ends.alias("end"), *[x.alias(n) for x, n in zip(said, names)]), row)
+        return F.transform(F.arrays_zip(ends(text, pattern, found).alias("end"), *[x.alias(n) for x, n in zip(said, names)]), row)
 
     kind = "struct<" + ",".join(["start:int", "end:int", *[f"{n}:string" for n in names]]) + ">"
     none = F.when(text.isNotNull(), empty(kind))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnquery.functions import pii as P
+from tarnquery.plans import registry
 
 
 def plan_of(df):
@@ -26,3 +27,12 @@ def test_guards_lose_no_match(spark, text):
         "éAb Cd Efé Gh Ij": [("person_name", "Gh Ij", 11, 16, 0.32)],
     }.get(text, [])
     assert got == want
+
+
+def test_similar_pairs_of_different_texts_in_a_class_are_told(spark, tmp_path):
+    rows = [(1, "a b c d", "s", "l"), (2, "d c b a", "s", "l"), (3, "a b c d", "s", "l"), (4, "a b c d", None, "l"), (5, "", "s", "l"), (6, "x y", "s", "l")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = registry.queries()["jaccard_similarity"](spark, f"file://{tmp_path}").collect()
+    assert sorted(tuple(r) for r in got) == [
+        ("member", 1, 1, 3, 3, 1.0), ("member", 1, 2, 3, 3, 1.0), ("member", 1, 3, 3, 3, 1.0), ("member", 4, 4, 1, 1, 0.0), ("member", 5, 5, 1, 1, 0.0), ("member", 6, 6, 1, 1, 1.0),
+    ]

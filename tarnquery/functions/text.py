@@ -131,8 +131,17 @@ def course_refs(text: Column) -> Column:
     return matches(text, COURSES, 3)
 
 
+def up_to_last(text: Column, pattern: str) -> Column:
+    """The text to the end of the last match of what a pattern ends with, from its last white space on; else empty.
+
+    All matches of such a pattern are in there, and a long group before the word isn't tried at every place behind it.
+    """
+    return F.regexp_extract(text, "(?s)^.*" + pattern[pattern.rindex(r"\s+") :], 0)
+
+
 def course_refs_wide(text: Column) -> Column:
-    found = F.flatten(F.array(*[F.regexp_extract_all(F.lower(text), F.lit(p), 1) for p in COURSES_WIDE]))
+    part = lambda p: up_to_last(F.lower(text), p) if p.startswith("([^") else F.lower(text)
+    found = F.flatten(F.array(*[F.regexp_extract_all(part(p), F.lit(p), 1) for p in COURSES_WIDE]))
     plain = F.transform(found, lambda c: squeeze(F.regexp_replace(strip(c), r"[^\w\s&-]", "")))
     return F.array_sort(F.array_distinct(F.filter(plain, lambda c: F.length(c).between(3, 100) & ~c.rlike(r"^\d+$") & ~c.isin(*NO_COURSE))))
 

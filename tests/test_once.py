@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnquery.functions import pii as P
+from tarnquery.functions import text as T
 from tarnquery.plans import registry
 
 
@@ -36,3 +37,13 @@ def test_similar_pairs_of_different_texts_in_a_class_are_told(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [
         ("member", 1, 1, 3, 3, 1.0), ("member", 1, 2, 3, 3, 1.0), ("member", 1, 3, 3, 3, 1.0), ("member", 4, 4, 1, 1, 0.0), ("member", 5, 5, 1, 1, 0.0), ("member", 6, 6, 1, 1, 1.0),
     ]
+
+
+def test_nothing_is_sought_behind_the_last_word_of_a_pattern(spark):
+    texts = ["a nice  course and later", "see courses. one\nmore training course, x", "no word", "", "my course certified course tail", "certified"]
+    backward = [p for p in T.COURSES_WIDE if p.startswith("([^")]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for p in backward:
+        every = lambda c: F.regexp_extract_all(c, F.lit(p), 1)  # noqa: E731, B023
+        got = rows.select("t", T.up_to_last(F.col("t"), p).alias("cut")).select("t", "cut", every(F.col("t")).alias("whole"), every(F.col("cut")).alias("part")).collect()
+        assert [r.whole for r in got] == [r.part for r in got] and got[2].cut == "" and got[0].cut in ("", "a nice  course")

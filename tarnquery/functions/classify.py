@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnquery.functions.arrays import let
 from tarnquery.functions.text import word_count
 
 # Keywords of each class, primary and secondary.
@@ -95,12 +96,20 @@ def best(scores: Mapping[str, Column]) -> Column:
 
 def weighted_class(text: Column, lexicon: Mapping = WEIGHTED, least: float = 0.2, other: str = "Other") -> Column:
     """struct(category, confidence): two for a primary and one for a secondary keyword, against lexicon and text size."""
-    n = word_count(text) * F.lit(0.01)
-    top = best({c: (hits(text, a) * 2 + hits(text, b)) / (F.lit(0.1 * (len(a) + len(b))) + n) for c, (a, b) in lexicon.items()})
-    sure = F.least(top["score"] / 10.0, F.lit(1.0))
-    none = (top["score"] <= 0) | (F.coalesce(text, F.lit("")) == "")
-    name = F.when(none | (sure < least), other).otherwise(top["name"])
-    return F.struct(name.alias("category"), F.when(none, 0.1).otherwise(sure).alias("confidence"))
+    known = F.struct(F.lower(text).alias("low"), (word_count(text) * F.lit(0.01)).alias("n"))
+    count = lambda low, words: sum((low.contains(w).cast("int") for w in words), F.lit(0))
+
+    def top(x: Column) -> Column:
+        return best({c: (count(x["low"], a) * 2 + count(x["low"], b)) / (F.lit(0.1 * (len(a) + len(b))) + x["n"]) for c, (a, b) in lexicon.items()})
+
+    def told(top: Column) -> Column:
+        sure = F.least(top["score"] / 10.0, F.lit(1.0))
+        none = (top["score"] <= 0) | (F.coalesce(text, F.lit("")) == "")
+        name = F.when(none | (sure < least), other).otherwise(top["name"])
+        return F.struct(name.alias("category"), F.when(none, 0.1).otherwise(sure).alias("confidence"))
+
+    # words and scores are bound, as they would be worked out for each class and use
+    return let(let(known, top), told)
 
 
 def counted_class(text: Column, lexicon: Mapping = COUNTED, default: str = "General") -> Column:

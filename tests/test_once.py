@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tarnquery.functions import classify as C
 from tarnquery.functions import pii as P
 from tarnquery.functions import text as T
 from tarnquery.plans import registry
@@ -47,3 +48,8 @@ def test_nothing_is_sought_behind_the_last_word_of_a_pattern(spark):
         every = lambda c: F.regexp_extract_all(c, F.lit(p), 1)  # noqa: E731, B023
         got = rows.select("t", T.up_to_last(F.col("t"), p).alias("cut")).select("t", "cut", every(F.col("t")).alias("whole"), every(F.col("cut")).alias("part")).collect()
         assert [r.whole for r in got] == [r.part for r in got] and got[2].cut == "" and got[0].cut in ("", "a nice  course")
+
+
+def test_words_are_counted_once_for_all_classes(spark):
+    rows = spark.createDataFrame([("the thing and",)], "t string").select(C.weighted_class(F.col("t"), C.SYLLABLES)["category"].alias("c"))
+    assert plan_of(rows).count("split(") == 1 and rows.first().c == "north"

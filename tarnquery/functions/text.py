@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnquery.functions.arrays import let
+
 # Patterns and words that decide what counts as advertising, knowledge, insight or course.
 FLUFF = (
     r"like\s+and\s+share", r"follow\s+(?:me|us)\s+for\s+more", r"don't\s+forget\s+to\s+(?:like|share|follow)", r"what\s+do\s+you\s+think\?",
@@ -105,8 +107,9 @@ def cut(x: Column, most: int) -> Column:
 
 
 def summary(text: Column, most: int = 200) -> Column:
+    # bound, as the insights would be worked out at each use
     best = F.array_join(key_insights(text, 3), ". ")
-    return cut(F.when(best != "", best).otherwise(text), most)
+    return let(let(best, lambda b: F.when(b != "", b).otherwise(text)), lambda x: cut(x, most))
 
 
 def greedy_summary(parts: Column, most: int = 200) -> Column:

@@ -53,3 +53,9 @@ def test_nothing_is_sought_behind_the_last_word_of_a_pattern(spark):
 def test_words_are_counted_once_for_all_classes(spark):
     rows = spark.createDataFrame([("the thing and",)], "t string").select(C.weighted_class(F.col("t"), C.SYLLABLES)["category"].alias("c"))
     assert plan_of(rows).count("split(") == 1 and rows.first().c == "north"
+
+
+def test_insights_are_found_once_for_a_summary(spark):
+    rows = spark.createDataFrame([("x",), (None,), ("A key thing that is long enough. No.",)], "t string").select(T.summary(F.col("t")).alias("s"))
+    assert plan_of(rows).count("split(") == 1
+    assert [r.s for r in rows.collect()] == ["x", None, "A key thing that is long enough"]

@@ -3,37 +3,40 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnquery.functions.arrays import let
+from tarnquery.operators.cells import slices
 from tarnquery.operators.similarity import terms
 
 #: Parameters of BM25; letters of a term that tell its folder; items of a block; blocks that set the bar for all others.
 K1, B, HEAD, BLOCK, FIRST = 1.2, 0.75, 2, 4096, 16
 
 
-def _grouped(words: Column) -> Column:
-    """The different words of a list, each with its places: the list is sorted, and runs of a word are cut out."""
-
-    def cut(both: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(both) - 1), lambda i: (i == 0) | (F.get(both, i)["word"] != F.get(both, i - 1)["word"]))
-
-        def runs(first: Column) -> Column:
-            def one(s: Column, k: Column) -> Column:
-                last = F.coalesce(F.get(first, k + 1), F.size(both)) - 1
-                at = F.transform(F.sequence(s, last), lambda j: F.get(both, j)["pos"])
-                return F.struct(F.get(both, s)["word"].alias("term"), at.alias("at"))
-
-            return F.transform(first, one)
-
-        return let(starts, runs)
-
-    placed = F.sort_array(F.transform(words, lambda w, k: F.struct(w.alias("word"), k.alias("pos"))))
-    return F.when(F.size(words) > 0, let(placed, cut))
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, len, term, at) of rows (id, t): the different words of each list, with their places."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch["t"]).to_numpy(zero_copy_only=False).astype(np.int64)
+        for rows in slices(sizes, 1 << 19):
+            part, n = batch.slice(rows.start, rows.stop - rows.start), sizes[rows]
+            words = part["t"].flatten().dictionary_encode()
+            if not len(words):
+                continue
+            key = np.repeat(np.arange(len(n)), n) * len(words.dictionary) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            item, word = np.divmod(key[starts], len(words.dictionary))
+            places = (np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n))[order]
+            at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)), pa.int32()), pa.array(places, pa.int32()))
+            columns = [part["id"].take(pa.array(item)), pa.array(n[item], pa.int32()), words.dictionary.take(pa.array(word)), at]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "len", "term", "at"])
 
 
 class SearchIndex:
@@ -55,20 +58,22 @@ class SearchIndex:
     @classmethod
     def build(cls, items: DataFrame, path: str) -> SearchIndex:
         """Indexes items (id, text). Null texts have no terms, as do texts without letters or digits; ids are unique."""
-        spark = items.sparkSession
+        spark, kind = items.sparkSession, items.schema["id"].dataType.simpleString()
         split = items.select("id", F.coalesce(terms(F.col("text")), F.array().cast("array<string>")).alias("t"))
-        stats = split.agg(F.count("*").alias("docs"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("mean"))
-        stats = stats.withColumn("no_id", F.lit(None).cast(items.schema["id"].dataType))
-        stats.write.parquet(f"{path}/stats")
-        known = spark.read.parquet(f"{path}/stats").first()
-        blocks = max(1, known.docs // BLOCK)
-        # an item's terms are grouped within its row, so postings are dealt out once, as short rows
-        rows = split.select("id", F.size("t").alias("len"), F.explode(_grouped(F.col("t"))).alias("p")).select("id", "len", "p.*")
+        docs = items.count()
+        blocks = max(1, docs // BLOCK)
+        # an item's terms are grouped within its batch, so postings are dealt out once, as short rows
+        rows = split.mapInArrow(_postings, f"id {kind}, len int, term string, at array<int>")
         ranged = rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
         block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
         ranged = ranged.select("term", "id", block, F.size("at").cast("long").alias("tf"), "len", "at", F.left("term", F.lit(HEAD)).alias("head"))
         ranged.write.partitionBy("head").parquet(f"{path}/postings")
         written = spark.read.schema(ranged.schema).parquet(f"{path}/postings")
+        # every term of a text is in some posting, so texts needn't be split again for their mean length
+        mean = F.coalesce(F.sum("tf") / F.lit(docs), F.lit(0.0)).alias("mean")
+        stats = written.agg(F.lit(docs).cast("long").alias("docs"), mean, F.lit(None).cast(kind).alias("no_id"))
+        stats.write.parquet(f"{path}/stats")
+        known = spark.read.parquet(f"{path}/stats").first()
         weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(known["mean"] or 1.0)))
         held = written.groupBy("head", "term", "block").agg(F.count("*").alias("n"), F.max(weight).alias("most"))
         held.repartitionByRange("head", "term").sortWithinPartitions("head", "term").write.partitionBy("head").parquet(f"{path}/blocks")

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnquery.operators import search
 from tarnquery.sources.shared import new_folder
@@ -71,3 +72,16 @@ def test_only_its_folders_are_read(built):
 def test_nothing_to_index(spark):
     index = search.SearchIndex.build(spark.createDataFrame([], "id string, text string"), new_folder(spark, "index"))
     assert index.top(["a"]).count() == index.phrase(["a"]).count() == index.prefix("a").count() == 0
+
+
+def test_texts_are_read_twice_at_most(spark):
+    """Once to find ranges of terms and once to deal the postings out, not for the mean length too."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame([(k, f"w{k} w1 w1") for k in range(50)], "id long, text string")
+    index = search.SearchIndex.build(rows.select("id", F.udf(told, "string")("text").alias("text")), new_folder(spark, "index"))
+    assert index.stats["docs"] == 50 and index.stats["mean"] == 3.0 and seen.value <= 100

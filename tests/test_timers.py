@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,30 @@ def test_alerts_of_a_table_and_no_rows(spark):
         [(1, us(60), "fired"), (1, us(70), "resolved"), (2, us(60), "fired"), (None, us(60), "fired")], key=str
     )
     assert tasks.held(df.limit(0), 60).count() == 0
+
+
+def test_rows_of_a_batch_wait_as_one_value():
+    """A stand-in for the engine's state counts what is passed to it; big and missing numbers stay as they are."""
+
+    class Kept(list):
+        value = None
+        get = lambda self: self.value
+        appendValue = list.append
+        appendList = list.extend
+        exists = lambda self: self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        lists, values, alarms = Kept(), Kept(), []
+        getListState = lambda self, *_: self.lists
+        getValueState = lambda self, *_: self.values
+        registerTimer = lambda self, ms: self.alarms.append(ms)
+
+    handle, processor = Handle(), timers.TaskTimers()
+    processor.init(handle)
+    rows = pd.DataFrame({"key": 1, "ts": pd.Timestamp(START), "us": range(5000, 5050), "event_id": range(2**60 + 1, 2**60 + 51), "state": ["queued", None] * 25})
+    assert list(processor.handleInputRows((1,), iter([rows]), None)) == []
+    assert len(handle.lists) == 1 and len(handle.lists[0][0]) == 50 and handle.alarms == [5]
+    assert handle.lists[0][0][:2] == [(5000, 2**60 + 1, "queued"), (5001, 2**60 + 2, None)]

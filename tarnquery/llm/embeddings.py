@@ -1,9 +1,10 @@
 """Embedding near-duplicates by a subspace pigeonhole join.
 
 Unit vectors with cosine >= c have squared distance <= 2 - 2c. Rotated to the principal axes and split into blocks of
-a few axes, a pair within that distance is, in at least one block, within the block's share of it. So each block is
-joined on its own by range, with budgets in proportion to the blocks' variance; a pair found in some block is verified
-exactly on the full vectors, and counted in the first block whose budget it meets.
+a few axes, a pair within that distance is, in at least one block, within the block's share of it. Vectors are dealt
+into tiles of bounded size, and each two tiles within reach meet once, in a task of their own. There each block is
+joined by range, with budgets in proportion to the blocks' variance; a pair found in some block is verified exactly on
+the full vectors, and counted in the first block whose budget it meets.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnquery.llm.components import connected_components
-from tarnquery.llm.hashing import mix
+from tarnquery.llm.hashing import mix, trim
 from tarnquery.llm.session import written
 
-#: Axes of a block, vectors whose home is one tile of a block, and vectors compared at once.
-AXES, TILE, LEAF, CHUNK = 11, 16384, 256, 4096
+#: Axes of a block, vectors of a tile, and vectors compared at once.
+AXES, TILE, LEAF, CHUNK = 11, 32768, 512, 1024
+#: Bytes of the vectors of a tile, and tiles that a table of 1,024 vectors in each is dealt into at least.
+TILE_BYTES, SPREAD = 16 << 20, 8
+#: Pairs verified one by one at once, and the share of pairs in reach from which they are verified by a matrix product.
+PAIRS, DENSE = 1 << 14, 0.05
 
 
 def _unit(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,89 +79,69 @@ def _covariance(batches, dim: int):
     yield pa.RecordBatch.from_arrays([pa.array([[float(count), *total.reshape(-1)]], pa.list_(pa.float64()))], ["sums"])
 
 
-def _firsts(batches, axes: np.ndarray):
-    """The first coordinate in each block."""
+def _firsts(batches, axis: np.ndarray):
+    """The coordinate on the first axis."""
     for batch in batches:
-        d = _rows(batch.column(0), len(axes)) @ axes
-        yield pa.RecordBatch.from_arrays([pa.array(d[:, b]) for b in range(d.shape[1])], [f"d{b}" for b in range(d.shape[1])])
+        yield pa.RecordBatch.from_arrays([pa.array(_rows(batch.column(0), len(axis)) @ axis)], ["first"])
 
 
-def _strip_sizes(batches, axes: np.ndarray, edges: list[np.ndarray], radius: np.ndarray):
-    """How many vectors have their home in each strip of each block, and how many come as probes."""
-    homes, probes = [np.zeros(len(e) + 1, np.int64) for e in edges], [np.zeros(len(e) + 2, np.int64) for e in edges]
+def _strip_sizes(batches, axis: np.ndarray, edges: np.ndarray):
+    """How many vectors lie in each strip."""
+    sizes = np.zeros(len(edges) + 1, np.int64)
     for batch in batches:
-        d = _rows(batch.column(0), len(axes)) @ axes
-        for b, e in enumerate(edges):
-            home = np.searchsorted(e, d[:, b], "right")
-            homes[b] += np.bincount(home, minlength=len(e) + 1)
-            np.add.at(probes[b], np.searchsorted(e, d[:, b] - radius[b], "right"), 1)
-            np.add.at(probes[b], home + 1, -1)
-    rows = [(b, k, int(h), int(p)) for b in range(len(edges)) for k, (h, p) in enumerate(zip(homes[b], np.cumsum(probes[b]), strict=False)) if p]
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["block", "strip", "homes", "probes"])
+        sizes += np.bincount(np.searchsorted(edges, _rows(batch.column(0), len(axis)) @ axis, "right"), minlength=len(sizes))
+    strip = np.flatnonzero(sizes)
+    yield pa.RecordBatch.from_arrays([pa.array(strip, pa.int32()), pa.array(sizes[strip])], ["strip", "vectors"])
 
 
-def _ranges(counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers start, start + 1, ... of each row, counts of them, after the row they belong to."""
-    row = np.repeat(np.arange(len(counts)), counts)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + start[row]
+def _deal(batches, axis: np.ndarray, edges: np.ndarray, parts: np.ndarray, reach: float):
+    """Vectors packed by tile, once each, with the first and the last tile that theirs has to meet.
+
+    Strips are cut along the axis at the edges; a strip has as many tiles as parts says, dealt out by the id.
+    """
+    end = np.cumsum(parts)
+    first = end - parts
+    low = first[np.searchsorted(edges, np.append(-np.inf, edges) - reach, "right")]
+    high = end[np.searchsorted(edges, np.append(edges, np.inf) + reach, "right")] - 1
+    for batch in batches:
+        ids, copies, x = np.asarray(batch.column(0)), np.asarray(batch.column(2)), _rows(batch.column(1), len(axis))
+        if not len(ids):
+            continue
+        strip = np.searchsorted(edges, x @ axis, "right")
+        tile = first[strip] + (mix(ids.view(np.uint64)) % parts[strip].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(tile, kind="stable")
+        new = np.flatnonzero(np.diff(tile[order], prepend=-1))
+        packed = [[v[k].tobytes() for k in np.split(order, new[1:])] for v in (ids, copies, x)]
+        at = order[new]
+        numbers = [pa.array(v, pa.int32()) for v in (tile[at], low[strip[at]], high[strip[at]])]
+        yield pa.RecordBatch.from_arrays([*numbers, *[pa.array(v, pa.binary()) for v in packed]], ["tile", "low", "high", "ids", "copies", "x"])
 
 
-def _deal(batches, dim: int, turn: np.ndarray, blocks: list[tuple[int, int]], radius: np.ndarray, edges: list[np.ndarray], salts: list[np.ndarray]):
-    """Vectors packed by tile: as homes in their own strip of a block, and as probes in each strip before it within reach.
+def _leaves(home: np.ndarray, probe: np.ndarray, y: np.ndarray, r: float, later: bool):
+    """Splits homes at medians until LEAF are left; probes farther than r from a part's range are left out of it.
 
-    salts has the numbers of parts of a strip's homes and of its probes; every part meets every other in a tile of its own.
+    y has a row for each axis. later: probes before a part on the first axis are left out, too.
     """
-    for batch in batches:
-        ids, copies, x = np.asarray(batch.column(0)), np.asarray(batch.column(2)), _rows(batch.column(1), dim)
-        y = x @ turn
-        rows = []
-        for b, (a, _) in enumerate(blocks):
-            first = y[:, a]
-            home = np.searchsorted(edges[b], first, "right")
-            lo = np.searchsorted(edges[b], first - radius[b], "right")  # a pair meets where the one before has its home
-            mixed = mix(ids.view(np.uint64) + np.uint64(b)).view(np.int64)
-            # a row for each strip within reach, and of these one for each tile of the strip that the vector is part of
-            at, strip = _ranges(home - lo + 1, lo)
-            tiles = salts[b].prod(1)[strip]
-            k, tile = _ranges(tiles, np.zeros(len(at), np.int64))
-            at, strip = at[k], strip[k]
-            n_homes, n_probes = salts[b][strip].T
-            is_home = (home[at] == strip) & (mixed[at] % n_homes == tile // n_probes)
-            is_probe = mixed[at] // n_homes % n_probes == tile % n_probes
-            some = is_home | is_probe
-            at, strip, tile, is_home, is_probe = at[some], strip[some], tile[some], is_home[some], is_probe[some]
-            order = np.lexsort((tile, strip))
-            at, strip, tile, is_home, is_probe = at[order], strip[order], tile[order], is_home[order], is_probe[order]
-            new = np.flatnonzero((np.diff(strip, prepend=-1) != 0) | (np.diff(tile, prepend=-1) != 0))
-            for i, j in zip(new, np.append(new[1:], len(at)), strict=True):
-                k = at[i:j]
-                packed = [v.tobytes() for v in (ids[k], copies[k], x[k], first[k], is_home[i:j], is_probe[i:j])]
-                rows.append((b, strip[i], tile[i], *packed))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] * 3 + [pa.binary()] * 6)], ["block", "strip", "salt", "ids", "copies", "x", "first", "home", "probe"])
-
-
-def _leaves(home: np.ndarray, probe: np.ndarray, y: np.ndarray, r: float):
-    """Splits homes at medians until LEAF are left; probes farther than r from a part's range, or before it on
-    the first axis, are left out of it."""
     todo = [(home, probe)]
     while todo:
         h, p = todo.pop()
+        if not len(h) or not len(p):
+            continue
         if len(h) <= LEAF:
-            for c in range(y.shape[1]):
-                v = y[h, c]
-                p = p[(y[p, c] >= v.min() - (r if c else 1e-6)) & (y[p, c] <= v.max() + r)]
+            for c in range(len(y)):
+                v, w = y[c, h], y[c, p]
+                p = p[(w >= v.min() - (0 if later and not c else r)) & (w <= v.max() + r)]
             yield h, p
             continue
-        c = int(np.argmax(y[h].std(0)))
-        v = y[h, c]
+        c = int(np.argmax(y[:, h].std(1)))
+        v, w = y[c, h], y[c, p]
         low = v <= np.median(v)
         if low.all() or not low.any():
             half = len(h) // 2
             todo += [(h[:half], p), (h[half:], p)]
             continue
         top, bottom = v[low].max(), v[~low].min()
-        todo += [(h[low], p[y[p, c] <= top + r]), (h[~low], p[y[p, c] >= bottom - (r if c else 1e-6)])]
+        todo += [(h[low], p[w <= top + r]), (h[~low], p[w >= bottom - (0 if later and not c else r)])]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,55 +160,118 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
+class _Links:
+    """Numbers of links, and labels that connected vectors share: their size is that of the vectors, not of the links."""
+
+    def __init__(self, copies: np.ndarray) -> None:
+        self.copies, self.count, self.label = copies, np.zeros(len(copies), np.int64), np.arange(len(copies))
+
+    def merge(self, u: np.ndarray, v: np.ndarray) -> None:
+        a, b = self.label[u], self.label[v]
+        if len(new := np.flatnonzero(a != b)):
+            node, root = _forest(a[new], b[new])
+            to = np.arange(len(self.label))
+            to[node] = root
+            self.label = to[self.label]
+
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        """Links u-v, each pair once."""
+        np.add.at(self.count, u, self.copies[v])
+        np.add.at(self.count, v, self.copies[u])
+        self.merge(u, v)
+
+    def add_all(self, h: np.ndarray, q: np.ndarray, linked: np.ndarray) -> None:
+        """Links of each row h with each column q where linked."""
+        weight = linked.astype(np.float64)
+        self.count[h] += (weight @ self.copies[q].astype(np.float64)).astype(np.int64)
+        self.count[q] += (self.copies[h].astype(np.float64) @ weight).astype(np.int64)
+        while True:  # each vector's first link to another label at once, which at least halves the labels
+            apart = linked & (self.label[h][:, None] != self.label[q])
+            i, j = np.flatnonzero(apart.any(1)), np.flatnonzero(apart.any(0))
+            if not len(i):
+                return
+            self.merge(np.concatenate([h[i], h[apart[:, j].argmax(0)]]), np.concatenate([q[apart[i].argmax(1)], q[j]]))
+
+
 def _join(key, table: pa.Table, turn: np.ndarray, blocks: list[tuple[int, int]], budget: np.ndarray, cosine: float) -> pa.Table:
-    dim, b = len(turn), key[0].as_py()
+    """Links between the vectors of two tiles, or within one: their numbers by vector, and a forest of their components."""
+    dim, (one, two) = len(turn), (k.as_py() for k in key)
     join = lambda name, kind: np.concatenate([np.frombuffer(v, kind) for v in table[name].to_pylist()])
-    ids, copies, home, probe = join("ids", np.int64), join("copies", np.int64), join("home", bool), join("probe", bool)
-    x = join("x", np.float64).reshape(-1, dim)
-    y, first = x @ turn, join("first", np.float64)
+    ids, x = join("ids", np.int64), join("x", np.float64).reshape(-1, dim)
+    tile = np.repeat(table["tile"].to_numpy(), [len(v) // 8 for v in table["ids"].to_pylist()])
+    links, y = _Links(join("copies", np.int64)), x @ turn
+    home, probe, same = np.flatnonzero(tile == one), np.flatnonzero(tile == two), one == two
     starts = [s for s, _ in blocks]
-    a, z = blocks[b]
-    part = y[:, a:z].astype(np.float32)
-    half = (part * part).sum(1, keepdims=True) / 2
-    reach = float(budget[b]) * 1.0001 + 1e-5  # single precision only preselects
-    one = np.ones_like(half)
-    # the product of a row of each is (reach - squared distance) / 2
-    left, right = np.hstack([part, one, reach / 2 - half]).astype(np.float32), np.hstack([part, -half, one]).astype(np.float32).T
-    links, edges = np.zeros(len(ids), np.int64), []
-    for h, p in _leaves(np.flatnonzero(home), np.flatnonzero(probe), part, math.sqrt(budget[b]) + 1e-4):
-        if not len(h) or not len(p):
-            continue
-        rows = left[h]
-        for k in range(0, len(p), CHUNK):
-            q = p[k : k + CHUNK]
-            i, j = np.divmod(np.flatnonzero(rows @ right[:, q] >= 0), len(q))
-            i, j = h[i], q[j]
-            # each pair once: where both are at home in a strip, from the one that comes first
-            keep = (first[i] < first[j]) | ((first[i] == first[j]) & (ids[i] < ids[j]))
-            i, j = i[keep], j[keep]
-            for m in range(0, len(i), 1 << 16):
-                u, v = i[m : m + (1 << 16)], j[m : m + (1 << 16)]
-                ok = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
-                u, v = u[ok], v[ok]
-                within = np.add.reduceat((y[u] - y[v]) ** 2, starts, axis=1) <= budget * (1 + 1e-9) + 1e-12
-                mine = within.argmax(1) == b
-                u, v = u[mine], v[mine]
-                np.add.at(links, u, copies[v])
-                np.add.at(links, v, copies[u])
-                if len(u):
-                    edges.append(np.stack(_forest(ids[u], ids[v])))
-    if edges:
-        node, root = np.concatenate(edges, 1)
-        node, root = _forest(node, root)
-        keep = node != root
-        node, root = node[keep], root[keep]
-    else:
-        node = root = np.zeros(0, np.int64)
-    some = np.flatnonzero(links)
-    gap = pa.nulls(len(node), pa.int64()), pa.nulls(len(some), pa.int64())
-    return pa.table({
-        "vec": pa.chunked_array([pa.array(ids[some]), pa.array(node)]), "links": pa.chunked_array([pa.array(links[some]), gap[0]]), "root": pa.chunked_array([gap[1], pa.array(root)]),
+    slack = budget * 1e-4 + 1e-5  # single precision only tells what is far from the budget
+    sides = []
+    for b, (a, z) in enumerate(blocks):
+        part = y[:, a:z].astype(np.float32)
+        half, ones = (part * part).sum(1, keepdims=True) / 2, np.ones((len(part), 1), np.float32)
+        # the product of a row of each is (budget + slack - squared distance) / 2
+        reach = float(budget[b] + slack[b]) / 2
+        sides.append((np.hstack([part, ones, reach - half]).astype(np.float32), np.hstack([part, -half, ones]).astype(np.float32)))
+
+    def product(b: int, h: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return sides[b][0][h] @ sides[b][1][q].T
+
+    def verify(b: int, i: np.ndarray, j: np.ndarray) -> None:
+        for m in range(0, len(i), PAIRS):
+            u, v = i[m : m + PAIRS], j[m : m + PAIRS]
+            ok = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
+            u, v = u[ok], v[ok]
+            within = np.add.reduceat((y[u] - y[v]) ** 2, starts, axis=1) <= budget * (1 + 1e-9) + 1e-12
+            mine = within.argmax(1) == b
+            if mine.any():
+                links.add(u[mine], v[mine])
+
+    def verify_all(b: int, h: np.ndarray, q: np.ndarray, near: np.ndarray, hit: np.ndarray) -> None:
+        """As verify, where many pairs hit: what is clear is told by products, the rest pair by pair. near: product()."""
+        clear = near >= slack[b]
+        for e in range(b):
+            before = product(e, h, q)
+            hit &= before < slack[e]  # else it counts in that block
+            clear &= before < 0
+        if hit.any():
+            cos = x[h] @ x[q].T
+            hit &= cos >= cosine - 1e-9
+            clear &= hit & (cos >= cosine + 1e-9)
+            links.add_all(h, q, clear)
+            i, j = np.divmod(np.flatnonzero(hit & ~clear), len(q))
+            verify(b, h[i], q[j])
+
+    for b, (a, z) in enumerate(blocks):
+        part = np.ascontiguousarray(y[:, a:z].T, np.float32)
+        first = part[0]
+        for h, p in _leaves(home, probe, part, math.sqrt(budget[b]) + 1e-4, same):
+            left = sides[b][0][h]
+            for k in range(0, len(p), CHUNK):
+                q = p[k : k + CHUNK]
+                near = left @ sides[b][1][q].T
+                some = np.flatnonzero(near.max(1) >= 0)
+                if not len(some):
+                    continue
+                hit = near[some] >= 0
+                if np.count_nonzero(hit) > DENSE * near.size:
+                    hit, u = near >= 0, h[:, None]
+                    if same:
+                        hit &= (first[u] < first[q]) | ((first[u] == first[q]) & (u < q))
+                    verify_all(b, h, q, near, hit)
+                    continue
+                i, j = np.divmod(np.flatnonzero(hit), len(q))
+                i, j = h[some[i]], q[j]
+                if same:  # each pair once, from the one that comes first
+                    keep = (first[i] < first[j]) | ((first[i] == first[j]) & (i < j))
+                    i, j = i[keep], j[keep]
+                verify(b, i, j)
+    node = np.flatnonzero(links.label != np.arange(len(ids)))
+    some = np.flatnonzero(links.count)
+    out = pa.table({
+        "vec": pa.chunked_array([pa.array(ids[some]), pa.array(ids[node])]),
+        "links": pa.chunked_array([pa.array(links.count[some]), pa.nulls(len(node), pa.int64())]),
+        "root": pa.chunked_array([pa.nulls(len(some), pa.int64()), pa.array(ids[links.label[node]])]),
     })
+    trim()
+    return out
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, axes: int = AXES, tile: int = TILE) -> DataFrame:
@@ -252,31 +300,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     blocks = [(a, min(a + axes, dim)) for a in range(0, dim, axes)]
     shares = np.array([value[a:z].sum() for a, z in blocks]) + 1e-9
     budget = (2 - 2 * cosine) * shares / shares.sum() + 1e-12
-    radius = np.sqrt(budget) + 1e-9
-    # strips of a block along its first axis: no narrower than its radius; a crowded strip is dealt out by salts
-    firsts = np.ascontiguousarray(turn[:, [a for a, _ in blocks]])
-    edges = [np.zeros(0) for _ in blocks]
-    strips = max(1, math.ceil(n / tile))
+    # tiles: strips along the first axis; a crowded strip has several
+    most = max(1, min(tile, TILE_BYTES // (8 * dim)))
+    strips = max(1, math.ceil(n / most), min(SPREAD, n >> 10))
+    axis, edges, reach = np.ascontiguousarray(turn[:, 0]), np.zeros(0), math.sqrt(2 - 2 * cosine) + 1e-6
     if strips > 1:
-        share = [k / strips for k in range(1, strips)]
-        along = reps.select("x").mapInArrow(partial(_firsts, axes=firsts), ", ".join(f"d{b} double" for b in range(len(blocks))))
-        cut = along.agg(*[F.percentile_approx(f"d{b}", share, min(100 * strips, 1_000_000)) for b in range(len(blocks))]).first()
-        for b in range(len(blocks)):
-            kept: list[float] = []
-            for c in cut[b]:
-                if not kept or c - kept[-1] >= radius[b]:
-                    kept.append(c)
-            edges[b] = np.array(kept)
-    salts = [np.ones((len(e) + 1, 2), np.int64) for e in edges]
-    sizes = reps.select("x").mapInArrow(partial(_strip_sizes, axes=firsts, edges=edges, radius=radius), "block int, strip int, homes long, probes long")
-    for r in sizes.groupBy("block", "strip").agg(F.sum("homes").alias("homes"), F.sum("probes").alias("probes")).collect():
-        salts[r.block][r.strip] = max(1, math.ceil(r.homes / tile)), math.ceil(r.probes / (4 * tile))
-    dealt = reps.select("rep", "x", "copies").mapInArrow(partial(_deal, dim=dim, turn=turn, blocks=blocks, radius=radius, edges=edges, salts=salts), "block int, strip int, salt int, ids binary, copies binary, x binary, first binary, home binary, probe binary")
+        along = reps.select("x").mapInArrow(partial(_firsts, axis=axis), "first double")
+        edges = np.unique(along.agg(F.percentile_approx("first", [k / strips for k in range(1, strips)], min(100 * strips, 1_000_000))).first()[0])
+    parts = np.ones(len(edges) + 1, np.int64)
+    sizes = reps.select("x").mapInArrow(partial(_strip_sizes, axis=axis, edges=edges), "strip int, vectors long")
+    for r in sizes.groupBy("strip").agg(F.sum("vectors").alias("vectors")).collect():
+        parts[r.strip] = max(1, math.ceil(r.vectors / (1.25 * most)))
+    dealt = reps.select("rep", "x", "copies").mapInArrow(partial(_deal, axis=axis, edges=edges, parts=parts, reach=reach), "tile int, low int, high int, ids binary, copies binary, x binary")
+    met = dealt.withColumn("other", F.explode(F.sequence("low", "high")))
+    met = met.select(F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "ids", "copies", "x")
 
     def joined(key, table):
         return _join(key, table, turn, blocks, budget, cosine)
 
-    found = written(dealt.groupBy("block", "strip", "salt").applyInArrow(joined, "vec long, links long, root long"), "found")
+    found = written(met.groupBy("one", "two").applyInArrow(joined, "vec long, links long, root long"), "found")
     links = found.where("links is not null").groupBy(F.col("vec").alias("rep")).agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("root is not null"), "vec", "root")
     label = reps.select("rep", "h1", "h2", "copies").join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")

@@ -73,3 +73,13 @@ def test_large_groups_match_brute_force(spark, tile):
     want = brute(rows, 0.9)
     got = {r.id: (r.n_links, r.component_id) for r in near_vectors(df, tile=tile).collect()}
     assert got == want
+
+
+def test_vectors_of_low_rank(spark):
+    """Most blocks have no variance there; a tile without a home raised an error."""
+    x = np.zeros((1200, 16))
+    x[:, :3] = np.random.default_rng(0).normal(size=(1200, 3))
+    rows = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)]
+    want = brute(rows, 0.9)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {r.id: (r.n_links, r.component_id) for r in near_vectors(df, tile=300).collect()} == want

@@ -1,5 +1,7 @@
 """Functions on literal rows, with results worked out by hand."""
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,6 +11,7 @@ from tarnquery.functions import classify as C
 from tarnquery.functions import pii as P
 from tarnquery.functions import text as T
 from tarnquery.functions import urls as U
+from tarnquery.plans import registry
 
 SITE = U.Site("social.example")
 
@@ -115,3 +118,24 @@ def test_words_and_blanks(spark, text):
     assert one(spark, T.strip(F.col("t")), t=text) == (None if text is None else text.strip(" \t\n\x0b\f\r"))
     if text is not None:
         assert one(spark, T.word_count(F.col("t")), t=text) == len(words)
+
+EDGED_EMAIL = rf"(?<![A-Za-z0-9_]){P.EMAIL}(?![A-Za-z0-9_])"
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet="aB.@|-_1 %é", max_size=30))
+def test_addresses_counted_from_their_end(text):
+    assert len(re.findall(P.EMAIL_END, text)) == len(re.findall(EDGED_EMAIL, text))
+
+def test_pii_counts_of_odd_texts(spark, tmp_path):
+    texts = [
+        "a@b.com", "a@b.com@c.org", "a@b.com.@c.org", "a@b.com.x@c.org", "a@b.c|.@d.com", "@b.com .@b.com é@b.com", "a.b-c@d.e_ x@y.zz", "-" * 60 + "@b.com", "a@b.com" * 3,
+        "", None, "no digits at all", "12 34 56", "+1 (555) 123-4567 or 555.123.4567", "123-45-6789 x123-45-6789", "1.2.3.4 1.2.3.4.5 a1.2.3.4 999.1.1.1", "1.2", "५५५-123-4567", "123-45-6789" * 2,
+    ]
+    rows = [(k, t, "s") for k, t in enumerate(texts)] + [(0, "a@b.com 123-45-6789", None), (None, "a@b.com", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    patterns = (EDGED_EMAIL, P.PHONE, r"(?<![A-Za-z0-9_])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9_])", r"(?<![A-Za-z0-9_])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9_])")
+    found = registry.queries()["pii_counts"](spark, str(tmp_path))
+    want = [(k, *[None if t is None else sum(1 for _ in re.finditer(p, t, re.ASCII)) for p in patterns]) for k, t, _ in rows]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str) and [t for _, t in found.dtypes] == ["bigint"] * 5
+    # no pattern is tried from each place of a run of unbounded length
+    assert f"{P.LOCAL}+" not in found._jdf.queryExecution().optimizedPlan().toString()
